@@ -1,0 +1,4 @@
+"""The registered queries and their SQL twins."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
