@@ -1,12 +1,14 @@
 """Queries of this subpackage, and their SQL twins."""
 
-from glimmergrid.llm import fingerprints, mixing
+from glimmergrid.llm import fingerprints, line_dedup, mixing
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
