@@ -1,8 +1,9 @@
 """Queries of this subpackage, and their SQL twins."""
 
-from glimmergrid.llm import fingerprints, line_dedup, mixing
+from glimmergrid.llm import fingerprints, line_dedup, mixing, packing
 
 QUERIES = {
+    "op7_packing": packing.op7_packing,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
