@@ -1,8 +1,10 @@
 """Queries of this subpackage, and their SQL twins."""
 
-from glimmergrid.llm import fingerprints, line_dedup, mixing, packing
+from glimmergrid.llm import fingerprints, line_dedup, mixing, packing, quality, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_packing": packing.op7_packing,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
