@@ -1,8 +1,9 @@
 """Queries of this subpackage, and their SQL twins."""
 
-from glimmergrid.llm import fingerprints, line_dedup, mixing, packing, quality, toxicity
+from glimmergrid.llm import fingerprints, language, line_dedup, mixing, packing, quality, toxicity
 
 QUERIES = {
+    "op5_language": language.op5_language,
     "op1_quality": quality.op1_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_packing": packing.op7_packing,
