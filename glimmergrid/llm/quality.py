@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmergrid.llm.common import held_out, spread, table
+from glimmergrid.llm.hashing import MIX, as_bytes, words
 from glimmergrid.llm.toxicity import labelled_sample, logistic
 
 BITS = 18
@@ -39,8 +40,6 @@ SHAPES[ord("a") : ord("z") + 1] = 1
 SHAPES[ord("A") : ord("Z") + 1] = 2
 SHAPES[ord("0") : ord("9") + 1] = 3
 SHAPES[128:] = 4
-SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
 
 
@@ -52,7 +51,7 @@ def places(codes: np.ndarray, salt: int, bits: int) -> np.ndarray:
 
 def ngrams(text: str, bits: int = BITS) -> np.ndarray:
     """The distinct places of a text's n-grams."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    b = as_bytes(text)
     if not len(b):
         return np.zeros(0, np.int64)
     found = []
@@ -62,14 +61,10 @@ def ngrams(text: str, bits: int = BITS) -> np.ndarray:
         if len(gram) < 2 or n == MAX_N:
             break
         gram = (gram[:-1] << np.uint64(8)) | b[n:]
-    space = SPACES[b]
-    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    starts, ends, found_words = words(b)
     if len(starts):
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(_powers(len(b)) * (b.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)))
-        ends = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1
-        words = (sums[ends] - sums[starts]) * _inverses(len(b))[starts]
         first, last = SHAPES[b[starts]], SHAPES[b[ends - 1]]
-        again = np.concatenate(([False], words[1:] == words[:-1])).astype(np.uint64)
+        again = np.concatenate(([False], found_words[1:] == found_words[:-1])).astype(np.uint64)
         second_last = SHAPES[b[np.maximum(starts, ends - 2)]]
         shape = ((again * np.uint64(256) + first) * np.uint64(256) + second_last) * np.uint64(256) + last
         for n in (1, 2, 3):
@@ -79,7 +74,7 @@ def ngrams(text: str, bits: int = BITS) -> np.ndarray:
             for k in range(1, n):
                 gram = gram * STEP + shape[k : len(shape) - n + 1 + k]
             found.append(places(gram, 100 + n, bits))
-        found.append(places(words, 200, bits))
+        found.append(places(found_words, 200, bits))
     every = np.concatenate(found).astype(np.int64)
     # The last writer of a place marks it: distinct values without a sort.
     board = _board(bits)
@@ -95,23 +90,6 @@ def _board(bits: int) -> np.ndarray:
     return _kept.setdefault(f"board{bits}", np.zeros(1 << bits, np.int64))
 
 
-def _table(name: str, factor: int, n: int) -> np.ndarray:
-    """``factor`` to the powers 0, 1, 2, ... modulo 2 ** 64."""
-    if len(_kept.get(name, ())) < n:
-        powers = np.full(max(n, 1 << 16), factor, np.uint64)
-        powers[0] = 1
-        _kept[name] = np.multiply.accumulate(powers)
-    return _kept[name][:n]
-
-
-def _powers(n: int) -> np.ndarray:
-    return _table("powers", int(STEP), n)
-
-
-def _inverses(n: int) -> np.ndarray:
-    return _table("inverses", pow(int(STEP), -1, 1 << 64), n)
-
-
 @dataclass
 class QualityModel:
     #: Log count ratio times hinge-loss weight, by place.

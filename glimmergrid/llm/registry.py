@@ -1,8 +1,9 @@
 """Queries of this subpackage, and their SQL twins."""
 
-from glimmergrid.llm import fingerprints, language, line_dedup, mixing, packing, quality, toxicity
+from glimmergrid.llm import fingerprints, jaccard, language, line_dedup, mixing, packing, quality, toxicity
 
 QUERIES = {
+    "op6_jaccard": jaccard.op6_jaccard,
     "op5_language": language.op5_language,
     "op1_quality": quality.op1_quality,
     "op4_toxicity": toxicity.op4_toxicity,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_jaccard": jaccard.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
