@@ -45,13 +45,13 @@ def choose_bands(threshold: float, recall: float, most_rows: int = 12) -> tuple[
     """(bands, rows) that let a pair at the threshold meet with the target probability.
 
     Of the shapes that do, the one with the fewest chance meetings at a quarter
-    of the threshold, and no more than 64 hashes, is taken.
+    of the threshold, and no more than 128 hashes, is taken.
     """
     shapes = []
     for rows in range(1, most_rows + 1):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
         chance = 1 - (1 - (threshold / 4) ** rows) ** bands
-        if rows * bands <= 64:
+        if rows * bands <= 128:
             shapes.append((chance, bands, rows))
     return min(shapes)[1:] if shapes else (math.ceil(math.log(1 - recall) / math.log(1 - threshold)), 1)
 
