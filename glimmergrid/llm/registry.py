@@ -1,8 +1,9 @@
 """Queries of this subpackage, and their SQL twins."""
 
-from glimmergrid.llm import fingerprints, jaccard, language, line_dedup, mixing, packing, quality, suffix_dedup, toxicity
+from glimmergrid.llm import fingerprints, jaccard, language, line_dedup, mixing, neighbours, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
+    "op10_neighbours": neighbours.op10_neighbours,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op6_jaccard": jaccard.op6_jaccard,
     "op5_language": language.op5_language,
