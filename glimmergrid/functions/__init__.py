@@ -1 +1 @@
-
+"""Column functions: paths, vectors, pixels and model features."""

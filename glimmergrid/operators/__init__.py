@@ -1 +1 @@
-
+"""Operators on feature tables: selection, search and duplicates."""

@@ -1 +1 @@
-
+"""Jobs made of the operators, and the registered queries."""

@@ -1,4 +1,306 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries and their SQL twins.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The given tables hold no images. ``embeddings`` stands for a feature store,
+``documents`` for file contents, ``conversations`` for files of several frames;
+image files and archives are made by Spark from the rows of those tables.
+"""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glimmergrid.functions.embedding import stub_model
+from glimmergrid.functions.paths import entry_path, frame_path, is_archive, is_file_entry, parse_whitelist
+from glimmergrid.functions.pixels import content_md5
+from glimmergrid.functions.vectors import l2_normalize, squared_norm
+from glimmergrid.operators import duplicates, search, selection
+from glimmergrid.plans import jobs
+from glimmergrid.schemas import FILES
+from glimmergrid.sources import records, store
+from glimmergrid.sources.files import expand_archives as expand
+from glimmergrid.sources.files import failed_files as failures
+from glimmergrid.sources.files import list_files as listing
+from glimmergrid.sources.frames import decode_frames as decode
+from glimmergrid.streaming.ingest import stream_features
+from glimmergrid.workspace import shared_path
+
+NAMES = {"path_col": "vec_id", "vector_col": "embedding"}
+QUERY_NAMES = NAMES | {"query_col": "query_id", "query_vector_col": "embedding"}
+MODEL = stub_model(64)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    """The stated query set: every twentieth vector."""
+    return vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` in the schema of the store."""
+    rows = _vectors(spark, sf_dir).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    path = F.concat(F.lit("img/"), F.col("vec_id").cast("string"))
+    return rows.select(path.alias("path"), F.md5(path).alias("md5"), F.col("embedding").cast("array<float>").alias("vgg16"))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grey 8 by 8 image file per vector."""
+    rows = _vectors(spark, sf_dir).filter("vec_id IS NOT NULL AND size(embedding) = 64")
+    grey = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * x))).cast("long")), 2, "0")), "")
+    content = F.concat(F.encode(F.lit("P5 8 8 255\n"), "UTF-8"), F.unhex(grey))
+    return rows.select(F.concat(F.lit("img/"), F.col("vec_id").cast("string"), F.lit(".pgm")).alias("path"), F.current_timestamp().alias("modificationTime"), F.length(content).cast("long").alias("length"), content.alias("content"))
+
+
+def _archives(rows: DataFrame) -> DataFrame:
+    """Rows of (archive, name, content) as zip files, each with a directory entry first."""
+
+    def zipped(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("d/", b"")
+            for name, content in sorted(zip(pdf["name"], pdf["content"])):
+                archive.writestr(zipfile.ZipInfo(f"d/{name}"), bytes(content))
+        return pd.DataFrame({"path": [pdf["archive"].iat[0]], "content": [out.getvalue()]})
+
+    files = rows.groupBy("archive").applyInPandas(zipped, "path string, content binary")
+    return files.select("path", F.current_timestamp().alias("modificationTime"), F.length("content").cast("long").alias("length"), "content")
+
+
+def _document_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents an archive, and every document as a text file of its own."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    name = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))
+    packed = docs.select(F.concat(F.lit("zip/"), F.floor(F.col("doc_id") / 10).cast("string"), F.lit(".zip")).alias("archive"), name.alias("name"), "content")
+    return _archives(packed)
+
+
+def similarity_search(spark, sf_dir):
+    """All vectors by their likeness to vector 0."""
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.filter("vec_id = 0").first()
+    found = search.similarity_search(vectors, asked["embedding"], 0.2, **NAMES)
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+def batch_similarity_search(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    found = search.batch_similarity_search(vectors, _asked(vectors), 0.3, **QUERY_NAMES)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+def top_k(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir)
+    found = search.top_k(vectors, _asked(vectors), 10, 0.0, **QUERY_NAMES)
+    return found.select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def near_duplicate_pairs(spark, sf_dir):
+    found = search.near_duplicate_pairs(_vectors(spark, sf_dir), 0.3, **NAMES)
+    return found.select(F.col("path_a").alias("vec_a"), F.col("path_b").alias("vec_b"), F.round("score", 6).alias("score"))
+
+
+def l2_normalized(spark, sf_dir):
+    """Vectors of many lengths brought back to length one."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7 + 1))
+    rows = _vectors(spark, sf_dir).withColumn("unit", l2_normalize(scaled))
+    parts = [F.round(F.element_at("unit", i), 6).alias(f"v{i}") for i in (1, 32, 64)]
+    return rows.select("vec_id", *parts, F.round(squared_norm(F.col("unit")), 6).alias("squared_norm"))
+
+
+def content_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", content_md5(F.col("text").cast("binary")).alias("md5"))
+
+
+def exact_duplicates(spark, sf_dir):
+    rows = content_hashes(spark, sf_dir)
+    found = duplicates.exact_duplicates(rows, path_col="doc_id")
+    return found.select("md5", "n", F.col("first_path").alias("first_doc"))
+
+
+def duplicate_members(spark, sf_dir):
+    found = duplicates.duplicate_members(content_hashes(spark, sf_dir), path_col="doc_id")
+    return found.select("md5", F.col("path").alias("doc_id"), F.col("first_path").alias("first_doc"), "n")
+
+
+def find_by_md5(spark, sf_dir):
+    """All documents with the content of a stated query set, given in capitals."""
+    rows = content_hashes(spark, sf_dir)
+    asked = rows.filter("doc_id % 20 = 0").select(F.upper("md5").alias("md5"))
+    return selection.find_by_md5(rows, asked).select("doc_id", "md5")
+
+
+def frame_whitelist(spark, sf_dir):
+    """Turns of conversations as frames of files, by a written whitelist."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").alias("frame_index"))
+    wanted = spark.range(1).select(parse_whitelist(F.lit("0;2;;5")).alias("w")).first()["w"]
+    kept = selection.frame_whitelist(rows, wanted)
+    return kept.select(frame_path(F.col("file"), F.col("frame_index")).alias("path"), "frame_index")
+
+
+def first_frame(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").alias("frame_index"))
+    return selection.first_frame(rows).select(frame_path(F.col("file"), F.col("frame_index")).alias("path"))
+
+
+def archive_routing(spark, sf_dir):
+    """File names of many endings, told apart."""
+    endings = [".zip", ".ZIP", ".gz", ".png", ".tar.xz", "", "/"]
+    ending = F.element_at(F.array(*map(F.lit, endings)), (F.col("doc_id") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), ending).alias("name"))
+    return rows.select("doc_id", entry_path(F.lit("a.zip"), F.col("name")).alias("path"), is_archive(F.col("name")).alias("is_archive"), is_file_entry(F.col("name")).alias("is_file"))
+
+
+def _scalars(features: DataFrame) -> DataFrame:
+    v = F.col("vgg16")
+    return features.select("path", "md5", F.size(v).cast("long").alias("n"), F.round(F.element_at(v, 1).cast("double"), 6).alias("head"), F.round(F.element_at(v, -1).cast("double"), 6).alias("tail"))
+
+
+def store_roundtrip(spark, sf_dir):
+    """Two copies of a table under one roof, saved and loaded."""
+    features = _features(spark, sf_dir).withColumn("score", F.lit(1.0))
+    path = shared_path(spark, "store")
+    store.save_features(store.union_features(features, features), path)
+    return _scalars(store.load_features(spark, path))
+
+
+def record_roundtrip(spark, sf_dir):
+    """A table as records of bytes, and read again."""
+    made = records.to_records(_features(spark, sf_dir), 64)
+    return _scalars(records.parse_records(made, "FAILFAST", 64))
+
+
+def count_features(spark, sf_dir):
+    return _features(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+def list_files(spark, sf_dir):
+    """The files that hold the tables."""
+    return listing(spark, sf_dir).select(F.regexp_extract("path", "[^/]+(/part-[^/]+)?$", 0).alias("name"), "length")
+
+
+def expand_archives(spark, sf_dir):
+    """Documents packed into archives, and taken out again."""
+    found = expand(_document_archives(spark, sf_dir))
+    return found.select("source_path", "entry_name", "path", F.md5("content").alias("md5"))
+
+
+def failed_files(spark, sf_dir):
+    """Texts under the name of an archive, and under that of an image: each is one error."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    name = F.concat(F.lit("t/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".zip").otherwise(".png"))
+    files = docs.select(name.alias("path"), F.current_timestamp().alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return failures(decode(expand(files))).select("path", "stage")
+
+
+def decode_frames(spark, sf_dir):
+    """Frame buffers of images that stand for vectors."""
+    frames = decode(expand(_images(spark, sf_dir)))
+    return frames.select("path", "frame_index", F.length("pixels").alias("n_bytes"), content_md5(F.col("pixels")).alias("md5"))
+
+
+def build_features(spark, sf_dir):
+    """Features of those images, as plain files and once more inside archives."""
+    images = _images(spark, sf_dir)
+    number = F.regexp_extract("path", "[0-9]+", 0).cast("long")
+    packed = images.select(F.concat(F.lit("zip/"), F.floor(number / 20).cast("string"), F.lit(".zip")).alias("archive"), F.concat(number.cast("string"), F.lit(".pgm")).alias("name"), "content")
+    told = jobs.frame_features(images.unionByName(_archives(packed)), MODEL)
+    return _scalars(told.filter("error IS NULL"))
+
+
+def query_image(spark, sf_dir):
+    """The images most like the first one, by their features."""
+    images = _images(spark, sf_dir)
+    path = shared_path(spark, "features")
+    store.save_features(jobs.frame_features(images, MODEL).filter("error IS NULL"), path)
+    vector = jobs.query_vector(images.filter("path = 'img/0.pgm'"), MODEL)
+    found = search.similarity_search(store.load_features(spark, path), vector, 0.8)
+    return found.select("path", "md5", F.round("score", 6).alias("score"))
+
+
+def batch_query(spark, sf_dir):
+    """The five images most like each of a stated query set."""
+    images = _images(spark, sf_dir)
+    path = shared_path(spark, "features")
+    store.save_features(jobs.frame_features(images, MODEL).filter("error IS NULL"), path)
+    asked = images.filter(F.regexp_extract("path", "[0-9]+", 0).cast("long") % 20 == 0)
+    found = jobs.batch_query(spark, store.load_features(spark, path), asked, MODEL, 0.5, 5)
+    return found.select("query_path", "path", "rank", F.round("score", 6).alias("score"))
+
+
+def stream_ingest(spark, sf_dir):
+    """Image files that arrive as a stream, ingested into a table."""
+    files, out, checkpoint = (shared_path(spark, n) for n in ("arrived", "streamed", "progress"))
+    _images(spark, sf_dir).write.parquet(files)
+    arriving = spark.readStream.schema(FILES).option("maxFilesPerTrigger", 4).parquet(files)
+    stream_features(arriving, out, checkpoint, MODEL).awaitTermination()
+    return _scalars(spark.read.schema("path string, md5 string, vgg16 array<float>, stage string, error string").parquet(out).filter("error IS NULL"))
+
+
+QUERIES = {
+    "similarity_search": similarity_search,
+    "batch_similarity_search": batch_similarity_search,
+    "top_k": top_k,
+    "near_duplicate_pairs": near_duplicate_pairs,
+    "l2_normalize": l2_normalized,
+    "content_md5": content_hashes,
+    "exact_duplicates": exact_duplicates,
+    "duplicate_members": duplicate_members,
+    "find_by_md5": find_by_md5,
+    "frame_whitelist": frame_whitelist,
+    "first_frame": first_frame,
+    "archive_routing": archive_routing,
+    "store_roundtrip": store_roundtrip,
+    "record_roundtrip": record_roundtrip,
+    "count_features": count_features,
+    "list_files": list_files,
+    "expand_archives": expand_archives,
+    "failed_files": failed_files,
+    "decode_frames": decode_frames,
+    "build_features": build_features,
+    "query_image": query_image,
+    "batch_query": batch_query,
+    "stream_ingest": stream_ingest,
+}
+
+_SCORES = """SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+  FROM embeddings a, embeddings b"""
+_STORED = """SELECT 'img/' || vec_id AS path, md5('img/' || vec_id) AS md5, len(embedding)::BIGINT AS n,
+  round(embedding[1]::DOUBLE, 6) AS head, round(embedding[-1]::DOUBLE, 6) AS tail FROM embeddings"""
+
+ORACLES = {
+    "similarity_search": f"SELECT vec_id, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id = 0) WHERE s >= 0.2::DOUBLE",
+    "batch_similarity_search": f"SELECT query_id, vec_id, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id % 20 = 0) WHERE s >= 0.3::DOUBLE",
+    "top_k": f"""SELECT query_id, vec_id, rank, round(s, 6) AS score FROM (SELECT *,
+      row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM ({_SCORES} WHERE a.vec_id % 20 = 0) WHERE s >= 0) WHERE rank <= 10""",
+    "near_duplicate_pairs": f"SELECT query_id AS vec_a, vec_id AS vec_b, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id < b.vec_id) WHERE s >= 0.3::DOUBLE",
+    "l2_normalize": """SELECT vec_id, round(u[1], 6) AS v1, round(u[32], 6) AS v32, round(u[64], 6) AS v64, round(list_inner_product(u, u), 6) AS squared_norm
+      FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u
+        FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 7 + 1)) AS v FROM embeddings))""",
+    "content_md5": "SELECT doc_id, md5(text) AS md5 FROM documents",
+    "exact_duplicates": "SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY md5(text) HAVING count(*) > 1",
+    "duplicate_members": """SELECT md5, doc_id, first_doc, n FROM (SELECT md5(text) AS md5, doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_doc,
+      count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) WHERE n > 1""",
+    "find_by_md5": "SELECT doc_id, md5(text) AS md5 FROM documents WHERE md5(text) IN (SELECT lower(upper(md5(text))) FROM documents WHERE doc_id % 20 = 0)",
+    "frame_whitelist": "SELECT CASE turn WHEN 0 THEN 'c/' || conv_id ELSE 'c/' || conv_id || '/' || turn END AS path, turn AS frame_index FROM conversations WHERE turn IN (0, 2, 5)",
+    "first_frame": "SELECT 'c/' || conv_id AS path FROM conversations WHERE turn = 0",
+    "archive_routing": """SELECT doc_id, 'a.zip/f' || doc_id || e AS path, e IN ('.zip', '.gz', '.tar.xz') AS is_archive, e <> '/' AS is_file FROM (SELECT doc_id,
+      CASE doc_id % 7 WHEN 0 THEN '.zip' WHEN 1 THEN '.ZIP' WHEN 2 THEN '.gz' WHEN 3 THEN '.png' WHEN 4 THEN '.tar.xz' WHEN 5 THEN '' ELSE '/' END AS e FROM documents)""",
+    "store_roundtrip": f"{_STORED} UNION ALL {_STORED}",
+    "record_roundtrip": _STORED,
+    "count_features": "SELECT count(*) AS n FROM embeddings",
+    "expand_archives": """SELECT 'zip/' || doc_id // 10 || '.zip' AS source_path, 'd/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS entry_name,
+      'zip/' || doc_id // 10 || '.zip/d/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS path, md5(coalesce(text, '')) AS md5 FROM documents""",
+    "failed_files": "SELECT 't/' || doc_id || CASE doc_id % 2 WHEN 0 THEN '.zip' ELSE '.png' END AS path, CASE doc_id % 2 WHEN 0 THEN 'archive' ELSE 'decode' END AS stage FROM documents",
+}
