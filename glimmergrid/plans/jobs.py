@@ -39,27 +39,27 @@ def build(spark: SparkSession, root: str | list[str], out: str, make_predict, fr
     """Builds the store ``out`` from all files below ``root``; returns how many features and errors there are.
 
     The expensive pass runs once and writes one table, split by whether a row
-    failed: features in ``out/features``, errors in ``out/errors``.
+    failed, below ``out/rows``, and the errors once more in ``out/errors``.
     """
     files = read_files(spark, root)
     large = files.filter(F.col("length") > max_file).select("path", F.lit("read").alias("stage"), F.lit("larger than the limit").alias("error"))
     told = frame_features(files.filter(F.col("length") <= max_file), make_predict, frames, decoder)
-    write_tagged(told, out, "overwrite")
+    write_tagged(told, f"{out}/rows", f"{out}/errors")
     large.write.mode("append").parquet(f"{out}/errors")
     return {"features": features_of(spark, out).count(), "errors": errors_of(spark, out).count()}
 
 
-def write_tagged(told: DataFrame, out: str, mode: str) -> None:
+def write_tagged(told: DataFrame, rows_path: str, errors_path: str) -> None:
     """Writes the tagged table once, then the small error table from it; features stay where they are."""
     rows = told.select("path", "md5", "vgg16", "stage", "error", F.col("error").isNotNull().alias("failed"))
-    rows.write.mode(mode).partitionBy("failed").parquet(f"{out}/rows")
-    rows = told.sparkSession.read.schema(rows.schema).parquet(f"{out}/rows")
-    rows.filter("failed").select("path", "stage", "error").write.mode(mode).parquet(f"{out}/errors")
+    rows.write.mode("overwrite").partitionBy("failed").parquet(rows_path)
+    rows = told.sparkSession.read.schema(rows.schema).parquet(rows_path)
+    rows.filter("failed").select("path", "stage", "error").write.mode("overwrite").parquet(errors_path)
 
 
 def features_of(spark: SparkSession, store: str) -> DataFrame:
     """The features of a built store; only that part of the table is read."""
-    return spark.read.schema("path string, md5 string, vgg16 array<float>, failed boolean").parquet(f"{store}/rows").filter("NOT failed").drop("failed")
+    return spark.read.schema("path string, md5 string, vgg16 array<float>, failed boolean").parquet(f"{store}/rows").filter("NOT failed").select("path", "md5", "vgg16")
 
 
 def errors_of(spark: SparkSession, store: str) -> DataFrame:

@@ -20,7 +20,8 @@ def read_files(spark: SparkSession, root: str | list[str], max_length: int | Non
     """All files below ``root`` (or the files of a list), with their bytes.
 
     Spark's file sources skip names that begin with ``_`` or ``.``; name such
-    files in a list. ``max_length`` leaves out larger ones before they are read.
+    files in a list. Empty files are left out by Spark, too. ``max_length`` leaves
+    out larger ones before they are read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files if max_length is None else files.filter(F.col("length") <= max_length)

@@ -33,17 +33,11 @@ def stream_build(spark: SparkSession, root: str, store: str, checkpoint: str, ma
     """Adds arriving files to a store in the layout of ``build``, a batch at a time.
 
     A batch that is run again after a failure replaces what it had written: each
-    batch has a folder of its own.
+    batch has a folder of its own. ``features_of`` and ``errors_of`` read the store.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        write_tagged(frame_features(batch, make_predict, frames, decoder), f"{store}/batch={number}", "overwrite")
+        write_tagged(frame_features(batch, make_predict, frames, decoder), f"{store}/rows/batch={number}", f"{store}/errors/batch={number}")
 
     files = arriving_files(spark, root, files_per_batch)
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def streamed_features(spark: SparkSession, store: str) -> DataFrame:
-    """The features of a store that ``stream_build`` fills."""
-    rows = spark.read.schema("path string, md5 string, vgg16 array<float>, failed boolean").option("basePath", store).parquet(f"{store}/batch=*/rows")
-    return rows.filter("NOT failed").select("path", "md5", "vgg16")
