@@ -37,7 +37,9 @@ from glimmergrid.llm.common import held_out, materialize, spread, table
 
 WORD = re.compile(r"[^\W\d_]+")
 # Marks that open or close a quotation.
-QUOTES = "\"“”„«»‹›‘’"
+QUOTES = "\"“”„«»‹›"
+#: What is quoted doesn't speak for or against a word when the lexicon is learned.
+QUOTED = f"[{QUOTES}][^{QUOTES}\n]{{1,200}}[{QUOTES}]"
 
 
 @dataclass
@@ -212,7 +214,7 @@ def fit_toxicity(
     if not toxic or not clean:
         constant = math.log((toxic + 0.5) / (clean + 0.5))
         return ToxicityModel([], (constant, 0.0, 0.0), window)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("text"), QUOTED, " "), F.lit(r"(\p{L}+)")))
     terms = F.array_distinct(F.concat(words, *[F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in stems]))
     per_text = sample.select("id", "label", F.md5("text").alias("same"), terms.alias("terms")).dropDuplicates(["same"])
     exploded = per_text.select("id", "label", F.explode("terms").alias("term"))
@@ -259,7 +261,7 @@ def weigh(sample: DataFrame, entries: list[Entry], toxic: int, clean: int, edits
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(entries, edits)
         for b in batches:
-            hits = [sorted({(k, e) for k, e, _ in text_hits(automaton, t or "", window)}) for t in b["text"]]
+            hits = [sorted({(k, e) for k, e, quoted in text_hits(automaton, t or "", window) if not quoted}) for t in b["text"]]
             yield pd.DataFrame({"label": b["label"], "hits": [[k * 2 + e for k, e in h] for h in hits]})
 
     hits = sample.select("text", "label").mapInPandas(found, "label int, hits array<int>").select("label", F.explode("hits").alias("hit"))

@@ -1,0 +1,365 @@
+"""Operators on documents against brute-force versions, and on odd rows."""
+
+from __future__ import annotations
+
+import random
+import re
+import struct
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from cases import ODD, frame, prose
+from glimmergrid.llm import fingerprints, jaccard, line_dedup, mixing, packing, suffix_dedup
+from glimmergrid.llm.components import connected_components
+
+
+def by_id(rows, key="doc_id"):
+    return {r[key]: r for r in rows}
+
+
+# Line dedup
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_lines(texts):
+    seen, out = [], {}
+    for i, text in enumerate(texts):
+        if text is None:
+            out[i] = None
+            continue
+        kept = []
+        for line in text.split("\n"):
+            form = re.sub(r"[ \t\x0b\f\r]+", " ", line).strip(" ")
+            if len(form) < line_dedup.MIN_CHARS or not any(abs(len(form) - len(s)) <= 1 and distance(form, s) <= 1 for s in seen):
+                kept.append(line)
+            if len(form) >= line_dedup.MIN_CHARS:
+                seen.append(form)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def edited(line: str, rng: random.Random) -> str:
+    at = rng.randrange(len(line))
+    return rng.choice([line[:at] + line[at + 1 :], line[:at] + "Q" + line[at:], line[:at] + "Z" + line[at + 1 :]])
+
+
+def test_lines(spark):
+    rng = random.Random(2)
+    lines = [prose(s, rng.randint(3, 12)) for s in range(40)]
+    pool = lines + [edited(x, rng) for x in lines] + [edited(edited(x, rng), rng) for x in lines] + [edited(lines[0], rng) for _ in range(12)]
+    texts = ["\n".join(rng.sample(pool, 6)) for _ in range(40)] + [None, "", "short", "short\nshort", "a  b   c d e f g h", "a b c d e f g h"]
+    got = by_id(line_dedup.dedup_lines(frame(spark, texts)).collect())
+    assert {i: r["kept_text"] for i, r in got.items()} == brute_lines(texts)
+    assert got[40]["n_lines"] == 0 and got[41]["n_lines"] == 1
+
+
+def test_odd_lines(spark):
+    got = by_id(line_dedup.dedup_lines(frame(spark, ODD), keep=("lang", "mark")).collect())
+    assert len(got) == len(ODD) and got[0]["kept_text"] is None and got[4]["kept_text"] == "a"
+    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+    twice = frame(spark, ["one long line of text"]).union(frame(spark, ["one long line of text"]))
+    assert [r["n_removed"] for r in line_dedup.dedup_lines(twice).collect()] == [0, 0]
+
+
+# Suffix-array dedup
+
+
+def brute_removed(texts, length):
+    data = [(t or "").encode() for t in texts]
+    starts = Counter(b[s : s + length] for b in data for s in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            if starts[b[s : s + length]] > 1:
+                gone[s : s + length] = True
+        edges = np.diff(np.concatenate(([0], gone.astype(int), [0])))
+        out.append((len(b), int(gone.sum()), int((edges == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return out
+
+
+@pytest.mark.parametrize("length, k, width", [(40, 8, 16), (40, 16, 20), (60, 8, 24)])
+def test_substrings(spark, length, k, width):
+    rng = random.Random(length + k)
+    base = [prose(s, 60) for s in range(6)]
+    texts = list(base) + [base[0], base[0]]
+    for _ in range(60):
+        a, b = rng.sample(base, 2)
+        i, j = rng.randrange(len(a)), rng.randrange(len(b))
+        texts.append(a[i : i + rng.randint(5, 150)] + prose(rng.random(), 5) + b[j : j + rng.randint(20, 90)])
+    texts += ["ab" * 60, "x" * 200, "x" * 39, base[1][:40], base[1][:39], "é" * 45, None, "", base[2] + base[2]]
+    got = by_id(suffix_dedup.dedup_substrings(frame(spark, texts), min_length=length, k=k, width=width).collect())
+    for i, want in enumerate(brute_removed(texts, length)):
+        r = got[i]
+        assert (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) == want, i
+
+
+def test_odd_substrings(spark):
+    got = by_id(suffix_dedup.dedup_substrings(frame(spark, ODD)).collect())
+    assert got[7]["n_bytes"] == 200_000 and bytes(got[7]["kept"]) == b"" and got[0]["n_bytes"] == 0
+    assert suffix_dedup.dedup_substrings(frame(spark, [])).count() == 0
+
+
+def test_segments_do_not_matter(monkeypatch):
+    text = np.frombuffer((prose(3, 3000)).encode(), np.uint8)
+    whole = suffix_dedup.slices(text, 400, 32, 200)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    cut = suffix_dedup.slices(text, 400, 32, 200)
+    assert set(zip(whole["at"], whole["h1"])) == set(zip(cut["at"], cut["h1"]))
+
+
+# Jaccard join
+
+
+def grams(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", (text or "").lower()) if x]
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_jaccard(spark, block):
+    rng = random.Random(8)
+    base = [prose(s, rng.randint(40, 120)) for s in range(25)]
+    texts = list(base)
+    for text in base:
+        for _ in range(3):
+            w = text.split(" ")
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    texts += [base[0], base[0].upper(), None, "", "two words", "two  words", "two other"]
+    got = by_id(jaccard.jaccard_join(frame(spark, texts), block=block).collect())
+    sets = [grams(t) for t in texts]
+    names = {s: min(i for i, x in enumerate(sets) if x == s) for s in set(sets) if s}
+    links = defaultdict(set)
+    for a in names:
+        for b in names:
+            if a != b and len(a & b) >= 0.8 * len(a | b):
+                links[names[a]].add(names[b])
+    root = {}
+    for n in sorted(names.values()):
+        todo = [n]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = n
+                todo += links[x]
+    for i, s in enumerate(sets):
+        own = names.get(s, i)
+        assert (got[i]["copy_of"], got[i]["class_id"], got[i]["n_links"]) == (own, root.get(own, i), len(links[own])), i
+        assert got[i]["n_copies"] == (sets.count(s) if s else 1)
+
+
+def test_odd_jaccard(spark):
+    docs = frame(spark, ODD).union(frame(spark, ["other text of this id"], start=3)).union(frame(spark, ["a"], start=4))
+    got = jaccard.jaccard_join(docs).collect()
+    assert len(got) == len(ODD) + 2
+    assert jaccard.jaccard_join(frame(spark, [])).count() == 0
+
+
+def test_bands():
+    for threshold in (0.5, 0.8, 0.9):
+        bands, rows = jaccard.choose_bands(threshold, 0.999)
+        assert 1 - (1 - threshold**rows) ** bands >= 0.999
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(0, i) for i in range(1, 60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {n: r for n, r in root.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+# Packing
+
+
+def check_packing(texts, rows):
+    """Pieces cover all tokens, sequences have no gaps and no more than 1024 tokens."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_vocabulary()[0])
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == set(range(len(texts)))
+    for i, text in enumerate(texts):
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 2]
+        at = 0
+        for k, r in enumerate(sorted(pieces[i], key=lambda r: r["piece"])):
+            part = np.array(ids[at : at + r["length"]], "<u4").tobytes()
+            assert (r["piece"], r["start"], r["ids_crc32"]) == (k, at, zlib.crc32(part))
+            at += r["length"]
+        assert at == len(ids) and (len(pieces[i]) == -(-len(ids) // 1024))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    return len(sequences), sum(r["length"] for r in rows) / 1024
+
+
+def test_packing(spark):
+    rng = random.Random(5)
+    texts = [prose(s, rng.choice([3, 30, 90, 150, 200, 400, 1500])) for s in range(120)] + ODD + ["a  b   c", "a \n b\n\n  c ", " lead", "trail ", "<|endoftext|> x", "don't  it's", "x y 　z"]
+    n, least = check_packing(texts, packing.pack(frame(spark, texts)).collect())
+    assert n <= 1.05 * least + 1
+    assert packing.pack(frame(spark, [])).count() == 0
+
+
+def best_fit_decreasing(histogram, capacity):
+    """Sequences that plain best fit takes, one piece after another."""
+    gaps, opened = Counter(), 0
+    for n in sorted(histogram, reverse=True):
+        for _ in range(histogram[n]):
+            gap = min((g for g, k in gaps.items() if k and g >= n), default=None)
+            if gap is None:
+                opened, gap = opened + 1, capacity
+            else:
+                gaps[gap] -= 1
+            gaps[gap - n] += 1
+    return opened
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plans(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 64, 1024])
+    histogram = {n: rng.randint(1, rng.choice([1, 5, 400])) for n in rng.sample(range(1, capacity + 1), min(capacity, 30))}
+    plan = packing.plan_packing(histogram, capacity)
+    assert plan.used == histogram
+    spans = defaultdict(list)
+    for length, at, pieces, first, each, offset in plan.runs:
+        for i in range(pieces):
+            spans[first + i // each].append((offset + i % each * length, length))
+    assert set(spans) == set(range(plan.sequences))
+    for places in spans.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= capacity and sum(3 * n > capacity for _, n in places) <= 2
+    assert plan.sequences <= best_fit_decreasing(histogram, capacity)
+
+
+# Fingerprints
+
+
+def brute_form(text):
+    text = unicodedata.normalize("NFC", text or "")
+    for one, several in fingerprints.LIGATURES.items():
+        text = text.replace(one, several)
+    return re.sub(r"\s+", " ", text.lower()).strip()
+
+
+def brute_digest(form):
+    seeds = [xxhash.xxh64_intdigest(struct.pack("<i", s), seed=42) for s in (3, 5, 7, 11)]
+    return "".join(f"{xxhash.xxh64_intdigest(form.encode(), seed=s):016x}" for s in seeds)
+
+
+def test_fingerprints(spark):
+    texts = ["Café  au\tlait", "café au lait", "CAFÉ AU LAIT ", "cafe au lait", "Straße", "STRASSE", "ﬁn", "fin", "ệ", "ệ", None, "", "x" * 100_000, "日本語"]
+    got = by_id(fingerprints.exact_groups(frame(spark, texts)).collect())
+    want = [brute_digest(brute_form(t)) for t in texts]
+    assert [got[i]["fingerprint"] for i in range(len(texts))] == want
+    for i, w in enumerate(want):
+        assert got[i]["group_id"] == want.index(w) and got[i]["copies"] == want.count(w)
+    assert fingerprints.exact_groups(frame(spark, [])).count() == 0
+    assert fingerprints.exact_groups(frame(spark, ODD)).count() == len(ODD)
+
+
+def test_colliding_digests_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, "d", "a"), (2, "d", "b"), (3, "d", "a"), (4, "e", "a")], "id long, digest string, form string")
+    got = {r["id"]: r["fingerprint"] for r in fingerprints.distinguish(rows).collect()}
+    assert got == {1: "d", 2: "d-2", 3: "d", 4: "e"}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_next(spark, parts):
+    ids = [5, 9, 9, 1, 30, 7, 7, 7, None, 2]
+    rows = spark.createDataFrame([(i, f"t{n}", n) for n, i in enumerate(ids)], "id long, text string, tie long")
+    got = {r["tie"]: r["next_text"] for r in fingerprints.with_next(rows, ["text"], parts).collect()}
+    order = sorted(range(len(ids)), key=lambda n: (ids[n] is None, -(ids[n] or 0), n))
+    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+
+
+def test_next_of_few(spark):
+    rows = spark.createDataFrame([(1, "a", 0)], "id long, text string, tie long")
+    assert fingerprints.with_next(rows, ["text"], 4).first()["next_text"] == "a"
+    assert fingerprints.with_next(rows.limit(0), ["text"], 4).count() == 0
+
+
+# Mixing
+
+
+def brute_targets(sizes, weights, share=1.5, most=2.0):
+    """Targets by repeated sharing out of what is above the limits."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, full, left = {}, set(), share * sum(sizes.values())
+    while True:
+        rest = [s for s in names if s not in full]
+        unit = left / sum(weight[s] for s in rest) if rest else 0
+        over = [s for s in rest if unit * weight[s] > most * sizes[s]]
+        if not over:
+            return target | {s: unit * weight[s] for s in rest}
+        for s in over:
+            target[s] = most * sizes[s]
+            left -= target[s]
+            full.add(s)
+
+
+def test_mixing(spark):
+    rng = random.Random(3)
+    sources = [rng.choice(["a", "b", "b", "b", "c", "d", "é", None]) for _ in range(300)]
+    texts = [prose(i, rng.randint(0, 60)) for i in range(300)]
+    docs = frame(spark, texts, sources)
+    got = by_id(mixing.mix_sources(docs, ranges=8).collect())
+    sizes = Counter()
+    for s, t in zip(sources, texts):
+        sizes[s] += len(t.split())
+    targets = brute_targets(sizes, mixing.WEIGHTS)
+    taken = Counter()
+    for i, s in enumerate(sources):
+        assert got[i]["size"] == len(texts[i].split()) and got[i]["source_size"] == sizes[s]
+        assert got[i]["target"] == pytest.approx(targets[s], abs=1e-4)
+        assert 0 <= got[i]["taken"] <= 2 * got[i]["size"]
+        taken[s] += got[i]["taken"]
+    for s in sizes:
+        assert abs(taken[s] - targets[s]) <= 1
+        parts = [got[i] for i in range(300) if sources[i] == s and got[i]["size"]]
+        assert sum(0 < r["part"] < r["size"] for r in parts) <= 1 and len({r["epochs"] for r in parts}) <= 1
+    again = by_id(mixing.mix_sources(docs.repartition(7), ranges=3).collect())
+    assert {i: r["taken"] for i, r in again.items()} == {i: r["taken"] for i, r in got.items()}
+
+
+def test_odd_mixing(spark):
+    got = mixing.mix_sources(frame(spark, ODD), keep=("id", "mark", "score")).collect()
+    assert len(got) == len(ODD) and by_id(got)[0]["taken"] == 0
+    assert mixing.mix_sources(frame(spark, [])).count() == 0
+    assert {r["taken"] for r in mixing.mix_sources(frame(spark, [None, ""])).collect()} == {0}
+
+
+def test_quality_weights_favour(spark):
+    texts = [prose(i, 20) for i in range(200)] + [prose(i, 20).replace(" ", " ## ") for i in range(200)]
+    docs = frame(spark, texts)
+    got = by_id(mixing.mix_sources(docs, share=0.5).collect())
+    assert sum(got[i]["taken"] for i in range(200)) > 1.3 * sum(got[i]["taken"] / 2 for i in range(200, 400))
