@@ -183,19 +183,22 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(texts, n, bands, rows), "signatures")
     classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"))
-    met = signed.filter("node IS NOT NULL").select("node", F.explode("bands").alias("band")).distinct()
-    heads = met.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # Candidates go by 64-bit names: if two texts shared one, their candidates would be verified together.
+    met = signed.filter("node IS NOT NULL").select(F.xxhash64("node").alias("node"), F.explode("bands").alias("band")).distinct()
+    # Tables of one row per key are written first: both sides of a join are then plain shuffles, and a hot key's rows can be split.
+    heads = materialize(met.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "heads")
     linked = met.join(heads, "band").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     found = materialize(connected_components(linked), "candidates")
-    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    wanted = found.join(sizes, "root").join(classes.select("node", "copy_of"), "node").select("root", "node", "size", F.col("copy_of").alias("id"))
+    sizes = materialize(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    named = classes.select("node", F.col("copy_of").alias("id"), F.xxhash64("node").alias("short"))
+    wanted = found.join(sizes, "root").withColumnRenamed("node", "short").join(named, "short").select("root", "node", "size", "id")
     # Rows that repeat an id come along with it; a set is verified once, by a row that has it.
     links = materialize(verify(texts.join(wanted, "id"), n, threshold, block), "links")
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     near = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = classes.join(near, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    told = named.join(least, "root").select("node", "class_id", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    told = materialize(named.join(least, "root").select("node", "class_id", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     return signed.select("id", "node").join(told, "node", "left").select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
