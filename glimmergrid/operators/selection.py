@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmergrid.schemas import check_frames
+from glimmergrid.functions.vectors import reaches
+from glimmergrid.schemas import THRESHOLD, check_frames, check_threshold
 
 LITERALS = 10_000
 
@@ -32,6 +33,11 @@ def first_image(frames: DataFrame) -> DataFrame:
     return good.join(keys, "source_path").filter(F.struct("entry_ordinal", "frame_index") == F.col("first")).drop("first")
 
 
+def threshold_filter(matches: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """Matches with a score of at least ``t``; NaN is never one."""
+    return matches.filter(reaches(F.col("score"), check_threshold(t)))
+
+
 def find_by_md5(features: DataFrame, hashes: DataFrame) -> DataFrame:
     """Rows whose hash is among ``hashes`` (column ``md5``, in either case). Spark broadcasts the list if its size allows it."""
     wanted = hashes.select(F.lower("md5").alias("md5")).distinct()

@@ -8,6 +8,7 @@ files can be joined by concatenation.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from glimmergrid.schemas import DIMENSIONS
 
@@ -76,12 +77,52 @@ def parse_records(files: DataFrame, mode: str = "FAILFAST", dimensions: int = DI
     return files.select("path", "content").mapInPandas(parse, RECORDS)
 
 
-def read_feature_records(spark: SparkSession, glob: str, mode: str = "FAILFAST", dimensions: int = DIMENSIONS) -> DataFrame:
-    """Features from record files, by Spark's file reader, so any store that Spark reads will do. In PERMISSIVE mode errors are in a column ``error``."""
-    found = parse_records(spark.read.format("binaryFile").load(glob), mode, dimensions)
+def read_feature_records(spark: SparkSession, glob: str, mode: str = "FAILFAST", dimensions: int = DIMENSIONS, large: int = 1 << 30) -> DataFrame:
+    """Features from record files. In PERMISSIVE mode errors are in a column ``error``.
+
+    Files come through Spark's file reader, from any store that Spark reads.
+    That reader holds a file as one value, so files over ``large`` bytes are
+    streamed instead, each by one task that opens it: these must lie in a file
+    system that all executors see.
+    """
+    files = spark.read.format("binaryFile").load(glob)
+    found = parse_records(files.filter(F.col("length") <= large), mode, dimensions)
+    # Names of files over the limit only.
+    if names := [r["path"] for r in files.filter(F.col("length") > large).select("path").collect()]:
+        spark.dataSource.register(FeatureRecords)
+        streamed = spark.read.format("feature_records").schema(RECORDS).options(files=json.dumps(names), mode=mode, dimensions=str(dimensions)).load()
+        found = found.unionByName(streamed)
     return found if mode == "PERMISSIVE" else found.drop("error")
 
 
+class RecordFile(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class RecordReader(DataSourceReader):
+    """Streams record files, one a task."""
+
+    def __init__(self, files: list[str], mode: str, dimensions: int):
+        self.files, self.mode, self.dimensions = files, mode, dimensions
+
+    def partitions(self) -> list[InputPartition]:
+        return [RecordFile(f) for f in self.files]
+
+    def read(self, partition: RecordFile) -> Iterator[tuple]:
+        import os
+
+        name = partition.path.removeprefix("file://").removeprefix("file:")
+        with open(name, "rb", buffering=1 << 20) as data:
+            try:
+                for path, md5, vector in read_records(data, os.path.getsize(name), self.dimensions):
+                    yield path, md5, vector.tolist(), None
+            except ValueError as e:
+                if self.mode == "FAILFAST":
+                    raise
+                yield partition.path, None, None, str(e)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     name: str
@@ -127,14 +168,17 @@ class RecordWriter(DataSourceWriter):
 
 
 class FeatureRecords(DataSource):
-    """Spark's format ``feature_records``, for writing. The folder must be one that all executors share."""
+    """Spark's format ``feature_records``: streams large files, and writes a folder. Both must be where all executors see them."""
 
     @classmethod
     def name(cls) -> str:
         return "feature_records"
 
     def schema(self) -> str:
-        return "path string, md5 string, vgg16 array<float>"
+        return RECORDS
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return RecordReader(json.loads(self.options["files"]), self.options["mode"], int(self.options["dimensions"]))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return RecordWriter(self.options["path"], overwrite)
@@ -155,5 +199,5 @@ def to_records(df: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
 def write_feature_records(df: DataFrame, folder: str) -> None:
     """Replaces the record files of ``folder``, one a partition."""
     df.sparkSession.dataSource.register(FeatureRecords)
-    rows = df.select(F.col("path"), F.col("md5"), F.col("vgg16").cast("array<float>").alias("vgg16"))
+    rows = df.select(F.col("path"), F.col("md5"), F.col("vgg16").cast("array<float>").alias("vgg16"), F.lit(None).cast("string").alias("error"))
     rows.write.format("feature_records").mode("overwrite").option("path", folder).save()

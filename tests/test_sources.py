@@ -184,16 +184,19 @@ def test_records(spark, tmp_path):
     files = sorted((tmp_path / "out").glob("*.db"))
     assert len(files) == 1 and len(files[0].read_bytes()) == 2 * len(record("é")) + len(record("b"))
     assert records.read_feature_records(spark, out + "/*.db", dimensions=4).count() == 3
+    streamed = records.read_feature_records(spark, str(tmp_path / "*.db"), dimensions=4, large=60)
+    assert sorted(map(str, streamed.collect())) == sorted(map(str, rows.collect()))
     assert records.record_bytes("é", "0123456789abcdef" * 2, [0, 1, 2, 3]) == record("é")
 
 
+@pytest.mark.parametrize("large", [1 << 30, 0])
 @pytest.mark.parametrize("cut", [3, 8, 20, -1])
-def test_cut_records(spark, tmp_path, cut):
+def test_cut_records(spark, tmp_path, cut, large):
     (tmp_path / "cut.db").write_bytes(record("a") + record("bb")[:cut])
-    rows = records.read_feature_records(spark, str(tmp_path / "cut.db"), "PERMISSIVE", 4).collect()
+    rows = records.read_feature_records(spark, str(tmp_path / "cut.db"), "PERMISSIVE", 4, large).collect()
     assert [r["error"] is None for r in rows] == [True, False]
     with pytest.raises(Exception, match="record"):
-        records.read_feature_records(spark, str(tmp_path / "cut.db"), "FAILFAST", 4).collect()
+        records.read_feature_records(spark, str(tmp_path / "cut.db"), "FAILFAST", 4, large).collect()
 
 
 def test_stream(spark, tree, tmp_path):
