@@ -24,7 +24,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimmergrid.llm.common import shuffle_partitions, table
+from glimmergrid.llm.common import bound, shuffle_partitions, table
 
 MARKS = [chr(c) for c in range(0x300, 0x370)]
 
@@ -52,11 +52,6 @@ def _compatible() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)``, with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
-
-
 def _compose(text: Column) -> Column:
     """Joins base letters with the combining marks behind them, mark by mark."""
     steps = F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(a).alias("bases"), F.lit(b).alias("composed")) for m, (a, b) in _compositions().items()])
@@ -89,7 +84,7 @@ def compatible(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The form of ``text`` in which equal documents are equal bytes."""
-    usual = _bind(composed(F.coalesce(text, F.lit(""))), compatible)
+    usual = bound(composed(F.coalesce(text, F.lit(""))), compatible)
     return F.trim(F.regexp_replace(F.lower(usual), r"[\s\x{85}\x{A0}\x{2028}\x{2029}]+", " "))
 
 

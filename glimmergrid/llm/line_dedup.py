@@ -7,7 +7,8 @@ earliest stays. Lines are compared after white space is folded and trimmed.
 1. Equal lines collapse to one row with the place of their first occurrence.
 2. Two lines within one edit are equal outside the block in which the edit lies.
    Of all distinct lines only those go on that share all but one of two blocks
-   with another line, and of these only those that share all but one of sixteen.
+   (a half) with another line, and of these only those that share all but one of
+   sixteen.
    No pair within the bound is lost, and a line without near lines costs a few
    keys instead of a whole neighbourhood.
 3. Those emit the deletion neighbourhood of the open block: the block and every
@@ -28,16 +29,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmergrid.llm.common import materialize, table
+from glimmergrid.llm.common import bound, materialize, table
 
 MIN_CHARS = 10
-COARSE, FINE = 2, 16
+FINE = 16
 PLACE = ["id", "mark", "nth"]
 
 
 def folded(line: Column) -> Column:
-    """The form in which lines are compared."""
-    return F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))
+    """The form in which lines are compared. Most lines have nothing to fold and skip the pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")).otherwise(line))
+
+
+def half_keys(line: Column) -> list[Column]:
+    """Hashes of the two halves, each with the length it is cut by: as the shorter line of a pair, and as the longer."""
+    found = []
+    for short in (F.length(line), F.length(line) - 1):
+        half = F.floor(short / 2).cast("int")
+        found += [F.xxhash64(short, F.lit("<"), F.left(line, half)), F.xxhash64(short, F.lit(">"), F.right(line, short - half))]
+    return found
 
 
 def block_keys(line: Column, blocks: int) -> Column:
@@ -75,17 +88,20 @@ def all_lines(rows: DataFrame) -> DataFrame:
 
 
 def distinct_lines(rows: DataFrame, min_chars: int) -> DataFrame:
-    """One row per distinct line: 128 bits that stand for it, its first place and its coarse keys."""
-    keys = block_keys(F.col("line"), COARSE)["key"]
-    lines = all_lines(rows).filter(F.length("line") >= min_chars).withColumn("keys", keys)
-    lines = lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), *[F.col("keys")[i].alias(f"k{i}") for i in range(2 * COARSE)])
-    found = lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(2 * COARSE)])
-    return found.select("place.*", *[f"k{i}" for i in range(2 * COARSE)])
+    """One row per distinct line: 128 bits that stand for it, its first place and the keys of its halves."""
+    keys = [k.alias(f"k{i}") for i, k in enumerate(half_keys(F.col("line")))]
+    lines = all_lines(rows).select(*PLACE, F.length("line").alias("size"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), *keys).filter(F.col("size") >= min_chars)
+    found = lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+    return found.select("place.*", *[f"k{i}" for i in range(4)])
 
 
 def shared(keyed: DataFrame, key: str) -> DataFrame:
-    """Rows of ``keyed`` whose ``key`` another row has too."""
-    often = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(key)
+    """Rows of ``keyed`` whose ``key`` another row has too.
+
+    The repeated keys are written first, so that both sides of the join are plain
+    shuffles and a hot key's rows can be split.
+    """
+    often = materialize(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(key), "often")
     return keyed.join(often, key, "left_semi")
 
 
@@ -108,7 +124,7 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     block = F.substr("line", F.col("start") + 1, F.col("length"))
     emitted = opened.select(*PLACE, F.explode(variants(F.col("key"), block, F.col("longer"))).alias("variant")).distinct()
     met = materialize(shared(emitted, "variant"), "lines-met")
-    first = met.groupBy("variant").agg(F.min(F.struct(*PLACE)).alias("first"))
+    first = materialize(met.groupBy("variant").agg(F.min(F.struct(*PLACE)).alias("first")), "lines-first")
     later = met.join(first, "variant").filter(F.struct(*PLACE) > F.col("first")).select("variant", *PLACE, *[F.col(f"first.{c}").alias(f"e_{c}") for c in PLACE])
     pairs = later.select(*PLACE, *[f"e_{c}" for c in PLACE]).distinct()
 
@@ -139,22 +155,24 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
     slim = rows.select("id", "mark", "text")
     unique = materialize(distinct_lines(slim, min_chars), "lines-unique")
-    keyed = unique.select(*PLACE, F.explode(F.array_distinct(F.array(*[f"k{i}" for i in range(2 * COARSE)]))).alias("key"))
+    keyed = unique.select(*PLACE, F.explode(F.array_distinct(F.array(*[f"k{i}" for i in range(4)]))).alias("key"))
     candidates = per_document(shared(keyed, "key").select(*PLACE).distinct(), slim, "inner")
-    lines = candidates.dropDuplicates(["id", "mark"]).select("id", "mark", F.split("text", "\n").alias("lines"), F.explode("nths").alias("nth"))
-    near = materialize(lines.select(*PLACE, folded(F.element_at("lines", F.col("nth") + 1)).alias("line")), "lines-near")
+    picked = bound(F.split("text", "\n"), lambda lines: F.transform("nths", lambda i: F.struct(i.alias("nth"), F.element_at(lines, i + 1).alias("line"))))
+    picked = candidates.dropDuplicates(["id", "mark"]).select("id", "mark", F.explode(picked).alias("l")).select("id", "mark", "l.*")
+    near = materialize(picked.select(*PLACE, folded(F.col("line")).alias("line")), "lines-near")
     gone = near_earlier(near)
     firsts = unique.select(*PLACE).join(gone, same_place(unique, gone), "left_anti")
     short = all_lines(slim).filter(F.length("line") < min_chars).select(*PLACE).distinct()
     told = per_document(firsts.union(short), rows, "left")
-    lines = F.split("text", "\n")
+    kept_text = bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform("nths", lambda i: F.element_at(lines, i + 1)), "\n"))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     stays = F.coalesce(F.size("nths"), F.lit(0))
     return told.select(
         F.col("id").alias(id_col),
         *[F.col("kept")[c].alias(c) for c in keep],
-        F.when(F.col("text").isNotNull(), F.coalesce(F.array_join(F.transform("nths", lambda i: F.element_at(lines, i + 1)), "\n"), F.lit(""))).alias("kept_text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - stays).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNotNull(), F.coalesce(kept_text, F.lit(""))).alias("kept_text"),
+        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(n_lines - stays).cast("long").alias("n_removed"),
     )
 
 
