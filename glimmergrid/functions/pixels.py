@@ -28,11 +28,12 @@ def resized(image: np.ndarray, side: int = SIDE) -> np.ndarray:
 
     y0, y1, fy = weights(image.shape[0])
     x0, x1, fx = weights(image.shape[1])
-    pixels = image.astype(np.float64)
     fy, fx = fy[:, None, None], fx[None, :, None]
-    top = pixels[y0][:, x0] * (1 - fx) + pixels[y0][:, x1] * fx
-    bottom = pixels[y1][:, x0] * (1 - fx) + pixels[y1][:, x1] * fx
-    return np.rint(top * (1 - fy) + bottom * fy).astype(np.uint8)
+    # Lines first: of a large image only those that are needed become numbers.
+    lines = image[y0] * (1 - fy) + image[y1] * fy
+    left, right = lines[:, x0], lines[:, x1]
+    left += (right - left) * fx
+    return np.rint(left).astype(np.uint8)
 
 
 @F.pandas_udf(T.BinaryType())
