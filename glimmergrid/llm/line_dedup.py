@@ -133,7 +133,7 @@ def near_earlier(lines: DataFrame) -> DataFrame:
         return told.filter(F.levenshtein("line", "earlier", 1) >= 0).select(*PLACE).distinct()
 
     settled = materialize(verified(pairs), "lines-settled")
-    rest = later.select("variant", *PLACE).alias("a")
+    rest = later.select("variant", *PLACE)
     rest = rest.join(settled, same_place(rest, settled), "left_anti")
     before = met.select("variant", *[F.col(c).alias(f"e_{c}") for c in PLACE])
     others = rest.join(before, "variant").filter(F.struct(*[f"e_{c}" for c in PLACE]) < F.struct(*PLACE))

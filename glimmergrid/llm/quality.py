@@ -125,7 +125,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], la
     """
     w, bias = np.zeros(size), 0.0
     alpha = np.zeros(len(rows))
-    norms = np.array([v @ v for v in values]) + 1.0
+    norms = np.array([float(v @ v) for v in values]) + 1.0
     y = np.where(labels > 0, 1.0, -1.0)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -143,7 +143,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], la
     return w, bias
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", hold_out=held_out, rows_per_class: int = 4_000, bits: int = BITS) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", hold_out=held_out, rows_per_class: int = 2_000, bits: int = BITS) -> QualityModel:
     """Learns the model from a bounded sample of labelled rows."""
     sample = labelled_sample(docs, labels, label, rows_per_class, id_col, text_col, hold_out)
 
@@ -157,11 +157,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", i
     if len(set(y)) < 2:
         share = (y.sum() + 0.5) / (len(y) + 1)
         return QualityModel(np.zeros(size), 0.0, (float(np.log(share / (1 - share))), 1.0), bits)
-    rows = [np.frombuffer(g, "<i4").astype(np.int64) for g in got["grams"]]
+    rows = [np.frombuffer(g, "<i4") for g in got["grams"]]
     fits = np.arange(len(rows)) % 4 > 0 if min(np.bincount(y)) >= 8 else np.ones(len(rows), bool)
     train = np.flatnonzero(fits)
     ratios = log_count_ratios([rows[i] for i in train], y[train], size)
-    values = [ratios[r] / max(1.0, np.sqrt(len(r))) for r in rows]
+    values = [(ratios[r] / max(1.0, np.sqrt(len(r)))).astype(np.float32) for r in rows]
     w, bias = dual_coordinate_descent([rows[i] for i in train], [values[i] for i in train], y[train], size)
     rest = np.flatnonzero(~fits) if not fits.all() else train
     margins = np.array([w[rows[i]] @ values[i] + bias for i in rest])
