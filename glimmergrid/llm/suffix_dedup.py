@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,7 @@ from glimmergrid.llm.hashing import mixed
 MIN_LENGTH, K, SLICE = 400, 32, 200
 SEGMENT = 1 << 23
 ROWS = 20_000
+BUCKET = 5_000
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F]
 
 
@@ -143,10 +145,10 @@ def runs(marked: np.ndarray) -> list[int]:
 
 
 def repeated_windows(surroundings: DataFrame, width: int) -> DataFrame:
-    """``h1``, ``place`` and ``shared`` (runs of bytes before the core) of surroundings that hold repeated windows."""
+    """``h1``, ``place`` and ``shared`` (runs of bytes before the core) of surroundings that hold repeated windows; buckets go by ``key``."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = pdf.groupby(["h1", "h2"], sort=False).ngroup().to_numpy()
+        bucket = pdf.groupby(["key", "h1", "h2"], sort=False).ngroup().to_numpy()
         sizes = np.bincount(bucket)[bucket]
         low, high, copies = (pdf[c].to_numpy() for c in ("low", "high", "copies"))
         found = [[int(a), int(b)] if c > 1 else [] for a, b, c in zip(low, high, copies)]
@@ -164,22 +166,56 @@ def repeated_windows(surroundings: DataFrame, width: int) -> DataFrame:
         waiting: list[pd.DataFrame] = []
         held = 0
         for b in batches:
-            # Rows come sorted by core: all but the last core's rows are complete.
+            # Rows come sorted by bucket: all but the last bucket's rows are complete.
             waiting.append(b)
             held += len(b)
             if held >= ROWS:
                 rows = pd.concat(waiting, ignore_index=True)
-                cut = int(np.searchsorted(rows["h1"].to_numpy(), rows["h1"].iat[-1]))
+                cut = int(np.searchsorted(rows["key"].to_numpy(), rows["key"].iat[-1]))
                 if cut:
                     yield settle(rows.iloc[:cut].reset_index(drop=True))
                 waiting, held = [rows.iloc[cut:]], len(rows) - cut
         if held:
             yield settle(pd.concat(waiting, ignore_index=True))
 
-    dealt = surroundings.repartition("h1").sortWithinPartitions("h1")
+    dealt = surroundings.repartition("key").sortWithinPartitions("key")
     return dealt.mapInPandas(buckets, "h1 long, place long, shared array<int>")
 
 
+def split_buckets(surroundings: DataFrame, width: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Deals surroundings to buckets of up to ``most`` rows, and gives windows that need none.
+
+    A core with many different surroundings, such as a passage that stands in
+    very many documents, is dealt anew by more than the core: windows that begin
+    ``a`` to ``b`` bytes before it share the last ``a`` bytes to its left and all
+    but ``b`` of those to its right, too. Ranges get narrower until the bucket is
+    small enough. A range of one window needs no expansion: its rows are equal.
+    """
+    rows = surroundings.withColumn("key", F.xxhash64("h1", "h2")).withColumn("a", F.lit(0)).withColumn("b", F.lit(width))
+    done: list[DataFrame] = []
+    equal = None
+    steps = [w for w in (width // 4, width // 20, 1) if w]
+    for step in (*steps, None):
+        hot = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"), "hot")
+        if hot.isEmpty():
+            break
+        done.append(rows.join(hot, "key", "left_anti"))
+        large = rows.join(hot, "key", "left_semi")
+        if step is None:
+            equal = large.select("h1", "place", F.array("a", "a").alias("shared"))
+            return _all(done), equal
+        parts = large.withColumn("from", F.explode(F.sequence(F.col("a"), F.col("b") - 1, F.lit(step))))
+        parts = parts.withColumn("b", F.least(F.col("b"), F.col("from") + step)).withColumn("a", F.col("from")).drop("from")
+        parts = parts.withColumn("low", F.greatest("low", "a")).withColumn("high", F.least(F.col("high"), F.col("b") - 1)).filter("low <= high")
+        near = F.xxhash64("h1", "h2", "a", "b", F.expr("substring(left, length(left) - a + 1, a)"), F.expr(f"substring(right, 1, {width} - b)"))
+        rows = materialize(parts.withColumn("key", near), "parts")
+    return _all([*done, rows]), equal
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).drop("a", "b")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Disjoint maximal spans."""
     out: list[list[int]] = []
@@ -191,7 +227,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, k: int = K, width: int = SLICE) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, k: int = K, width: int = SLICE, bucket_rows: int = BUCKET) -> DataFrame:
     """Documents without the bytes that repeated strings cover.
 
     Returns, for each input row, ``id_col``, ``n_bytes``, ``spans`` (removed runs,
@@ -212,7 +248,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copied = outlines.join(texts.filter("copies > 1").select("digest"), "digest", "left_semi").select("id", "mark").distinct()
     one_each = outlines.select("id", "mark", "digest", "cores").join(texts.select("id", "mark", "digest"), ["id", "mark", "digest"], "left_semi").dropDuplicates(["digest"])
     cores = one_each.select("id", "mark", F.posexplode("cores").alias("nth", "h1"))
-    often = cores.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
+    # Written first, so that both sides of the join are plain shuffles and a very common core's rows can be split.
+    often = materialize(cores.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"), "often")
     wanted = cores.join(often, "h1", "left_semi").groupBy("id", "mark").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
     wanted = materialize(wanted, "wanted")
     dealt = rows.join(wanted, (rows["id"].eqNullSafe(wanted["id"])) & (rows["mark"] == wanted["mark"])).select(rows["id"], rows["mark"], "text", "nths")
@@ -243,7 +280,9 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     around = dealt.mapInPandas(surround(True), "h1 long, h2 long, low int, high int, left binary, right binary, place long")
     around = around.groupBy("h1", "h2", "low", "high", "left", "right", "place").agg(F.count(F.lit(1)).alias("copies"))
-    shared = materialize(repeated_windows(around, width), "windows")
+    buckets, equal = split_buckets(materialize(around, "around"), width, bucket_rows)
+    shared = repeated_windows(buckets, width)
+    shared = materialize(shared if equal is None else shared.unionByName(equal), "windows")
     at = dealt.select("id", "mark", "text", "nths").mapInPandas(surround(False), f"id {kind}, mark long, at long, h1 long, place long")
     hits = at.join(shared, ["h1", "place"]).select("id", "mark", F.struct("at", "shared").alias("hit"))
     hits = hits.groupBy("id", "mark").agg(F.collect_list("hit").alias("hits"))

@@ -18,4 +18,4 @@ def frame(spark, texts, sources=None, start=0):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, mark string, score double")
 
 
-ODD = [None, "", " ", "\n\n", "a", "é", "ß" * 30, "word " * 40_000, "\t\x0b\f\r", "one two three four", "á ë", "日本語 テキスト", "\U0001f600 smile"]
+ODD = [None, "", " ", "\n\n", "a", "é", "ß" * 30, "word " * 40_000, "\t\x0b\f\r", "one two three four", "á ë", "日本語 テキスト", "\U0001f600 smile", "\U0001f600", "\U00020000"]

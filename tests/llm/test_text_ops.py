@@ -91,8 +91,8 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length, k, width", [(40, 8, 16), (40, 16, 20), (60, 8, 24)])
-def test_substrings(spark, length, k, width):
+@pytest.mark.parametrize("length, k, width, most", [(40, 8, 16, 5000), (40, 16, 20, 2), (60, 8, 24, 3)])
+def test_substrings(spark, length, k, width, most):
     rng = random.Random(length + k)
     base = [prose(s, 60) for s in range(6)]
     texts = list(base) + [base[0], base[0]]
@@ -101,7 +101,7 @@ def test_substrings(spark, length, k, width):
         i, j = rng.randrange(len(a)), rng.randrange(len(b))
         texts.append(a[i : i + rng.randint(5, 150)] + prose(rng.random(), 5) + b[j : j + rng.randint(20, 90)])
     texts += ["ab" * 60, "x" * 200, "x" * 39, base[1][:40], base[1][:39], "é" * 45, None, "", base[2] + base[2]]
-    got = by_id(suffix_dedup.dedup_substrings(frame(spark, texts), min_length=length, k=k, width=width).collect())
+    got = by_id(suffix_dedup.dedup_substrings(frame(spark, texts), min_length=length, k=k, width=width, bucket_rows=most).collect())
     for i, want in enumerate(brute_removed(texts, length)):
         r = got[i]
         assert (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) == want, i
