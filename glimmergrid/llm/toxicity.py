@@ -188,7 +188,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     held = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("label") == 1, rows_per_class / max(1, held.get(1, 0))).otherwise(rows_per_class / max(1, held.get(0, 0)))
     chosen = marks.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    # The sample's ids number about twice ``rows_per_class``, whatever the corpus; so they go to the texts.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     return materialize(rows, "sample")
 
 
