@@ -77,7 +77,7 @@ def test_whole_pipeline(spark):
 def test_stages_on_odd_rows(spark):
     rng = random.Random(1)
     texts = ODD + [prose(rng.random(), 30) for _ in range(5)] + [ODD[7]]
-    docs = frame(spark, texts, [None, "a"] * 9 + ["b"]).select(corpus_pipeline.COLUMNS)
+    docs = frame(spark, texts, ([None, "a"] * len(texts))[: len(texts)]).select(corpus_pipeline.COLUMNS)
     docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, None, None, None, None)], docs.schema))
     for name, stage in corpus_pipeline.STAGES:
         told = stage(spark, docs, SF)
