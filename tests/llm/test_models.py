@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 import random
 from collections import Counter
@@ -168,6 +169,25 @@ def test_trigram_counts(spark):
     assert got == dict(want)
 
 
+def test_no_trigram_is_cut(spark):
+    """The old cut, made small: rare languages lost their trigrams first, and with them their lower orders."""
+    hot, rare = [alphabet("x", i) for i in range(200)], [alphabet("z", 1), alphabet("z", 2)]
+    every = frame(spark, hot + rare).withColumn("lang", F.when(F.col("doc_id") < 200, "x").otherwise("z"))
+    model = language.fit_languages(every, hold_out=lambda i: F.lit(False))
+    counts = language.count_trigrams(every).collect()
+    assert "max_ngrams" not in inspect.signature(language.fit_languages).parameters
+    assert len(model.trigrams.values) == len(counts) and model.languages == ["x", "z"]
+    assert model.predict([alphabet("z", 3)])[0] == ["z"]
+    by = {g: sorted((r["code"], r["n"]) for r in counts if r["lang"] == g) for g in "xz"}
+    want = language.kneser_ney({g: (np.array([c for c, _ in v], np.uint64), np.array([n for _, n in v])) for g, v in by.items()})
+    assert np.allclose(model.cross_entropies(hot[:5] + rare), want.cross_entropies(hot[:5] + rare))
+
+
+def test_languages_without_texts(spark):
+    docs = frame(spark, [alphabet("x", 0), alphabet("x", 1), None]).withColumn("lang", F.when(F.col("doc_id") == 2, "q").otherwise("x"))
+    assert language.fit_languages(docs, hold_out=lambda i: F.lit(False)).languages == ["x"]
+
+
 # Nearest neighbours
 
 
