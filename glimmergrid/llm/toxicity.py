@@ -4,15 +4,19 @@ The lexicon is learned: words, and word beginnings, that stand in toxic document
 and hardly in others. They form a trie. Each token of a text runs through the
 product of that trie and the Levenshtein automaton of its entries, which finds
 entries within the edit bound and so also misspelled ones. The product is made
-deterministic as states are met and kept for the next token.
+deterministic as states are met and kept for the next token. Words that single
+digits or marks cut ("id1ot", "i.d.i.o.t") run through it whole and without them,
+too.
 
-A hit counts by the log odds of its entry and edit distance. A window of tokens
+A hit counts by the log odds of its entry and edit distance. An entry that the
+sample hardly shows misspelled backs off to how toxic its exact hits are. A window of tokens
 around each hit separates quotation (quotation marks around it) from abuse; the
 two sums, and a constant, go through a fitted logistic function.
 
 The model is fitted on a bounded sample of labelled rows: at most
 ``rows_per_class`` of each label, chosen by hash of the id. Words are counted in
-Spark; the driver gets only lexicon candidates and three numbers a sample row.
+Spark; the driver gets only lexicon candidates, those of each toxic sample row, and
+three numbers a sample row.
 Scoring is one pass over the rows, without a shuffle.
 
 Defined results: null and empty texts have no hits and get the score of a text
@@ -23,8 +27,10 @@ empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +44,11 @@ from glimmergrid.llm.common import held_out, materialize, spread, table
 WORD = re.compile(r"[^\W\d_]+")
 # Marks that open or close a quotation.
 QUOTES = "\"“”„«»‹›"
+#: Words with a digit or mark between each two of them, and these digits and marks.
+JOINED = re.compile(rf"[^\W\d_]+(?:(?:[^\w\s{QUOTES}]|[\d_])[^\W\d_]+)+")
+BETWEEN = re.compile(r"[\W\d_]")
+#: Hits with an edit from which on an entry's own are enough, and how many of its exact ones make up for fewer.
+ENOUGH = 3
 #: What is quoted doesn't speak for or against a word when the lexicon is learned.
 QUOTED = f"[{QUOTES}][^{QUOTES}\n]{{1,200}}[{QUOTES}]"
 
@@ -119,19 +130,39 @@ class Automaton:
         """The entries that ``token`` is within the bound of, with their edits."""
         found = self.known.get(token)
         if found is None:
-            state, best = self.start, {}
-            for c in token:
-                move = self.moves[state].get(c)
-                state = self._move(state, c) if move is None else move
-                if state < 0:
-                    break
-                for k, e in self.seen[state][1].items():
-                    best[k] = min(e, best.get(k, e))
-            if state >= 0:
-                best |= self.seen[state][0]
-            found = tuple(sorted(best.items()))
-            if len(self.known) < 300_000:
-                self.known[token] = found
+            found = self._run(token)
+            self._keep(token, found)
+        return found
+
+    def _run(self, token: str) -> tuple[tuple[int, int], ...]:
+        state, best = self.start, {}
+        for c in token:
+            move = self.moves[state].get(c)
+            state = self._move(state, c) if move is None else move
+            if state < 0:
+                break
+            for k, e in self.seen[state][1].items():
+                best[k] = min(e, best.get(k, e))
+        if state >= 0:
+            best |= self.seen[state][0]
+        return tuple(sorted(best.items()))
+
+    def _keep(self, token: str, found: tuple[tuple[int, int], ...]) -> None:
+        if len(self.known) < 300_000:
+            self.known[token] = found
+
+    def joined_hits(self, token: str) -> tuple[tuple[int, int], ...]:
+        """The entries that words joined by digits or marks spell together, and none of them alone."""
+        found = self.known.get(token)
+        if found is None:
+            alone = {k for word in WORD.findall(token) for k, _ in self.hits(word)}
+            best = dict(self._run(token))
+            # Without what cuts it the word is misspelled all the same.
+            for k, e in self._run(BETWEEN.sub("", token)):
+                if self.allowed[k]:
+                    best[k] = min(max(e, 1), best.get(k, self.edits))
+            found = tuple(sorted((k, e) for k, e in best.items() if k not in alone))
+            self._keep(token, found)
         return found
 
 
@@ -146,16 +177,26 @@ class ToxicityModel:
 def text_hits(automaton: Automaton, text: str, window: int) -> list[tuple[int, int, bool]]:
     """(entry, edits, quoted) for each hit of a text."""
     lower = text.lower()
-    if not any(map(automaton.hits, set(WORD.findall(lower)))):
+    alone = any(map(automaton.hits, set(WORD.findall(lower))))
+    if not alone and not any(map(automaton.joined_hits, set(JOINED.findall(lower)))):
         return []
     tokens = list(WORD.finditer(lower))
     found = []
+
+    def add(got: tuple[tuple[int, int], ...], first: int, last: int) -> None:
+        before = lower[tokens[max(0, first - window)].start() : tokens[first].start()]
+        after = lower[tokens[last].end() : tokens[min(len(tokens) - 1, last + window)].end()]
+        quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
+        found.extend((k, e, quoted) for k, e in got)
+
     for i, m in enumerate(tokens):
         if got := automaton.hits(m.group()):
-            before = lower[tokens[max(0, i - window)].start() : m.start()]
-            after = lower[m.end() : tokens[min(len(tokens) - 1, i + window)].end()]
-            quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-            found += [(k, e, quoted) for k, e in got]
+            add(got, i, i)
+    starts = None
+    for m in JOINED.finditer(lower):
+        if got := automaton.joined_hits(m.group()):
+            starts = starts or [t.start() for t in tokens]
+            add(got, bisect_left(starts, m.start()), bisect_left(starts, m.end()) - 1)
     return found
 
 
@@ -202,7 +243,6 @@ def fit_toxicity(
     text_col: str = "text",
     hold_out=held_out,
     rows_per_class: int = 10_000,
-    max_entries: int = 5_000,
     least_documents: int = 5,
     stems: tuple[int, ...] = (4, 5, 6, 7, 8),
     edits: int = 1,
@@ -221,7 +261,7 @@ def fit_toxicity(
     exploded = per_text.select("id", "label", F.explode("terms").alias("term"))
     counts = exploded.groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    strong = counts.filter(F.col("toxic") >= least_documents).withColumn("odds", odds).filter("odds > 3").orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(max_entries)
+    strong = counts.filter(F.col("toxic") >= least_documents).withColumn("odds", odds).filter("odds > 3")
     strong = materialize(strong, "lexicon")
     held = exploded.filter("label = 1").join(F.broadcast(strong.select("term")), "term").groupBy("id").agg(F.collect_list("term").alias("terms")).collect()
     entries = cover([r["terms"] for r in held], {r["term"]: r["odds"] for r in strong.collect()}, least_documents)
@@ -233,28 +273,62 @@ def cover(documents: list[list[str]], odds: dict[str, float], least: int, times:
 
     Words of documents that are copies of each other come in bundles. What
     already explains such documents leaves no gain to the rest of the bundle.
+    A word and the beginnings of it are one explanation of a document.
     """
     members: dict[str, set[int]] = {}
     for i, terms in enumerate(documents):
         for t in terms:
             members.setdefault(t, set()).add(i)
+    explained: list[list[str]] = [[] for _ in documents]
     needs = [times] * len(documents)
     chosen: list[Entry] = []
-    while members:
-        term = max(members, key=lambda t: (len(members[t]) * odds[t], t))
-        if len(gained := members.pop(term)) < least:
-            break
+    # Gains only fall, so the first term whose gain is still what it was is the best; equal gains go to the later term.
+    rank = {t: -n for n, t in enumerate(sorted(members))}
+    best = [(-len(m) * odds[t], rank[t], t) for t, m in members.items()]
+    heapq.heapify(best)
+    while best:
+        was, _, term = heapq.heappop(best)
+        gained = {i for i in members[term] if needs[i]}
+        if len(gained) < least:
+            continue
+        if -len(gained) * odds[term] > was:
+            members[term] = gained
+            heapq.heappush(best, (-len(gained) * odds[term], rank[term], term))
+            continue
         chosen.append(Entry(term.rstrip("*"), term.endswith("*"), [odds[term], 0.0]))
         for i in gained:
-            needs[i] -= 1
-        done = {i for i in gained if not needs[i]}
-        for t in list(members) if done else []:
-            members[t] -= done
-            if len(members[t]) < least:
-                del members[t]
+            if not any(begins(term, t) or begins(t, term) for t in explained[i]):
+                needs[i] -= 1
+            explained[i].append(term)
     return chosen
 
 
+def begins(term: str, other: str) -> bool:
+    """Whether a term is a beginning of words, and of this other term."""
+    return term.endswith("*") and other.startswith(term[:-1])
+
+
+def weights(exact: tuple[int, int] | None, misspelled: tuple[int, int], toxic: int, clean: int, learned: float) -> list[float]:
+    """Log odds of exact and misspelled hits from their toxic and clean rows.
+
+    With few misspelled hits, as many are added as are lacking, toxic and clean as
+    the exact ones are. ``learned`` are the odds of an entry without exact hits
+    outside quotations.
+    """
+
+    def odds(t: float, c: float) -> float:
+        return max(0.0, math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)))
+
+    if exact is None:
+        ratio = math.exp(learned) * (toxic + 1) / (clean + 1)
+        share = ratio / (1 + ratio)
+    else:
+        share = (exact[0] + 0.5) / (sum(exact) + 1)
+    lacking = max(0, ENOUGH - sum(misspelled))
+    first = learned if exact is None else odds(*exact) if sum(exact) >= 3 else 0.0
+    return [first, odds(misspelled[0] + lacking * share, misspelled[1] + lacking * (1 - share))]
+
+
 def weigh(sample: DataFrame, entries: list[Entry], toxic: int, clean: int, edits: int, window: int) -> ToxicityModel:
     """Log odds of exact and misspelled hits, then the factors of the logistic function."""
     model = ToxicityModel(entries, (0.0, 1.0, 1.0), window)
@@ -266,9 +340,9 @@ def weigh(sample: DataFrame, entries: list[Entry], toxic: int, clean: int, edits
             yield pd.DataFrame({"label": b["label"], "hits": [[k * 2 + e for k, e in h] for h in hits]})
 
     hits = sample.select("text", "label").mapInPandas(found, "label int, hits array<int>").select("label", F.explode("hits").alias("hit"))
-    for r in hits.groupBy("hit").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).collect():
-        odds = math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (clean + 1))
-        model.entries[r["hit"] // 2].weights[r["hit"] % 2] = max(0.0, odds) if r["toxic"] + r["clean"] >= 3 else 0.0
+    counts = {r["hit"]: (r["toxic"], r["clean"]) for r in hits.groupBy("hit").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).collect()}
+    for k, entry in enumerate(entries):
+        entry.weights = weights(counts.get(2 * k), counts.get(2 * k + 1, (0, 0)), toxic, clean, entry.weights[0])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(model.entries, edits)

@@ -80,6 +80,37 @@ def test_toxicity_without_labels(spark):
         assert len({r["score"] for r in toxicity.score_toxicity(docs, model).collect()}) == 1
 
 
+def test_words_cut_by_digits_and_marks():
+    entries = [toxicity.Entry("gromble", False), toxicity.Entry("snarf", True), toxicity.Entry("vex", False)]
+    automaton = toxicity.Automaton(entries)
+    for text, want in [("gr0mble", {(0, 1)}), ("a g.r.o.m.b.l.e b", {(0, 1)}), ("grom-ble", {(0, 1)}), ("sn@rfing", {(1, 1)}), ("v3x", set()), ("v.ex", set())]:
+        assert {(k, e) for k, e, _ in toxicity.text_hits(automaton, text, 6)} == want, text
+    for text, want in [("gromble-like", [(0, 0, False)]), ("well-snarfing.", [(1, 0, False)]), ('say "a gr0mble word" now', [(0, 1, True)]), ("it's end.next 3x4", [])]:
+        assert toxicity.text_hits(automaton, text, 6) == want, text
+
+
+def test_rarely_misspelled_words_count():
+    none = toxicity.weights((50, 0), (0, 0), 100, 100, 4.0)
+    assert none[0] > none[1] > 1
+    assert none[1] > toxicity.weights((50, 0), (0, 1), 100, 100, 4.0)[1] > 0
+    assert toxicity.weights((50, 0), (0, 9), 100, 100, 4.0)[1] == 0
+    assert toxicity.weights((50, 0), (9, 0), 100, 100, 4.0)[1] > none[1]
+
+
+def test_unseen_misspelling_is_scored(spark):
+    texts = [prose(i, 30) + (" gromble" if i % 4 == 0 else "") for i in range(200)]
+    model = toxicity.fit_toxicity(frame(spark, texts), labels(spark, [(i, int(i % 4 == 0)) for i in range(200)], "toxic"))
+    told = toxicity.score_toxicity(frame(spark, ["so grombel", "so grmble", "so gr0mble", "so what"]), model).orderBy("doc_id").collect()
+    assert told[1]["score"] > told[3]["score"] and told[2]["score"] > told[3]["score"] and told[1]["abuse"] > 0
+
+
+def test_stems_are_one_explanation():
+    stems = ["gromble"[:n] + "*" for n in (4, 5, 6, 7)] + ["gromble", "grombles"]
+    odds = dict.fromkeys(stems, 6.0) | {"vexwood": 4.0, "klopter": 3.5}
+    got = {(e.text, e.stem) for e in toxicity.cover([list(odds)] * 10, odds, 5)}
+    assert {("vexwood", False), ("klopter", False)} <= got
+
+
 # Quality
 
 
