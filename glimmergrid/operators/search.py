@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmergrid.functions.vectors import dot, reaches
@@ -61,6 +61,17 @@ def _pairs(queries: np.ndarray, vectors: np.ndarray, t: float, k: int | None) ->
     return q[keep], r[keep], exact[keep]
 
 
+def _blocks(rows: DataFrame, asked: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``asked`` dealt to blocks of about ``block_rows`` by hash, and sent so that each two blocks meet in one (``part``, ``share``)."""
+    parts, shares = (max(1, math.ceil(df.count() / block_rows)) for df in (rows, asked))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    blocks = rows.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int")).withColumn("share", every(shares))
+    return blocks, asked.withColumn("share", F.pmod(F.xxhash64("query", "vector"), F.lit(shares)).cast("int")).withColumn("part", every(parts))
+
+
 def batch_similarity_search(
     features: DataFrame, queries: DataFrame, t: float = THRESHOLD, k: int | None = None, *,
     path_col: str = "path", vector_col: str = "vgg16", query_col: str = "query_path", query_vector_col: str = "vgg16", block_rows: int = BLOCK_ROWS, sent_bytes: int = SENT_BYTES,
@@ -68,8 +79,8 @@ def batch_similarity_search(
     """``query_col``, ``path_col`` and ``score`` of all pairs that reach ``t``, at most ``k`` a query and task.
 
     Query vectors are measured first. A set of up to ``sent_bytes`` goes to every
-    task and no row of the store moves. A larger one is cut into blocks, each met
-    by every block of the store. Either way a task multiplies blocks, and gives
+    task and no row of the store moves. A larger one is cut into blocks of
+    ``block_rows``, each met by every block of the store. Either way a task multiplies blocks, and gives
     only pairs that reach the threshold.
     """
     check_threshold(t)
@@ -99,16 +110,14 @@ def batch_similarity_search(
 
         found = rows.mapInPandas(search, out)
     else:
-        parts = math.ceil(rows.count() / block_rows)
-        blocks = rows.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)))
-        met = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        blocks, met = _blocks(rows, asked, block_rows)
 
         def search_block(block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
             if not len(block) or not len(some):
-                return pd.DataFrame({"query": [], "path": [], "score": []})
+                return pd.DataFrame({"query": np.array([], object), "path": np.array([], object), "score": np.zeros(0)})
             return pd.concat(list(score(block, some["query"].to_numpy(), _matrix(some["vector"]))))
 
-        found = blocks.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(search_block, out)
+        found = blocks.groupBy("part", "share").cogroup(met.groupBy("part", "share")).applyInPandas(search_block, out)
     return found.select(F.col("query").alias(query_col), F.col("path").alias(path_col), "score")
 
 
