@@ -13,8 +13,9 @@ probability, and stops at those that fail the chi-square test.
 
 The tree's cuts are fitted on a bounded sample (``sample_rows``); every row is
 indexed. Cells are dealt in blocks of bounded size, so neither a dense cell nor
-one very common vector lands in one task; a task returns at most ``k`` rows a
-query.
+one very common vector lands in one task; so are the queries that visit a cell,
+and a task scores a few hundred of them at a time. A task returns at most ``k``
+rows a query.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold a null or non-finite component take no part; ties go to the smaller id;
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from glimmergrid.llm.common import materialize, spread, table
 
 DIGITS = 11
+#: Queries of a block that are scored at a time.
+SCORED = 256
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -143,31 +146,48 @@ def best_of_block(block: pd.DataFrame, queries: pd.DataFrame, cells: Cells, k: i
     """Each query's ``k`` best candidates of one block, verified leaf by leaf."""
     block = block.sort_values("id", kind="stable")
     ids, vectors = block["id"].to_numpy(), np.stack(block["vector"].to_numpy()).astype(float)
-    wanted = np.stack(queries["vector"].to_numpy()).astype(float)
-    query_ids = queries["query_id"].to_numpy()
-    length = np.sqrt((wanted * wanted).sum(axis=1))
-    points, at = cells.project(vectors), cells.project(wanted, query=True)
-    # Squared distance of the k-th neighbour so far, in the space where all queries have the greatest length.
-    worst = queries["worst"].to_numpy(float)
-    scores = np.full((len(wanted), len(ids)), -np.inf)
+    points = cells.project(vectors)
     groups = leaves(points, np.arange(len(ids)), leaf)
-    away = box_distances(at, np.array([points[g].min(axis=0) for g in groups]), np.array([points[g].max(axis=0) for g in groups]))
-    for g in np.argsort(away.mean(axis=0)):
-        active = np.flatnonzero(away[:, g] <= quantile * worst)
-        if not len(active):
-            continue
-        scores[np.ix_(active, groups[g])] = wanted[active] @ vectors[groups[g]].T
-        if len(ids) > k:
-            kth = np.partition(scores[active], len(ids) - k, axis=1)[:, len(ids) - k]
-            bound = np.maximum(0.0, 2 * cells.longest - 2 * kth * math.sqrt(cells.longest) / length[active])
-            worst[active] = np.minimum(worst[active], np.where(np.isfinite(kth), bound, np.inf))
-    scores[query_ids[:, None] == ids[None, :]] = -np.inf
-    # Rows are sorted by id, so a stable order settles ties; products differ in their last digits by where a row stands.
-    order = np.argsort(-np.round(scores, DIGITS), axis=1, kind="stable")[:, :k]
-    q, c = np.repeat(np.arange(len(wanted)), order.shape[1]), order.ravel()
-    found = np.isfinite(scores[q, c])
-    q, c = q[found], c[found]
-    return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[c], "score": products(wanted[q], vectors[c])})
+    low, high = np.array([points[g].min(axis=0) for g in groups]), np.array([points[g].max(axis=0) for g in groups])
+    found = []
+    for first in range(0, len(queries), SCORED):
+        some = queries.iloc[first : first + SCORED]
+        query_ids, wanted = some["query_id"].to_numpy(), np.stack(some["vector"].to_numpy()).astype(float)
+        length = np.sqrt((wanted * wanted).sum(axis=1))
+        # Squared distance of the k-th neighbour so far, in the space where all queries have the greatest length.
+        worst = some["worst"].to_numpy(float, copy=True)
+        scores = np.full((len(wanted), len(ids)), -np.inf)
+        away = box_distances(cells.project(wanted, query=True), low, high)
+        for g in np.argsort(away.mean(axis=0)):
+            active = np.flatnonzero(away[:, g] <= quantile * worst)
+            if not len(active):
+                continue
+            scores[np.ix_(active, groups[g])] = wanted[active] @ vectors[groups[g]].T
+            if len(ids) > k:
+                kth = np.partition(scores[active], len(ids) - k, axis=1)[:, len(ids) - k]
+                bound = np.maximum(0.0, 2 * cells.longest - 2 * kth * math.sqrt(cells.longest) / length[active])
+                worst[active] = np.minimum(worst[active], np.where(np.isfinite(kth), bound, np.inf))
+        scores[query_ids[:, None] == ids[None, :]] = -np.inf
+        # Rows are sorted by id, so a stable order settles ties; products differ in their last digits by where a row stands.
+        order = np.argsort(-np.round(scores, DIGITS), axis=1, kind="stable")[:, :k]
+        q, c = np.repeat(np.arange(len(wanted)), order.shape[1]), order.ravel()
+        fine = np.isfinite(scores[q, c])
+        q, c = q[fine], c[fine]
+        found.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[c], "score": products(wanted[q], vectors[c])}))
+    return pd.concat(found)
+
+
+def met_in_blocks(blocks: DataFrame, parts: DataFrame, queries: DataFrame, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``blocks`` and ``queries`` by ``cell``, ``part`` and ``share``, so that each query of a cell meets each row of it once.
+
+    ``queries`` of a cell are dealt to shares of about ``query_rows``. ``queries`` are read twice.
+    """
+    # One row per cell.
+    shares = materialize(queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("shares")), "shares")
+    dealt = queries.join(F.broadcast(parts), "cell").join(F.broadcast(shares), "cell").withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int"))
+    sent = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "shares")
+    repeated = blocks.join(F.broadcast(shares), "cell").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    return repeated, sent
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -179,7 +199,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
-    dimensions: int = 8, probability: float = 0.99, sample_rows: int = 20_000, cell_rows: int = 4_096, max_cells: int = 4_096, leaf: int = 256, seed: int = 3,
+    dimensions: int = 8, probability: float = 0.99, sample_rows: int = 20_000, cell_rows: int = 4_096, query_rows: int = 4_096, max_cells: int = 4_096, leaf: int = 256, seed: int = 3,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's ``k`` nearest rows.
 
@@ -219,7 +239,7 @@ def nearest(
                 near = cells.distances(cells.project(wanted, query=True)) <= quantile * worst[:, None]
                 near[np.arange(len(b)), b["cell"].to_numpy()] = False
                 q, c = np.nonzero(near)
-                yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[q], "vector": b["vector"].to_numpy()[q], "cell": c.astype(np.int32), "worst": worst[q]})
+                yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[q], "cell": c.astype(np.int32), "worst": worst[q]})
 
     def search(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(queries):
@@ -232,8 +252,8 @@ def nearest(
     blocks = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("cell", "part", "id", "vector")
 
     def visit(queries: DataFrame, name: str) -> DataFrame:
-        sent = queries.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        found = blocks.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
+        met, sent = met_in_blocks(blocks, parts, queries, query_rows)
+        found = met.groupBy("cell", "part", "share").cogroup(sent.groupBy("cell", "part", "share")).applyInPandas(search, "query_id long, vec_id long, score double")
         return materialize(found, name)
 
     asked = rows.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "vector").dropDuplicates(["query_id"])
@@ -241,7 +261,9 @@ def nearest(
     first = visit(at_home, "first")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    second = visit(at_home.join(kth, "query_id", "left").mapInPandas(onward, "query_id long, vector array<double>, cell int, worst double"), "second")
+    # Written without the vectors, as there may be many cells a query.
+    visits = materialize(at_home.join(kth, "query_id", "left").mapInPandas(onward, "query_id long, cell int, worst double"), "visits")
+    second = visit(visits.join(at_home.select("query_id", "vector"), "query_id"), "second")
     told = first.union(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return told.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -245,6 +245,16 @@ def test_neighbours(spark):
     assert hits / (10 * len(by)) >= 0.95
 
 
+def test_queries_of_a_cell_are_cut(spark):
+    blocks = spark.range(50).selectExpr("1 AS cell", "CAST(id % 2 AS int) AS part", "id")
+    parts = spark.createDataFrame([(1, 2), (2, 1)], "cell int, parts int")
+    queries = spark.range(1000).selectExpr("id AS query_id", "1 AS cell").union(spark.range(5).selectExpr("id AS query_id", "2 AS cell"))
+    met, sent = neighbours.met_in_blocks(blocks, parts, queries, 100)
+    assert max(r["count"] for r in sent.groupBy("cell", "part", "share").count().collect()) < 200
+    pairs = met.join(sent, ["cell", "part", "share"]).groupBy("id", "query_id").count().collect()
+    assert len(pairs) == 50 * 1000 and all(r["count"] == 1 for r in pairs)
+
+
 def test_few_neighbours(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(vectors, lambda i: i == 0, k=20).orderBy("rank").collect()]
