@@ -50,7 +50,9 @@ BETWEEN = re.compile(r"[\W\d_]")
 #: Hits with an edit from which on an entry's own are enough, and how many of its exact ones make up for fewer.
 ENOUGH = 3
 #: What is quoted doesn't speak for or against a word when the lexicon is learned.
-QUOTED = f"[{QUOTES}][^{QUOTES}\n]{{1,200}}[{QUOTES}]"
+QUOTED = f"[{QUOTES}][^{QUOTES}\n]+[{QUOTES}]"
+#: What an automaton keeps at most before it forgets everything and starts anew: results of tokens, states, moves.
+KNOWN, STATES, MOVES = 200_000, 20_000, 400_000
 
 
 @dataclass
@@ -81,11 +83,16 @@ class Automaton:
                     self.ends.append([])
                 node = self.children[node][c]
             self.ends[node].append(k)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drops all that was kept, so that a task's memory doesn't grow with its texts; results stay the same."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.seen: list[tuple[dict[int, int], dict[int, int]]] = []
         self.known: dict[str, tuple] = {}
+        self.made = 0
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -124,17 +131,19 @@ class Automaton:
             for letter, child in self.children[node].items():
                 reach(child, e + (letter != c))
         self.moves[state][c] = got = self._state(nodes) if nodes else -1
+        self.made += 1
         return got
 
     def hits(self, token: str) -> tuple[tuple[int, int], ...]:
         """The entries that ``token`` is within the bound of, with their edits."""
         found = self.known.get(token)
         if found is None:
-            found = self._run(token)
-            self._keep(token, found)
+            found = self.known[token] = self._run(token)
         return found
 
     def _run(self, token: str) -> tuple[tuple[int, int], ...]:
+        if len(self.sets) > STATES or self.made > MOVES or len(self.known) > KNOWN:
+            self._forget()
         state, best = self.start, {}
         for c in token:
             move = self.moves[state].get(c)
@@ -147,10 +156,6 @@ class Automaton:
             best |= self.seen[state][0]
         return tuple(sorted(best.items()))
 
-    def _keep(self, token: str, found: tuple[tuple[int, int], ...]) -> None:
-        if len(self.known) < 300_000:
-            self.known[token] = found
-
     def joined_hits(self, token: str) -> tuple[tuple[int, int], ...]:
         """The entries that words joined by digits or marks spell together, and none of them alone."""
         found = self.known.get(token)
@@ -161,8 +166,7 @@ class Automaton:
             for k, e in self._run(BETWEEN.sub("", token)):
                 if self.allowed[k]:
                     best[k] = min(max(e, 1), best.get(k, self.edits))
-            found = tuple(sorted((k, e) for k, e in best.items() if k not in alone))
-            self._keep(token, found)
+            found = self.known[token] = tuple(sorted((k, e) for k, e in best.items() if k not in alone))
         return found
 
 
@@ -223,7 +227,7 @@ def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> np
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, id_col: str, text_col: str, hold_out) -> DataFrame:
-    """At most about ``rows_per_class`` rows of each label, by hash of the id: ``id``, ``text``, ``label``."""
+    """At most about ``rows_per_class`` rows of each label, by hash of the id: ``id``, ``text``, ``label``. Of rows that repeat an id one is taken."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     marks = marks.filter(~hold_out(F.col("id")))
     held = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -231,7 +235,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     chosen = marks.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1_000_000)) < share * 1_000_000)
     # The sample's ids number about twice ``rows_per_class``, whatever the corpus; so they go to the texts.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return materialize(rows, "sample")
+    # Of rows that repeat an id one is enough; they are combined before they move, so the sample stays as small as its ids are.
+    rows = rows.groupBy("id", "label").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("row"))
+    return materialize(rows.select("id", "row.text", "label"), "sample")
 
 
 def fit_toxicity(
@@ -357,22 +363,26 @@ def weigh(sample: DataFrame, entries: list[Entry], toxic: int, clean: int, edits
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), edits: int = 1) -> DataFrame:
-    """Adds to ``id_col`` and ``keep``: ``score`` (0 to 1), ``abuse``, ``quoted`` (log odds) and ``terms`` (entries hit)."""
-    schema = docs.select(id_col, *keep).schema
-    names = schema.fieldNames()
+    """Adds to ``id_col`` and ``keep``: ``score`` (0 to 1), ``abuse``, ``quoted`` (log odds) and ``terms`` (entries hit).
+
+    Only the text goes to Python, and only the result comes back; other columns stay with Spark.
+    """
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, abuse double, quoted double, terms array<string>")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(model.entries, edits)
         a, b, c = model.factors
-        for batch in batches:
-            hits = [text_hits(automaton, t or "", model.window) for t in batch["__text"]]
+        for texts in parts:
+            hits = [text_hits(automaton, t or "", model.window) for t in texts]
             pairs = np.array([sums(model, h) for h in hits], float).reshape(-1, 2)
             z = a + b * pairs[:, 0] + c * pairs[:, 1]
             terms = [sorted({model.entries[k].text for k, _, _ in h}) for h in hits]
-            yield batch[names].assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))), abuse=pairs[:, 0], quoted=pairs[:, 1], terms=terms)
+            yield pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(z, -30, 30))), "abuse": pairs[:, 0], "quoted": pairs[:, 1], "terms": terms})
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", score double, abuse double, quoted double, terms array<string>"
-    return spread(docs.select(id_col, *keep, F.col(text_col).alias("__text"))).mapInPandas(scored, out)
+    rows = spread(docs.select(*dict.fromkeys([id_col, *keep, text_col])))
+    # Said to be non-deterministic, as a filter on the score would else run it a second time.
+    told = rows.select(id_col, *keep, scored.asNondeterministic()(text_col).alias("__told"))
+    return told.select(id_col, *keep, "__told.*")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
