@@ -14,19 +14,22 @@ together first, so that no task needs the array of the corpus:
 2. Those are sent, by core, with what surrounds the core. Equal surroundings
    collapse to one row, so a group of copies of any size is one row a task.
 3. In a core's bucket the rows are an interval of the suffix array: suffixes that
-   begin with the core. The text to their right gives the classes of rows with
-   common prefixes by increasing length. Then the interval is extended backward,
-   breadth first, one byte of the Burrows-Wheeler column (the byte before each
-   suffix) at a time; intervals of one row are dropped. At each level the
-   extended interval meets the classes of the prefix length that completes
-   ``min_length``: rows together in both share a window. Expansion ends there.
-
-Repeated windows become runs of bytes per document. A text that occurs twice is
-removed as a whole without going through the buckets.
+   begin with the core, sorted by what follows it. The interval is extended
+   backward, breadth first, one byte of the Burrows-Wheeler column (the byte
+   before each suffix) at a time, by rank counts; intervals of one row are
+   dropped. After each step neighbours of an interval share the extension, and
+   what follows the core as far as the common prefixes of the suffix array say:
+   they share a window if both make up ``min_length``. Expansion ends there.
+
+Repeated windows become runs of bytes per document. Three things go without
+expansion, as they are known to repeat: a text that occurs twice as a whole,
+equal surroundings of a core (its windows occur twice), and buckets whose windows
+were dealt one by one.
 
 Defined results: a null text is empty; texts shorter than ``min_length`` stay;
-rows that repeat an id and a text are copies of each other; an empty table gives
-an empty result. Whole texts are treated, as UTF-8 bytes.
+rows that repeat an id and a text are copies of each other; rows with null ids
+are rows like others; an empty table gives an empty result. Whole texts are
+treated, as UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -96,45 +99,91 @@ def _slices(b: np.ndarray, offset: int, min_length: int, k: int, width: int) ->
     return {"at": at + offset, "low": at - last, "high": at - first, "h1": h1, "h2": h2}
 
 
+def common_prefixes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading columns the paired rows of two matrices share."""
+    other = a != b
+    return np.where(other.any(axis=1), other.argmax(axis=1), a.shape[1])
+
+
+class RangeMinimum:
+    """Minima of any stretch of an array, from minima of stretches of twice the length each."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 << len(self.levels) - 1 <= len(values):
+            last, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Minima from ``first`` to ``last``, both included."""
+        level = np.log2(last - first + 1).astype(np.int64)
+        out = np.empty(len(first), self.levels[0].dtype)
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.minimum(self.levels[k][first[at]], self.levels[k][last[at] - (1 << k) + 1])
+        return out
+
+
 def expand(core: np.ndarray, lefts: list[bytes], rights: list[bytes], low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
     """Which windows of which rows another row shares: a matrix by row and bytes before the core.
 
     ``core`` numbers the cores; a row's windows begin ``low`` to ``high`` bytes
-    before the core.
+    before the core. Rows of a core, sorted by what follows it, are an interval of
+    the suffix array; ``prefixes`` has what neighbours in it share. The column
+    ``left[:, e]`` is the Burrows-Wheeler transform of the rows that were extended
+    by ``e`` bytes. A step backward takes each row to the number of rows in its
+    interval with a smaller byte, plus the rank of its own byte among equal ones.
     """
     n = len(core)
-    right = np.zeros((n, width), np.int64)
+    right = np.zeros((n, width), ">u2")
     left = np.zeros((n, width), np.int64)
     for i, (a, b) in enumerate(zip(lefts, rights)):
         left[i, : len(a)] = np.frombuffer(a, np.uint8)[::-1].astype(np.int64) + 1
-        right[i, : len(b)] = np.frombuffer(b, np.uint8).astype(np.int64) + 1
-    # Classes of rows with a common prefix, by increasing length after the core.
-    classes = np.empty((width, n), np.int32)
-    now, open_rows, given = np.unique(core, return_inverse=True)[1].astype(np.int64), np.arange(n), 0
-    classes[0] = now
-    for r in range(1, width):
-        if len(open_rows):
-            _, back, size = np.unique(now[open_rows] * 257 + right[open_rows, r - 1], return_inverse=True, return_counts=True)
-            given = int(now.max()) + 1
-            now[open_rows] = given + back
-            open_rows = open_rows[size[back] > 1]
-            if given > 1 << 28:
-                now = np.unique(now, return_inverse=True)[1].astype(np.int64)
-        classes[r] = now
+        right[i, : len(b)] = np.frombuffer(b, np.uint8).astype(np.uint16) + 1
+    core = np.unique(core, return_inverse=True)[1].astype(np.int64)
+    order = np.lexsort((np.ascontiguousarray(right).view(f"S{2 * width}").ravel(), core))
+    core, left, right, low, high = core[order], left[order], right[order], low[order], high[order]
+    prefixes = np.where(core[1:] == core[:-1], common_prefixes(right[1:], right[:-1]), -1)
+    shortest = RangeMinimum(prefixes) if n > 1 else None
     shared = np.zeros((n, width), bool)
-    interval, rows = np.unique(core, return_inverse=True)[1].astype(np.int64), np.arange(n)
+    # Rows of all intervals in their order after each step, and the number of each one's interval.
+    rows, interval = np.arange(n), core
     for e in range(width):
         if e:
-            _, back, size = np.unique(interval[rows] * 257 + left[rows, e - 1], return_inverse=True, return_counts=True)
-            interval[rows] = back
-            rows = rows[size[back] > 1]
-        if not len(rows):
+            byte = left[rows, e - 1]
+            start = np.searchsorted(interval, interval)
+            smaller, rank = stepped(interval, byte)
+            at = np.empty(len(rows), np.int64)
+            at[start + smaller + rank] = np.arange(len(rows))
+            rows, byte, interval = rows[at], byte[at], interval[at]
+            first = np.concatenate(([True], (interval[1:] != interval[:-1]) | (byte[1:] != byte[:-1])))
+            interval = np.cumsum(first) - 1
+            # An interval of one row shares nothing more.
+            many = np.bincount(interval)[interval] > 1
+            rows, interval = rows[many], interval[many]
+        if len(rows) < 2:
             break
-        here = rows[(low[rows] <= e) & (e <= high[rows])]
-        if len(here):
-            _, back, size = np.unique(interval[here] << 31 | classes[width - 1 - e][here], return_inverse=True, return_counts=True)
-            shared[here[size[back] > 1], e] = True
-    return shared
+        here = np.flatnonzero((low[rows] <= e) & (e <= high[rows]))
+        a, b = here[:-1], here[1:]
+        same = interval[a] == interval[b]
+        a, b = rows[a[same]], rows[b[same]]
+        if len(a):
+            # Rows of an interval keep the order of what follows the core, so only neighbours need a look.
+            together = shortest.least(a, b - 1) >= width - 1 - e
+            shared[a[together], e] = shared[b[together], e] = True
+    out = np.zeros_like(shared)
+    out[order] = shared
+    return out
+
+
+def stepped(interval: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of sorted intervals: rows of its interval with a smaller byte, and earlier ones with the same."""
+    by_byte = np.argsort(interval * 257 + byte, kind="stable")
+    place = np.empty(len(byte), np.int64)
+    place[by_byte] = np.arange(len(byte))
+    key = (interval * 257 + byte)[by_byte]
+    first = np.searchsorted(key, interval * 257 + byte)
+    return first - np.searchsorted(interval, interval), place - first
 
 
 def runs(marked: np.ndarray) -> list[int]:
@@ -243,10 +292,11 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     outlines = materialize(spread(rows).mapInPandas(outline, f"id {kind}, mark long, digest binary, long boolean, cores array<long>"), "outlines").filter("long")
     texts = outlines.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("own"), F.count(F.lit(1)).alias("copies"))
-    texts = texts.select("digest", "own.*", "copies")
-    alone = outlines.join(texts.filter("copies = 1").select("digest"), "digest", "left_semi").select("id", "mark")
+    # Written first, so that both sides of the joins are plain shuffles and the rows of a text with very many copies can be split.
+    texts = materialize(texts.select("digest", "own.*", "copies"), "texts")
     copied = outlines.join(texts.filter("copies > 1").select("digest"), "digest", "left_semi").select("id", "mark").distinct()
-    one_each = outlines.select("id", "mark", "digest", "cores").join(texts.select("id", "mark", "digest"), ["id", "mark", "digest"], "left_semi").dropDuplicates(["digest"])
+    own = (outlines["digest"] == texts["digest"]) & (outlines["mark"] == texts["mark"]) & outlines["id"].eqNullSafe(texts["id"])
+    one_each = outlines.select("id", "mark", "digest", "cores").join(texts, own, "left_semi").dropDuplicates(["digest"])
     cores = one_each.select("id", "mark", F.posexplode("cores").alias("nth", "h1"))
     # Written first, so that both sides of the join are plain shuffles and a very common core's rows can be split.
     often = materialize(cores.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"), "often")
@@ -309,4 +359,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What suffix-array dedup at 400 bytes leaves of every document."""
     told = dedup_substrings(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return told.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    told = told.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
+    share = F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0)
+    # Runs may begin or end inside a letter; what is left of it becomes the replacement sign.
+    kept_text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return told.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"), share.alias("removed_share"), kept_text.alias("kept_text"))
