@@ -13,11 +13,13 @@ earliest stays. Lines are compared after white space is folded and trimmed.
    keys instead of a whole neighbourhood.
 3. Those emit the deletion neighbourhood of the open block: the block and every
    variant with one character deleted, as keys hashed with what surrounds it.
-4. Equal variants meet, each line is verified by edit distance against the
-   earliest of its bucket and, if that is too far, against all earlier ones.
+4. Equal variants meet. All lines that could be one edit apart in a bucket are one
+   edit from its earliest line of the right kind, so each line is verified by edit
+   distance against that one only, and a bucket of any size costs a row a line.
 
-Short lines (under ``min_chars`` characters after folding) are never removed: at
-one edit they say too little.
+Lines under ``min_chars`` characters after folding go only if an earlier line
+equals them: at one edit they say too little. Blank lines part paragraphs and
+always stay.
 
 Defined results: a null text has no lines and stays null; an empty text is one
 empty line and stays; rows that repeat an id and a text are judged as one row;
@@ -77,9 +79,18 @@ def block_keys(line: Column, blocks: int) -> Column:
 
 
 def variants(key: Column, block: Column, longer: Column) -> Column:
-    """Hashes of an open block's deletion neighbourhood."""
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(block), F.lit(1))), lambda i: F.xxhash64(key, F.concat(F.left(block, i - 1), F.substr(block, i + 1))))
-    return F.array_distinct(F.when(longer, cut).otherwise(F.concat(F.array(F.xxhash64(key, block)), cut)))
+    """An open block's deletion neighbourhood: (variant, kind) for the block itself and each character deleted.
+
+    Of lines of one length, those that are equal but for a character share the
+    variant without it, hashed with its place: kind 0. A line that is longer by a
+    character has the shorter line's whole block (kind 1) as a variant (kind 2).
+    """
+    places = F.sequence(F.lit(1), F.greatest(F.length(block), F.lit(1)))
+    left = lambda i: F.concat(F.left(block, i - 1), F.substr(block, i + 1))
+    same = F.transform(places, lambda i: F.struct(F.xxhash64(key, i, left(i)).alias("variant"), F.lit(0).alias("kind")))
+    cut = F.transform(places, lambda i: F.struct(F.xxhash64(key, left(i)).alias("variant"), F.lit(2).alias("kind")))
+    whole = F.array(F.struct(F.xxhash64(key, block).alias("variant"), F.lit(1).alias("kind")))
+    return F.when(longer, cut).otherwise(F.concat(whole, same))
 
 
 def all_lines(rows: DataFrame) -> DataFrame:
@@ -88,9 +99,9 @@ def all_lines(rows: DataFrame) -> DataFrame:
 
 
 def distinct_lines(rows: DataFrame, min_chars: int) -> DataFrame:
-    """One row per distinct line: 128 bits that stand for it, its first place and the keys of its halves."""
-    keys = [k.alias(f"k{i}") for i, k in enumerate(half_keys(F.col("line")))]
-    lines = all_lines(rows).select(*PLACE, F.length("line").alias("size"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), *keys).filter(F.col("size") >= min_chars)
+    """One row per distinct line that isn't blank: its first place and the keys of its halves, null if it is short. 128 bits stand for the line."""
+    keys = [F.when(F.length("line") >= min_chars, k).alias(f"k{i}") for i, k in enumerate(half_keys(F.col("line")))]
+    lines = all_lines(rows).filter("line <> ''").select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), *keys)
     found = lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
     return found.select("place.*", *[f"k{i}" for i in range(4)])
 
@@ -122,22 +133,17 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
     opened = with_text(shared(keyed, "key"), "", "line")
     block = F.substr("line", F.col("start") + 1, F.col("length"))
-    emitted = opened.select(*PLACE, F.explode(variants(F.col("key"), block, F.col("longer"))).alias("variant")).distinct()
+    emitted = opened.select(*PLACE, F.explode(variants(F.col("key"), block, F.col("longer"))).alias("v")).select(*PLACE, "v.*")
     met = materialize(shared(emitted, "variant"), "lines-met")
-    first = materialize(met.groupBy("variant").agg(F.min(F.struct(*PLACE)).alias("first")), "lines-first")
-    later = met.join(first, "variant").filter(F.struct(*PLACE) > F.col("first")).select("variant", *PLACE, *[F.col(f"first.{c}").alias(f"e_{c}") for c in PLACE])
-    pairs = later.select(*PLACE, *[f"e_{c}" for c in PLACE]).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        told = with_text(with_text(pairs, "", "line"), "e_", "earlier")
-        return told.filter(F.levenshtein("line", "earlier", 1) >= 0).select(*PLACE).distinct()
-
-    settled = materialize(verified(pairs), "lines-settled")
-    rest = later.select("variant", *PLACE)
-    rest = rest.join(settled, same_place(rest, settled), "left_anti")
-    before = met.select("variant", *[F.col(c).alias(f"e_{c}") for c in PLACE])
-    others = rest.join(before, "variant").filter(F.struct(*[f"e_{c}" for c in PLACE]) < F.struct(*PLACE))
-    return settled.union(verified(others.select(*PLACE, *[f"e_{c}" for c in PLACE]).distinct())).distinct()
+    place = F.struct(*PLACE)
+    # The earliest of each kind is enough: lines of kind 0 are all one edit from each other, those of 1 and 2 from those of 2 and 1.
+    first = met.groupBy("variant").agg(*[F.min(F.when(F.col("kind") == k, place)).alias(f"first{k}") for k in range(3)])
+    first = materialize(first, "lines-first")
+    earlier = F.when(F.col("kind") == 0, F.col("first0")).when(F.col("kind") == 1, F.col("first2")).otherwise(F.col("first1"))
+    later = met.join(first, "variant").withColumn("e", earlier).filter(F.col("e").isNotNull()).filter(place > F.col("e"))
+    pairs = later.select(*PLACE, *[F.col(f"e.{c}").alias(f"e_{c}") for c in PLACE]).distinct()
+    told = with_text(with_text(pairs, "", "line"), "e_", "earlier")
+    return told.filter(F.levenshtein("line", "earlier", 1) >= 0).select(*PLACE).distinct()
 
 
 def per_document(places: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -155,15 +161,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
     slim = rows.select("id", "mark", "text")
     unique = materialize(distinct_lines(slim, min_chars), "lines-unique")
-    keyed = unique.select(*PLACE, F.explode(F.array_distinct(F.array(*[f"k{i}" for i in range(4)]))).alias("key"))
+    keyed = unique.select(*PLACE, F.explode(F.array_distinct(F.array_compact(F.array(*[f"k{i}" for i in range(4)])))).alias("key"))
     candidates = per_document(shared(keyed, "key").select(*PLACE).distinct(), slim, "inner")
     picked = bound(F.split("text", "\n"), lambda lines: F.transform("nths", lambda i: F.struct(i.alias("nth"), F.element_at(lines, i + 1).alias("line"))))
     picked = candidates.dropDuplicates(["id", "mark"]).select("id", "mark", F.explode(picked).alias("l")).select("id", "mark", "l.*")
     near = materialize(picked.select(*PLACE, folded(F.col("line")).alias("line")), "lines-near")
     gone = near_earlier(near)
     firsts = unique.select(*PLACE).join(gone, same_place(unique, gone), "left_anti")
-    short = all_lines(slim).filter(F.length("line") < min_chars).select(*PLACE).distinct()
-    told = per_document(firsts.union(short), rows, "left")
+    blank = all_lines(slim).filter("line = ''").select(*PLACE).distinct()
+    told = per_document(firsts.union(blank), rows, "left")
     kept_text = bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform("nths", lambda i: F.element_at(lines, i + 1)), "\n"))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     stays = F.coalesce(F.size("nths"), F.lit(0))
@@ -185,12 +191,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents),
 f AS (SELECT doc_id, nth, raw, trim(regexp_replace(raw, '[ \t\x0B\f\r]+', ' ', 'g')) AS line FROM l),
-u AS (SELECT line, min((doc_id, nth)) AS place FROM f WHERE length(line) >= 10 GROUP BY line),
+u AS (SELECT line, min((doc_id, nth)) AS place FROM f WHERE line <> '' GROUP BY line),
 k AS (SELECT line, place, unnest([(s, 'a', left(line, s // 2)), (s, 'b', right(line, s - s // 2))]) AS key
-      FROM (SELECT line, place, unnest([length(line), length(line) - 1]) AS s FROM u)),
+      FROM (SELECT line, place, unnest([length(line), length(line) - 1]) AS s FROM u WHERE length(line) >= 10)),
 near AS (SELECT DISTINCT b.line FROM k a JOIN k b ON a.key = b.key AND a.place < b.place
          WHERE abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1),
-v AS (SELECT f.*, length(f.line) < 10 OR (u.place = (f.doc_id, f.nth) AND near.line IS NULL) AS stays
+v AS (SELECT f.*, f.line = '' OR (u.place = (f.doc_id, f.nth) AND near.line IS NULL) AS stays
       FROM f LEFT JOIN u ON f.line = u.line LEFT JOIN near ON f.line = near.line)
 SELECT d.doc_id, count(v.nth)::BIGINT AS n_lines, coalesce(sum((NOT v.stays)::INT), 0)::BIGINT AS n_removed,
   md5(coalesce(string_agg(v.raw, chr(10) ORDER BY v.nth) FILTER (v.stays), '')) AS kept_md5

@@ -43,10 +43,10 @@ def brute_lines(texts):
         kept = []
         for line in text.split("\n"):
             form = re.sub(r"[ \t\x0b\f\r]+", " ", line).strip(" ")
-            if len(form) < line_dedup.MIN_CHARS or not any(abs(len(form) - len(s)) <= 1 and distance(form, s) <= 1 for s in seen):
+            long = len(form) >= line_dedup.MIN_CHARS
+            if not form or not any(form == s or long and len(s) >= line_dedup.MIN_CHARS and abs(len(form) - len(s)) <= 1 and distance(form, s) <= 1 for s in seen):
                 kept.append(line)
-            if len(form) >= line_dedup.MIN_CHARS:
-                seen.append(form)
+            seen.append(form)
         out[i] = "\n".join(kept)
     return out
 
@@ -61,6 +61,7 @@ def test_lines(spark):
     lines = [prose(s, rng.randint(3, 12)) for s in range(40)]
     pool = lines + [edited(x, rng) for x in lines] + [edited(edited(x, rng), rng) for x in lines] + [edited(lines[0], rng) for _ in range(12)]
     texts = ["\n".join(rng.sample(pool, 6)) for _ in range(40)] + [None, "", "short", "short\nshort", "a  b   c d e f g h", "a b c d e f g h"]
+    texts += ["a\nb\n\na", "\n \nHome\n", "Home", "Hone\n\nb"]
     got = by_id(line_dedup.dedup_lines(frame(spark, texts)).collect())
     assert {i: r["kept_text"] for i, r in got.items()} == brute_lines(texts)
     assert got[40]["n_lines"] == 0 and got[41]["n_lines"] == 1
