@@ -11,14 +11,17 @@ meet there are verified on their full n-gram sets.
    connected components of these links hold every candidate pair, and are linear
    in the number of classes, where the pairs of a large band would not be.
 3. Each component is verified exactly, all its members against each other, in
-   blocks: large ones are cut into blocks that meet pairwise. A task returns link
-   counts and a spanning forest of the links, never the pairs.
+   blocks: large ones are cut into blocks, by rows and by bytes, that meet
+   pairwise. Blocks hold n-gram sets, not texts. A task returns link counts and a
+   spanning forest of the links, never the pairs.
 4. The forests' components are the near-duplicate classes.
 
 Defined results: null and empty texts, and texts without a word, have no n-grams
 and link to nothing; texts shorter than ``n`` words have one n-gram, all their
-words; rows that repeat an id are separate documents; an empty table gives an
-empty result.
+words; rows that repeat an id are separate documents, and so are rows with null
+ids: they link like others, and a class whose ids are all null has a null
+``class_id`` (``near_class`` still names it); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -32,13 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmergrid.llm.common import materialize, spread, table
+from glimmergrid.llm.common import materialize, row_keys, spread, table
 from glimmergrid.llm.components import connected_components
 from glimmergrid.llm.hashing import as_bytes, mixed, words
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9998
 BLOCK = 1024
 COLUMNS = 4096
+#: Bytes of n-gram sets up to which a block is verified in one task (a longer set is a block of its own).
+BLOCK_BYTES = 64 << 20
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 12) -> tuple[int, int]:
@@ -77,7 +82,7 @@ def set_name(grams: np.ndarray) -> str:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) -> DataFrame:
-    """``id``, ``node`` (name of the set; null if it is empty) and the band hashes of every document."""
+    """``id``, ``k1``, ``k2``, ``node`` (name of the set; null if it is empty) and the band hashes of every document."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     offsets = rng.integers(1 << 63, size=bands * rows, dtype=np.uint64)
@@ -99,10 +104,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) -
                 for part in least.reshape(bands, rows).T:
                     band = mixed(band + part)
                 keys.append(band.astype(np.int64))
-            yield pd.DataFrame({"id": b["id"], "node": nodes, "bands": keys})
+            yield pd.DataFrame({"id": b["id"], "k1": b["k1"], "k2": b["k2"], "node": nodes, "bands": keys})
 
     kind = dict(docs.dtypes)["id"]
-    return spread(docs.select("id", "text")).mapInPandas(sign, f"id {kind}, node string, bands array<long>")
+    return spread(docs).mapInPandas(sign, f"id {kind}, k1 long, k2 long, node string, bands array<long>")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -147,15 +152,11 @@ def forest(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verify(candidates: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
-    """``node``, ``n_links`` and ``other`` (a linked node, for the forest) from ``root``, ``node``, ``text`` and ``size``."""
+def verify(candidates: DataFrame, threshold: float) -> DataFrame:
+    """``node``, ``n_links`` and ``other`` (a linked node, for the forest) from ``root``, ``node``, ``grams`` and ``blocks``."""
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [ngram_set(t, n) for t in pdf["text"]]
-        own = {node: i for i, (node, s) in enumerate(zip(pdf["node"], sets)) if set_name(s) == node}
-        pdf, sets = pdf.iloc[list(own.values())], [sets[i] for i in own.values()]
-        if not sets:
-            return pd.DataFrame({"node": [], "n_links": [], "other": []})
+        sets = [np.frombuffer(g, "<u8") for g in pdf["grams"]]
         side = pdf["side"].to_numpy()
         links = verified_links(sets, threshold)
         if pdf["first"].iat[0] != pdf["second"].iat[0]:
@@ -165,49 +166,64 @@ def verify(candidates: DataFrame, n: int, threshold: float, block: int) -> DataF
         nodes = pdf["node"].to_numpy()
         return pd.DataFrame({"node": nodes, "n_links": counts.astype(np.int64), "other": nodes[root]})[counts > 0]
 
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = candidates.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = candidates.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", "node", "text", "side", F.least("side", "with").alias("first"), F.greatest("side", "with").alias("second"))
+    dealt = dealt.select("root", "node", "grams", "side", F.least("side", "with").alias("first"), F.greatest("side", "with").alias("second"))
     return dealt.groupBy("root", "first", "second").applyInPandas(check, "node string, n_links long, other string")
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def gram_sets(texts: DataFrame, n: int) -> DataFrame:
+    """``root``, ``node`` and the bytes of the n-gram set of each row's ``text``."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"root": b["root"], "node": b["node"], "grams": [ngram_set(t, n).astype("<u8").tobytes() for t in b["text"]]})
+
+    return texts.select("root", "node", "text").mapInPandas(sets, "root long, node string, grams binary")
+
+
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document with its near-duplicate class and its links.
 
     Returns ``id_col``, ``class_id`` (least id of its class of near duplicates),
     ``copy_of`` (least id with an equal n-gram set), ``n_copies`` (documents with
-    that set) and ``n_links`` (other n-gram sets at or above the threshold).
+    that set), ``n_links`` (other n-gram sets at or above the threshold),
+    ``near_class`` (a name of the class; null where a text has no n-grams), and
+    ``k1`` and ``k2``, which stand for the row's id and text.
     """
     bands, rows = choose_bands(threshold, recall)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col))
     signed = materialize(signatures(texts, n, bands, rows), "signatures")
-    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"))
+    own = F.min(F.struct("k1", "k2")).alias("own")
+    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), own)
     # Candidates go by 64-bit names: if two texts shared one, their candidates would be verified together.
     met = signed.filter("node IS NOT NULL").select(F.xxhash64("node").alias("node"), F.explode("bands").alias("band")).distinct()
     # Tables of one row per key are written first: both sides of a join are then plain shuffles, and a hot key's rows can be split.
     heads = materialize(met.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "heads")
     linked = met.join(heads, "band").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     found = materialize(connected_components(linked), "candidates")
-    sizes = materialize(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    named = classes.select("node", F.col("copy_of").alias("id"), F.xxhash64("node").alias("short"))
-    wanted = found.join(sizes, "root").withColumnRenamed("node", "short").join(named, "short").select("root", "node", "size", "id")
-    # Rows that repeat an id come along with it; a set is verified once, by a row that has it.
-    links = materialize(verify(texts.join(wanted, "id"), n, threshold, block), "links")
+    named = classes.select("node", "own.*", F.xxhash64("node").alias("short"))
+    wanted = materialize(found.withColumnRenamed("node", "short").join(named, "short").select("root", "node", "k1", "k2"), "wanted")
+    # A set is verified once, by one of the rows that hold it; rows that repeat id and text are combined before they move on.
+    one_each = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).groupBy("root", "node").agg(F.min("text").alias("text"))
+    sets = materialize(gram_sets(one_each, n), "sets")
+    sizes = sets.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.length("grams")) / block_bytes)).cast("int").alias("blocks"))
+    links = materialize(verify(sets.join(materialize(sizes, "sizes"), "root"), threshold), "links")
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     near = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = classes.join(near, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.drop("own").join(near, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    told = materialize(named.join(least, "root").select("node", "class_id", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    return signed.select("id", "node").join(told, "node", "left").select(
-        F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    told = materialize(named.join(least, "root").select("node", "root", "class_id", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    return signed.select("id", "k1", "k2", "node").join(told, "node", "left").select(
+        F.col("id").alias(id_col), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("copy_of")).alias("copy_of"),
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("root").alias("near_class"), "k1", "k2",
     )
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and links of all documents, at five words and 0.8."""
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
 
 
 ORACLE = r"""
