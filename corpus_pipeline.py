@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmergrid.llm.common import materialize, table
+from glimmergrid.llm.common import materialize, row_keys, table
 from glimmergrid.llm.jaccard import jaccard_join
 from glimmergrid.llm.line_dedup import dedup_lines
 from glimmergrid.llm.mixing import SPACE, mix_sources
@@ -45,11 +45,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates; rows that repeat its id and text are one."""
+    """One document of each class of near duplicates: the one with the least id, then by a hash of id and text.
+
+    Null ids come last. Rows that repeat id and text are one document; rows that
+    repeat an id with other texts are documents of their own. Texts without a
+    word are like nothing and all stay.
+    """
     told = jaccard_join(docs)
-    first = told.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(COLUMNS)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
+    classes = told.filter("near_class IS NOT NULL").groupBy("near_class").agg(F.min(order).alias("first"))
+    first = materialize(classes.select("first.k1", "first.k2"), "stage-first")
+    words = told.filter("near_class IS NULL").select("k1", "k2").distinct().withColumn("wordless", F.lit(True))
+    keyed = docs.select(*COLUMNS, *row_keys("doc_id", "text"))
+    alone = keyed.join(words, ["k1", "k2"], "left_semi").select(COLUMNS)
+    # Combined before they move; of rows that differ in other columns only, the least is taken.
+    chosen = keyed.join(first, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return chosen.select("row.*").unionByName(alone)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
