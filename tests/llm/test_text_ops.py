@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import struct
@@ -265,10 +266,12 @@ def test_plans(seed):
 
 
 def brute_form(text):
-    text = unicodedata.normalize("NFC", text or "")
-    for one, several in fingerprints.LIGATURES.items():
-        text = text.replace(one, several)
-    return re.sub(r"\s+", " ", text.lower()).strip()
+    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return "".join(" " if unicodedata.category(c)[0] == "Z" or c in "\t\n\x0b\f\r\x85" else c for c in text).split(" ")
+
+
+def brute_form_joined(text):
+    return " ".join(filter(None, brute_form(text)))
 
 
 def brute_digest(form):
@@ -277,9 +280,9 @@ def brute_digest(form):
 
 
 def test_fingerprints(spark):
-    texts = ["Café  au\tlait", "café au lait", "CAFÉ AU LAIT ", "cafe au lait", "Straße", "STRASSE", "ﬁn", "fin", "ệ", "ệ", None, "", "x" * 100_000, "日本語"]
+    texts = ["Café  au\tlait", "café au lait", "CAFÉ AU LAIT ", "cafe au lait", "Straße", "STRASSE", "ﬁn", "fin", "ệ", "ệ", None, "", "x" * 100_000, "日本語", "a\u0301\u0323", "a\u0323\u0301", "㎡ ㎡", "m2\u2003m2", "ẞ", "ss", "ς Σ", "σ σ", "ŉ"]
     got = by_id(fingerprints.exact_groups(frame(spark, texts)).collect())
-    want = [brute_digest(brute_form(t)) for t in texts]
+    want = [brute_digest(brute_form_joined(t)) for t in texts]
     assert [got[i]["fingerprint"] for i in range(len(texts))] == want
     for i, w in enumerate(want):
         assert got[i]["group_id"] == want.index(w) and got[i]["copies"] == want.count(w)
@@ -293,19 +296,44 @@ def test_colliding_digests_are_told_apart(spark):
     assert got == {1: "d", 2: "d-2", 3: "d", 4: "e"}
 
 
+def test_forms_over_all_of_unicode(spark):
+    """Against the standard library; what it does not know yet is left out."""
+    known = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = [f"A{chr(c)}\u0323 {chr(c)}" for c in known] + ["".join(map(chr, p)) for p in [(0x304B, 0x3099), (0x1112, 0x1161, 0x11AB), (0x0915, 0x093C), (0x1D400, 0x301)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r["i"]: r["form"] for r in fingerprints.with_form(rows, "text", "form").collect()}
+    wrong = [(t, got[i]) for i, t in enumerate(texts) if got[i] != brute_form_joined(t)]
+    assert not wrong, wrong[:5]
+
+
 @pytest.mark.parametrize("parts", [1, 3, 50])
-def test_next(spark, parts):
-    ids = [5, 9, 9, 1, 30, 7, 7, 7, None, 2]
-    rows = spark.createDataFrame([(i, f"t{n}", n) for n, i in enumerate(ids)], "id long, text string, tie long")
-    got = {r["tie"]: r["next_text"] for r in fingerprints.with_next(rows, ["text"], parts).collect()}
-    order = sorted(range(len(ids)), key=lambda n: (ids[n] is None, -(ids[n] or 0), n))
-    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+@pytest.mark.parametrize("ids", [[5, 9, 9, 1, 30, 7, 7, 7, None, 2], [None] * 30 + [4] * 40 + [1, 2], [3] * 50])
+def test_next(spark, parts, ids):
+    ties = [xxhash.xxh64_intdigest(str(n % 11)) - (1 << 63) for n in range(len(ids))]
+    rows = spark.createDataFrame([(i, f"t{t}", t) for i, t in zip(ids, ties)], "id long, text string, tie long")
+    got = sorted((r["id"] is None, r["id"] or 0, r["tie"], r["next_text"]) for r in fingerprints.with_next(*fingerprints.dealt_by_id(rows, parts), ["text"]).collect())
+    order = sorted(range(len(ids)), key=lambda n: (ids[n] is None, -(ids[n] or 0), ties[n]))
+    assert got == sorted((ids[a] is None, ids[a] or 0, ties[a], f"t{ties[b]}") for a, b in zip(order, order[1:] + order[:1]))
 
 
 def test_next_of_few(spark):
     rows = spark.createDataFrame([(1, "a", 0)], "id long, text string, tie long")
-    assert fingerprints.with_next(rows, ["text"], 4).first()["next_text"] == "a"
-    assert fingerprints.with_next(rows.limit(0), ["text"], 4).count() == 0
+    assert fingerprints.with_next(*fingerprints.dealt_by_id(rows, 4), ["text"]).first()["next_text"] == "a"
+    assert fingerprints.with_next(*fingerprints.dealt_by_id(rows.limit(0), 4), ["text"]).count() == 0
+
+
+def test_fingerprint_query(spark, tmp_path):
+    """The whole query against a brute-force version."""
+    texts = [prose(i, 20) for i in range(20)] + ODD + [prose(3, 20), prose(3, 20).upper(), "aa", "aa", "Ａａ"]
+    frame(spark, texts).union(frame(spark, texts[:2], start=3)).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted([(i, t or "") for i, t in enumerate(texts)] + [(3 + i, t) for i, t in enumerate(texts[:2])], key=lambda r: (-r[0], xxhash.xxh64_intdigest(r[1].encode(), seed=42) - (xxhash.xxh64_intdigest(r[1].encode(), seed=42) >> 63 << 64)))
+    want = []
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        own, changed, following = (brute_digest(brute_form_joined(x)) for x in (t, edited, after))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), own, changed, float(own == changed), float(own == following)))
+    assert sorted(map(tuple, fingerprints.op8_fingerprints(spark, str(tmp_path)).collect())) == sorted(want)
 
 
 # Mixing
