@@ -6,9 +6,11 @@ epochs first. What is left of its budget is filled in the order of exponential
 keys, scaled by the documents' quality weights: the weighted sampling without
 replacement of Efraimidis and Spirakis, with a running sum in place of a count.
 
-No step holds a source in one task. Documents are dealt to (source, key range)
-buckets, summed there, and the sums of earlier ranges are added from a table of
-one row per source and range.
+No step holds a source in one task. Documents are dealt to ranges of keys of a
+source, which are cut until each has at most ``range_rows`` rows; they are summed
+there, and the sums of earlier ranges are added from a table of one row per range.
+Rows that can't be told apart are dealt to shares by number. Sources, too, may be
+many: they are ranked in sorted ranges, and their common level is found by sums.
 
 Defined results: a null or empty text has size 0 and nothing is taken of it; a
 null source is a source of its own, ordered last; rows that repeat an id are
@@ -24,12 +26,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimmergrid.llm.common import materialize, table
+from glimmergrid.llm.common import materialize, shuffle_partitions, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[!#$%&*|]"
+#: Words that the next word repeats.
+AGAIN = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++(?=\1(?![^\x20\x09-\x0D]))"
+# Constant, and factors of the share of symbols and of repeated words, fitted by logistic
+# regression to the quality labels of the given tables (rows that may be learned from; held-out accuracy 1.00 of 800).
+QUALITY = (6.5, -130.0, -19.0)
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Bits of a key's logarithm, and those that ranges leave out, from coarse to fine.
+KEY_BITS, LEFT_OUT = 43, (36, 24, 12, 0)
 
 
 def word_count(text: Column) -> Column:
@@ -37,37 +46,75 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def symbol_quality(text: Column) -> Column:
-    """Default quality weight in (0, 1]: it falls as symbols become frequent."""
-    share = F.regexp_count(text, F.lit(SYMBOLS)) / F.greatest(F.length(text), F.lit(1))
-    return 1.0 / (1.0 + 20.0 * F.coalesce(share, F.lit(0.0)))
+def text_quality(text: Column) -> Column:
+    """Default quality weight in (0, 1): a fitted logistic function of a text's shares of symbols and of words that the next one repeats."""
+    symbols = F.regexp_count(text, F.lit(SYMBOLS)) / F.greatest(F.length(text), F.lit(1))
+    again = F.regexp_count(text, F.lit(AGAIN)) / F.greatest(word_count(text), F.lit(1))
+    z = QUALITY[0] + QUALITY[1] * F.coalesce(symbols, F.lit(0.0)) + QUALITY[2] * F.coalesce(again, F.lit(0.0))
+    return 1.0 / (1.0 + F.exp(-z))
 
 
 def source_targets(sizes: DataFrame, share: float, weights: Sequence[float], max_epochs: float) -> DataFrame:
     """Targets per source: ``sizes`` (source, source_size) plus ``target``.
 
-    The common level is found in closed form. With sources sorted by limit per
-    unit of weight, the level is what the first source that stays under its
-    limit sees after all earlier ones took theirs.
+    Weights go by the rank of the source's name. The common level starts at the
+    budget per weight; sources that reach their limit below it leave the rest to
+    the others, until none does. A round is two sums, and only they come back.
     """
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") - 1) % len(weights) + 1)
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_limit = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = by_limit.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        sizes.withColumn("nth", F.row_number().over(by_name))
-        .withColumn("weight", weight)
-        .withColumn("limit", F.lit(float(max_epochs)) * F.col("source_size"))
-        .withColumn("ratio", F.col("limit") / F.col("weight"))
-        .withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(everything))
-        .withColumn("limits_before", F.sum("limit").over(upto) - F.col("limit"))
-        .withColumn("weights_from", F.sum("weight").over(everything) - F.sum("weight").over(upto) + F.col("weight"))
-        .withColumn("level", (F.col("budget") - F.col("limits_before")) / F.col("weights_from"))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
-        .withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))))
-        .select("source", "source_size", F.round("target", 6).alias("target"))
-    )
+    spark = sizes.sparkSession
+    dealt = sizes.repartitionByRange(shuffle_partitions(spark), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt, "sources")
+    # One row per range of names.
+    held = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    nth = dealt.withColumn("within", within).join(F.broadcast(held.select("part", before.alias("before"))), "part").withColumn("nth", F.col("within") + F.col("before"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    known = nth.select("source", "source_size", weight.alias("weight"), (F.lit(float(max_epochs)) * F.col("source_size")).alias("limit"))
+    known = materialize(known, "weighted")
+    told = known.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    budget, level, full = share * float(told["size"] or 0), None, -1
+    if told["weight"]:
+        level, now = budget / told["weight"], 0
+        while level is not None and now != full:
+            full, over = now, F.col("limit") < F.lit(level) * F.col("weight")
+            got = known.agg(F.sum(F.when(over, F.col("limit")).otherwise(0.0)).alias("limits"), F.sum(F.when(~over, F.col("weight"))).alias("open"), F.count_if(over).alias("full")).first()
+            now = got["full"]
+            level = (budget - got["limits"]) / got["open"] if got["open"] else None
+    target = F.col("limit") if level is None else F.least(F.col("limit"), F.lit(level) * F.col("weight"))
+    return known.select("source", "source_size", F.round(target, 6).alias("target"))
+
+
+def in_key_ranges(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with ``range`` and ``share``: ranges of keys of a source, in their order, with up to ``most`` rows (more or less).
+
+    ``range`` is the least place that a key of the range can have, where places are
+    the keys' logarithms in fixed point. Ranges with too many rows are cut finer;
+    the list of them has at most a row for ``most`` rows. Rows of one place hold the
+    same id and text; there, shares are by number, and their order doesn't matter.
+    """
+
+    def cut(bits: int) -> Column:
+        return F.shiftleft(F.shiftright(F.col("place"), bits), bits)
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("skey", "range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+        return materialize(held.select(F.col("skey").alias("h_skey"), F.col("range").alias("h_range"), F.ceil(F.col("n") / most).alias("shares")), "crowded")
+
+    rows = rows.withColumn("range", cut(LEFT_OUT[0])).withColumn("share", F.lit(0).cast("long"))
+    for bits in (*LEFT_OUT[1:], None):
+        held = crowded(rows)
+        if held.isEmpty():
+            break
+        if bits is None:
+            rows = materialize(rows, "keyed").withColumn("number", F.monotonically_increasing_id())
+        met = rows.join(F.broadcast(held), (F.col("skey") == F.col("h_skey")) & (F.col("range") == F.col("h_range")), "left")
+        if bits is None:
+            rows = met.withColumn("share", F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("number"), F.col("shares"))).otherwise(0)).drop("number")
+        else:
+            rows = met.withColumn("range", F.when(F.col("shares").isNotNull(), cut(bits)).otherwise(F.col("range")))
+        rows = rows.drop("h_skey", "h_range", "shares")
+    return rows
 
 
 def mix_sources(
@@ -80,39 +127,41 @@ def mix_sources(
     share: float = 1.5,
     weights: Sequence[float] = WEIGHTS,
     max_epochs: float = 2.0,
-    quality=symbol_quality,
+    quality=text_quality,
     seed: int = 17,
-    ranges: int = 1024,
+    range_rows: int = 100_000,
 ) -> DataFrame:
     """How much of each document the mix takes.
 
     Returns one row per input row: ``id_col``, ``source``, the columns of
     ``keep``, ``size``, ``source_size``, ``target``, ``epochs`` (complete
     copies), ``part`` (words of one more, incomplete or complete, copy) and
-    ``taken``. ``ranges`` is the number of key ranges a source is split into.
+    ``taken``.
     """
-    uniform = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    drawn = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "tie")
+    uniform = (F.conv(F.substring(F.md5(drawn), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
     rows = (
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
         .withColumn("size", word_count(F.col("text")))
-        .withColumn("key", -F.ln(uniform) / quality(F.col("text")))
         .withColumn("tie", F.md5(F.coalesce(F.col("text"), F.lit(""))))
-        .withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
+        .withColumn("key", -F.ln(uniform) / quality(F.col("text")))
+        .withColumn("place", F.floor((F.ln("key") + 40) * 2.0**KEY_BITS))
+        .withColumn("skey", F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source"), F.lit(""))))
         .drop("text")
     )
-    sums = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("held")), "mix-sums")
+    # Without other columns a row is small, so texts are read once.
+    rows = in_key_ranges(rows if keep else materialize(rows, "keyed"), range_rows)
+    sums = materialize(rows.groupBy("source", "skey", "range", "share").agg(F.sum("size").alias("held")), "mix-sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("held").alias("source_size")), share, weights, max_epochs)
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("skey").orderBy("range", "share").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
-    plan = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("s.source").alias("p_source"), F.col("s.range").alias("p_range"), "start", "source_size", "target"
-    )
-    within = Window.partitionBy("source", "range").orderBy("key", "id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("skey", "range", "share", "start", "source_size", "target")
+    within = Window.partitionBy("skey", "range", "share").orderBy("key", "id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     left = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     before = F.col("start") + F.col("running") - F.col("size")
     return (
         rows.withColumn("running", F.sum("size").over(within))
-        .join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("range") == F.col("p_range")))
+        .join(plan, ["skey", "range", "share"])
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left - before)).cast("long"))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
@@ -126,17 +175,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    -ln((('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
-      / (1 / (1 + 20 * coalesce(len(regexp_extract_all(text, '[!#$%&*|]'))::DOUBLE / greatest(length(text), 1), 0))) AS k,
-    md5(coalesce(text, '')) AS tie
-  FROM documents),
+WITH w AS (SELECT doc_id, source, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words, md5(coalesce(text, '')) AS tie FROM documents),
+q AS (SELECT *, len(words)::BIGINT AS size,
+    6.5::DOUBLE - 130::DOUBLE * coalesce(len(regexp_extract_all(text, '[!#$%&*|]'))::DOUBLE / greatest(length(text), 1), 0)
+      - 19::DOUBLE * (len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1]))::DOUBLE / greatest(len(words), 1)) AS z FROM w),
+d AS (
+  SELECT doc_id, source, size, tie,
+    -ln((('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || tie), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (1 / (1 + exp(-z))) AS k
+  FROM q),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source),
-w AS (SELECT *, (CASE (nth - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight, 2.0::DOUBLE * source_size AS lim,
+v AS (SELECT *, (CASE (nth - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight, 2.0::DOUBLE * source_size AS lim,
         1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
 o AS (SELECT *, (budget - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-        / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v),
 l AS (SELECT min_by(level, lim / weight) AS level FROM o WHERE level <= lim / weight),
 t AS (SELECT source, source_size, round(least(lim, coalesce(l.level * weight, lim)), 6) AS target FROM o, l),
 e AS (SELECT t.*, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),

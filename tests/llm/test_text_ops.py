@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cases import ODD, frame, prose
 from glimmergrid.llm import fingerprints, jaccard, line_dedup, mixing, packing, suffix_dedup
@@ -361,7 +362,7 @@ def test_mixing(spark):
     sources = [rng.choice(["a", "b", "b", "b", "c", "d", "é", None]) for _ in range(300)]
     texts = [prose(i, rng.randint(0, 60)) for i in range(300)]
     docs = frame(spark, texts, sources)
-    got = by_id(mixing.mix_sources(docs, ranges=8).collect())
+    got = by_id(mixing.mix_sources(docs, range_rows=8).collect())
     sizes = Counter()
     for s, t in zip(sources, texts):
         sizes[s] += len(t.split())
@@ -376,7 +377,7 @@ def test_mixing(spark):
         assert abs(taken[s] - targets[s]) <= 1
         parts = [got[i] for i in range(300) if sources[i] == s and got[i]["size"]]
         assert sum(0 < r["part"] < r["size"] for r in parts) <= 1 and len({r["epochs"] for r in parts}) <= 1
-    again = by_id(mixing.mix_sources(docs.repartition(7), ranges=3).collect())
+    again = by_id(mixing.mix_sources(docs.repartition(7), range_rows=3).collect())
     assert {i: r["taken"] for i, r in again.items()} == {i: r["taken"] for i, r in got.items()}
 
 
@@ -387,6 +388,26 @@ def test_odd_mixing(spark):
     assert {r["taken"] for r in mixing.mix_sources(frame(spark, [None, ""])).collect()} == {0}
 
 
+def test_crowded_keys(spark):
+    """Rows that equal each other are dealt to shares; all are taken or left but for one."""
+    docs = frame(spark, [prose(1, 10)] * 3).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.union(docs).union(docs).union(docs).union(frame(spark, [prose(i, 7) for i in range(5)], ["s", "s", None, None, "t"]))
+    rows = mixing.mix_sources(docs, keep=("mark",), range_rows=2, share=0.7).collect()
+    assert len(rows) == 17
+    for source in ("s", None, "t"):
+        own = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and sum(0 < r["part"] < r["size"] for r in own) <= 1
+
+
+def test_many_sources(spark):
+    rng = random.Random(4)
+    sizes = {f"s{i:03d}": rng.choice([0, 3, 50, 4000]) for i in range(200)} | {None: 17}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), 1.5, mixing.WEIGHTS, 2.0).collect()
+    want = brute_targets(sizes, mixing.WEIGHTS)
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(want, abs=1e-4)
+    assert mixing.source_targets(spark.createDataFrame([], "source string, source_size long"), 1.5, mixing.WEIGHTS, 2.0).count() == 0
+
+
 def test_quality_weights_favour(spark):
     texts = [prose(i, 20) for i in range(200)] + [prose(i, 20).replace(" ", " ## ") for i in range(200)]
     docs = frame(spark, texts)
