@@ -6,10 +6,13 @@ the least Euclidean distance. A few Gaussian projections (2-stable: a projected
 squared distance is the true one times a chi-square variable) place every vector
 in a low-dimensional space, cut into kd-tree cells.
 
-A query first verifies its own cell on the original vectors, which bounds the
-distance of its k-th neighbour. It then goes on to cells, and inside them to
-leaves, in which a neighbour within that bound can project with the chosen
-probability, and stops at those that fail the chi-square test.
+A query goes through cells, and inside them through leaves, by increasing projected
+distance. A leaf's vectors are verified on the original components if they project
+near enough; the score of the k-th best so far bounds how near that is. The bound
+is tightened after each round of cells, and a query stops at the first cell that
+fails the chi-square test: a vector that beats the k-th one by the factor ``ratio``
+in distance would project into it with less than ``1 - probability``. Rounds take
+1, 3, 12, 48, ... of a query's next cells.
 
 The tree's cuts are fitted on a bounded sample (``sample_rows``); every row is
 indexed. Cells are dealt in blocks of bounded size, so neither a dense cell nor
@@ -20,7 +23,8 @@ rows a query.
 Defined results: vectors that are null, zero, of another length than most, or
 hold a null or non-finite component take no part; ties go to the smaller id;
 rows that repeat an id are separate candidates, except that a query never finds
-its own id; an empty table gives an empty result.
+its own id; of rows that repeat a query's id the one with the least vector asks;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -142,14 +146,18 @@ def leaves(points: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
     return leaves(points, order[:half], size) + leaves(points, order[half:], size)
 
 
-def best_of_block(block: pd.DataFrame, queries: pd.DataFrame, cells: Cells, k: int, quantile: float, leaf: int) -> pd.DataFrame:
-    """Each query's ``k`` best candidates of one block, verified leaf by leaf."""
+def best_of_block(block: pd.DataFrame, queries: pd.DataFrame, cells: Cells, k: int, reach: float, leaf: int) -> pd.DataFrame:
+    """Each query's ``k`` best candidates of one block, verified leaf by leaf in the order of projected distance.
+
+    ``reach`` is the squared projected distance up to which a vector is verified,
+    as a factor of the squared distance of the k-th neighbour so far.
+    """
     block = block.sort_values("id", kind="stable")
     ids, vectors = block["id"].to_numpy(), np.stack(block["vector"].to_numpy()).astype(float)
     points = cells.project(vectors)
     groups = leaves(points, np.arange(len(ids)), leaf)
     low, high = np.array([points[g].min(axis=0) for g in groups]), np.array([points[g].max(axis=0) for g in groups])
-    found = []
+    found, verified = [], 0
     for first in range(0, len(queries), SCORED):
         some = queries.iloc[first : first + SCORED]
         query_ids, wanted = some["query_id"].to_numpy(), np.stack(some["vector"].to_numpy()).astype(float)
@@ -157,24 +165,38 @@ def best_of_block(block: pd.DataFrame, queries: pd.DataFrame, cells: Cells, k: i
         # Squared distance of the k-th neighbour so far, in the space where all queries have the greatest length.
         worst = some["worst"].to_numpy(float, copy=True)
         scores = np.full((len(wanted), len(ids)), -np.inf)
-        away = box_distances(cells.project(wanted, query=True), low, high)
-        for g in np.argsort(away.mean(axis=0)):
-            active = np.flatnonzero(away[:, g] <= quantile * worst)
-            if not len(active):
-                continue
-            scores[np.ix_(active, groups[g])] = wanted[active] @ vectors[groups[g]].T
-            if len(ids) > k:
-                kth = np.partition(scores[active], len(ids) - k, axis=1)[:, len(ids) - k]
-                bound = np.maximum(0.0, 2 * cells.longest - 2 * kth * math.sqrt(cells.longest) / length[active])
-                worst[active] = np.minimum(worst[active], np.where(np.isfinite(kth), bound, np.inf))
+        at = cells.project(wanted, query=True)
+        away = box_distances(at, low, high)
+        order = np.argsort(away, axis=1, kind="stable")
+        for step in range(len(groups)):
+            nearest_leaf = order[:, step]
+            going = np.flatnonzero(away[np.arange(len(wanted)), nearest_leaf] <= reach * worst)
+            if not len(going):
+                break
+            for g in np.unique(nearest_leaf[going]):
+                q, rows = going[nearest_leaf[going] == g], groups[g]
+                apart = (at[q] ** 2).sum(axis=1)[:, None] + (points[rows] ** 2).sum(axis=1) - 2 * (at[q] @ points[rows].T)
+                a, b = np.nonzero(apart <= (reach * worst[q])[:, None])
+                verified += len(a)
+                if 4 * len(a) > apart.size:
+                    scores[np.ix_(q, rows)] = wanted[q] @ vectors[rows].T
+                else:
+                    scores[q[a], rows[b]] = (wanted[q[a]] * vectors[rows[b]]).sum(axis=1)
+            # The bound is taken anew after 1, 2, 4, ... leaves.
+            if len(ids) > k and not step + 1 & step:
+                kth = np.partition(scores[going], len(ids) - k, axis=1)[:, len(ids) - k]
+                bound = np.maximum(0.0, 2 * cells.longest - 2 * kth * math.sqrt(cells.longest) / length[going])
+                worst[going] = np.minimum(worst[going], np.where(np.isfinite(kth), bound, np.inf))
         scores[query_ids[:, None] == ids[None, :]] = -np.inf
         # Rows are sorted by id, so a stable order settles ties; products differ in their last digits by where a row stands.
-        order = np.argsort(-np.round(scores, DIGITS), axis=1, kind="stable")[:, :k]
-        q, c = np.repeat(np.arange(len(wanted)), order.shape[1]), order.ravel()
+        best = np.argsort(-np.round(scores, DIGITS), axis=1, kind="stable")[:, :k]
+        q, c = np.repeat(np.arange(len(wanted)), best.shape[1]), best.ravel()
         fine = np.isfinite(scores[q, c])
         q, c = q[fine], c[fine]
         found.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[c], "score": products(wanted[q], vectors[c])}))
-    return pd.concat(found)
+    out = pd.concat(found)
+    out.attrs["verified"] = verified
+    return out
 
 
 def met_in_blocks(blocks: DataFrame, parts: DataFrame, queries: DataFrame, query_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -197,14 +219,39 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & fine)
 
 
+def sample_rows_of(rows: DataFrame, share: float, most: int, seed: int) -> np.ndarray:
+    """A matrix of about ``share`` of the vectors, at most ``most``."""
+    picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < 1_000_000 * share).select("vector").limit(most).toPandas()
+    return np.stack(picked["vector"].to_numpy()) if len(picked) else np.zeros((0, 0))
+
+
+def boxes(placed: DataFrame, cells: Cells) -> Cells:
+    """``cells`` with the boxes of the rows that lie in them; a cell without rows is infinitely far. A row per cell and dimension comes back."""
+
+    def extent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            points = pd.DataFrame(cells.project(np.stack(b["vector"].to_numpy()))) if len(b) else None
+            if points is not None:
+                told = points.groupby(b["cell"].to_numpy()).agg(["min", "max"]).stack(level=0, future_stack=True).reset_index()
+                told.columns = ["cell", "dim", "low", "high"]
+                yield told.astype({"cell": "int32", "dim": "int32"})
+
+    told = placed.select("cell", "vector").mapInPandas(extent, "cell int, dim int, low double, high double").groupBy("cell", "dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    cells.low, cells.high = np.full(cells.low.shape, np.inf), np.full(cells.high.shape, np.inf)
+    cells.low[told["cell"], told["dim"]] = told["low"]
+    cells.high[told["cell"], told["dim"]] = told["high"]
+    return cells
+
+
 def nearest(
     vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
-    dimensions: int = 8, probability: float = 0.99, sample_rows: int = 20_000, cell_rows: int = 4_096, query_rows: int = 4_096, max_cells: int = 4_096, leaf: int = 256, seed: int = 3,
+    dimensions: int = 16, probability: float = 0.95, ratio: float = 1.0, sample_rows: int = 20_000, cell_rows: int = 1_024, query_rows: int = 4_096, max_cells: int = 4_096, leaf: int = 64, seed: int = 3,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's ``k`` nearest rows.
 
     ``is_query`` says of an id column which rows are queries. ``probability`` is
-    the chance that a true neighbour passes the chi-square test.
+    the chance that a true neighbour passes the chi-square test, ``ratio`` (1 or
+    more) by how much a missed one may be nearer than the last one found.
     """
     rows = usable(vectors, id_col, vector_col)
     lengths = rows.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("longest"))
@@ -213,59 +260,66 @@ def nearest(
     if most is None:
         return rows.sparkSession.createDataFrame([], out)
     rows = rows.filter(F.size("vector") == most["n"])
-    share = sample_rows / most["rows"]
-    picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < 1_000_000 * share).select("vector").limit(2 * sample_rows).toPandas()
-    sample = np.stack(picked["vector"].to_numpy()) if len(picked) else np.zeros((1, most["n"]))
+    sample = sample_rows_of(rows, sample_rows / most["rows"], 2 * sample_rows, seed)
+    sample = sample if len(sample) else np.zeros((1, most["n"]))
     cells = fit_cells(sample, float(most["longest"]), min(max_cells, math.ceil(most["rows"] / cell_rows)), dimensions, seed)
-    quantile = chi_square_quantile(probability, dimensions)
+    reach = chi_square_quantile(probability, dimensions) / ratio**2
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 yield b.assign(cell=cells.cell(cells.project(np.stack(b["vector"].to_numpy()))).astype(np.int32))
 
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b.assign(cell=cells.cell(cells.project(np.stack(b["vector"].to_numpy()), query=True)).astype(np.int32), worst=np.inf)
-
-    def onward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                wanted = np.stack(b["vector"].to_numpy())
-                length = np.sqrt((wanted * wanted).sum(axis=1))
-                worst = np.maximum(0.0, 2 * cells.longest - 2 * b["kth"].to_numpy(float) * math.sqrt(cells.longest) / length)
-                worst = np.where(np.isnan(worst), np.inf, worst)
-                near = cells.distances(cells.project(wanted, query=True)) <= quantile * worst[:, None]
-                near[np.arange(len(b)), b["cell"].to_numpy()] = False
-                q, c = np.nonzero(near)
-                yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[q], "cell": c.astype(np.int32), "worst": worst[q]})
+    placed = materialize(spread(rows).mapInPandas(place, "id long, vector array<double>, cell int"), "cells")
+    cells = boxes(placed, cells)
+
+    def onward(first: int, last: int):
+        """The cells that come next: those of ranks ``first`` to ``last`` by distance that pass the test."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for low in range(0, len(whole), SCORED):
+                    b = whole.iloc[low : low + SCORED]
+                    wanted = np.stack(b["vector"].to_numpy())
+                    length = np.sqrt((wanted * wanted).sum(axis=1))
+                    worst = np.maximum(0.0, 2 * cells.longest - 2 * b["kth"].to_numpy(float) * math.sqrt(cells.longest) / length)
+                    worst = np.where(np.isnan(worst), np.inf, worst)
+                    away = cells.distances(cells.project(wanted, query=True))
+                    next_cells = np.argsort(away, axis=1, kind="stable")[:, first:last]
+                    apart = np.take_along_axis(away, next_cells, axis=1)
+                    q, c = np.nonzero((apart <= reach * worst[:, None]) & np.isfinite(apart))
+                    yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[q], "cell": next_cells[q, c].astype(np.int32), "worst": worst[q]})
+
+        return run
 
     def search(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best_of_block(block, queries, cells, k, quantile, leaf)
+        return best_of_block(block, queries, cells, k, reach, leaf)
 
-    placed = materialize(spread(rows).mapInPandas(place, "id long, vector array<double>, cell int"), "cells")
     # One row per cell.
     parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts"))
     blocks = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("cell", "part", "id", "vector")
-
-    def visit(queries: DataFrame, name: str) -> DataFrame:
-        met, sent = met_in_blocks(blocks, parts, queries, query_rows)
+    asked = rows.filter(is_query(F.col("id"))).groupBy(F.col("id").alias("query_id")).agg(F.min("vector").alias("vector"))
+    asked = materialize(asked, "queries")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best, first, last = None, 0, 1
+    while first < len(cells.low):
+        going = asked.withColumn("kth", F.lit(None).cast("double"))
+        if best is not None:
+            going = asked.join(best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth")), "query_id", "left")
+        # Written without the vectors, as there may be many cells a query.
+        visits = materialize(spread(going).mapInPandas(onward(first, last), "query_id long, cell int, worst double"), "visits")
+        if visits.isEmpty():
+            break
+        met, sent = met_in_blocks(blocks, parts, visits.join(asked, "query_id"), query_rows)
         found = met.groupBy("cell", "part", "share").cogroup(sent.groupBy("cell", "part", "share")).applyInPandas(search, "query_id long, vec_id long, score double")
-        return materialize(found, name)
-
-    asked = rows.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "vector").dropDuplicates(["query_id"])
-    at_home = materialize(asked.mapInPandas(home, "query_id long, vector array<double>, cell int, worst double"), "queries")
-    first = visit(at_home, "first")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    # Written without the vectors, as there may be many cells a query.
-    visits = materialize(at_home.join(kth, "query_id", "left").mapInPandas(onward, "query_id long, cell int, worst double"), "visits")
-    second = visit(visits.join(at_home.select("query_id", "vector"), "query_id"), "second")
-    told = first.union(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return told.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = materialize(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
+        first, last = last, 4 * last
+    if best is None:
+        return rows.sparkSession.createDataFrame([], out)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
