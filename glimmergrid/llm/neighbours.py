@@ -245,7 +245,7 @@ def boxes(placed: DataFrame, cells: Cells) -> Cells:
 
 def nearest(
     vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
-    dimensions: int = 16, probability: float = 0.95, ratio: float = 1.0, sample_rows: int = 20_000, cell_rows: int = 1_024, query_rows: int = 4_096, max_cells: int = 4_096, leaf: int = 64, seed: int = 3,
+    dimensions: int = 24, probability: float = 0.85, ratio: float = 1.0, sample_rows: int = 20_000, cell_rows: int = 1_024, query_rows: int = 4_096, max_cells: int = 4_096, leaf: int = 64, seed: int = 3,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's ``k`` nearest rows.
 
