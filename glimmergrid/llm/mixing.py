@@ -39,6 +39,8 @@ QUALITY = (6.5, -130.0, -19.0)
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Bits of a key's logarithm, and those that ranges leave out, from coarse to fine.
 KEY_BITS, LEFT_OUT = 43, (36, 24, 12, 0)
+#: Stands for a cut of one place by the numbers of rows.
+SHARES = -1
 
 
 def word_count(text: Column) -> Column:
@@ -85,34 +87,47 @@ def source_targets(sizes: DataFrame, share: float, weights: Sequence[float], max
     return known.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
-def in_key_ranges(rows: DataFrame, most: int) -> DataFrame:
-    """``rows`` with ``range`` and ``share``: ranges of keys of a source, in their order, with up to ``most`` rows (more or less).
+def key_ranges(rows: DataFrame, most: int) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """Cuts the keys of each source into ranges of up to ``most`` rows (more or less).
 
-    ``range`` is the least place that a key of the range can have, where places are
-    the keys' logarithms in fixed point. Ranges with too many rows are cut finer;
-    the list of them has at most a row for ``most`` rows. Rows of one place hold the
-    same id and text; there, shares are by number, and their order doesn't matter.
+    Gives ``rows`` with ``range`` and ``share``, and the cuts that were made, for
+    ``in_ranges``. ``range`` is the least place that a key of the range can have,
+    where places are the keys' logarithms in fixed point. Ranges with too many rows
+    are cut finer; the list of them has at most a row for ``most`` rows.
     """
+    cuts: list[tuple[int, DataFrame]] = []
+    placed = in_ranges(rows, cuts)
+    for bits in (*LEFT_OUT[1:], SHARES):
+        held = placed.groupBy("skey", "range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+        held = materialize(held.select(F.col("skey").alias("h_skey"), F.col("range").alias("h_range"), F.ceil(F.col("n") / most).alias("shares")), "crowded")
+        if held.isEmpty():
+            break
+        cuts.append((bits, held))
+        placed = in_ranges(rows, cuts)
+    return placed, cuts
 
-    def cut(bits: int) -> Column:
-        return F.shiftleft(F.shiftright(F.col("place"), bits), bits)
 
-    def crowded(rows: DataFrame) -> DataFrame:
-        held = rows.groupBy("skey", "range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-        return materialize(held.select(F.col("skey").alias("h_skey"), F.col("range").alias("h_range"), F.ceil(F.col("n") / most).alias("shares")), "crowded")
+def in_ranges(rows: DataFrame, cuts: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``rows`` with ``range`` and ``share``.
+
+    Rows of one place hold the same id and text, so there the order doesn't matter:
+    shares are by the number of a row, which must be the same in each run; such
+    ``rows`` have to be written before.
+    """
+
+    def cut(bits: int):
+        return F.shiftleft(F.shiftright(F.col("place"), bits), bits)
 
     rows = rows.withColumn("range", cut(LEFT_OUT[0])).withColumn("share", F.lit(0).cast("long"))
-    for bits in (*LEFT_OUT[1:], None):
-        held = crowded(rows)
-        if held.isEmpty():
-            break
-        if bits is None:
-            rows = materialize(rows, "keyed").withColumn("number", F.monotonically_increasing_id())
+    if any(bits == SHARES for bits, _ in cuts):
+        rows = rows.withColumn("number", F.monotonically_increasing_id())
+    for bits, held in cuts:
         met = rows.join(F.broadcast(held), (F.col("skey") == F.col("h_skey")) & (F.col("range") == F.col("h_range")), "left")
-        if bits is None:
-            rows = met.withColumn("share", F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("number"), F.col("shares"))).otherwise(0)).drop("number")
+        crowded = F.col("shares").isNotNull()
+        if bits == SHARES:
+            rows = met.withColumn("share", F.when(crowded, F.pmod(F.xxhash64("number"), F.col("shares"))).otherwise(0)).drop("number")
         else:
-            rows = met.withColumn("range", F.when(F.col("shares").isNotNull(), cut(bits)).otherwise(F.col("range")))
+            rows = met.withColumn("range", F.when(crowded, cut(bits)).otherwise(F.col("range")))
         rows = rows.drop("h_skey", "h_range", "shares")
     return rows
 
@@ -149,9 +164,17 @@ def mix_sources(
         .withColumn("skey", F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source"), F.lit(""))))
         .drop("text")
     )
-    # Without other columns a row is small, so texts are read once.
-    rows = in_key_ranges(rows if keep else materialize(rows, "keyed"), range_rows)
-    sums = materialize(rows.groupBy("source", "skey", "range", "share").agg(F.sum("size").alias("held")), "mix-sums")
+    # Without other columns a row is small: written once, it is cut and summed without reading the texts again.
+    small = materialize(rows if not keep else rows.drop("kept"), "keyed")
+    placed, cuts = key_ranges(small, range_rows)
+    if not keep:
+        rows = placed
+    elif cuts and cuts[-1][0] == SHARES:
+        rows = in_ranges(materialize(rows, "keyed-rows"), cuts)
+        placed = rows
+    else:
+        rows = in_ranges(rows, cuts)
+    sums = materialize(placed.groupBy("source", "skey", "range", "share").agg(F.sum("size").alias("held")), "mix-sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("held").alias("source_size")), share, weights, max_epochs)
     earlier = Window.partitionBy("skey").orderBy("range", "share").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("held").over(earlier), F.lit(0)))

@@ -45,7 +45,7 @@ WORD = re.compile(r"[^\W\d_]+")
 # Marks that open or close a quotation.
 QUOTES = "\"“”„«»‹›"
 #: Words with a digit or mark between each two of them, and these digits and marks.
-JOINED = re.compile(rf"[^\W\d_]+(?:(?:[^\w\s{QUOTES}]|[\d_])[^\W\d_]+)+")
+JOINED = re.compile(rf"(?<![^\W\d_])[^\W\d_]++(?:(?:[^\w\s{QUOTES}]|[\d_])[^\W\d_]++)+")
 BETWEEN = re.compile(r"[\W\d_]")
 #: Hits with an edit from which on an entry's own are enough, and how many of its exact ones make up for fewer.
 ENOUGH = 3
@@ -170,6 +170,19 @@ class Automaton:
         return found
 
 
+    def chunk_hits(self, chunk: str) -> tuple[tuple[int, int], ...]:
+        """The entries that the words between two white spaces hit, alone or joined."""
+        if chunk.isalpha():
+            return self.hits(chunk)
+        key = f" {chunk}"
+        found = self.known.get(key)
+        if found is None:
+            alone = [h for word in WORD.findall(chunk) for h in self.hits(word)]
+            joined = [h for word in JOINED.findall(chunk) for h in self.joined_hits(word)]
+            found = self.known[key] = tuple(dict.fromkeys(alone + joined))
+        return found
+
+
 @dataclass
 class ToxicityModel:
     entries: list[Entry]
@@ -179,11 +192,11 @@ class ToxicityModel:
 
 
 def text_hits(automaton: Automaton, text: str, window: int) -> list[tuple[int, int, bool]]:
-    """(entry, edits, quoted) for each hit of a text."""
+    """(entry, edits, quoted) for the hits of a text; without quotation marks, each word of it counts once."""
     lower = text.lower()
-    alone = any(map(automaton.hits, set(WORD.findall(lower))))
-    if not alone and not any(map(automaton.joined_hits, set(JOINED.findall(lower)))):
-        return []
+    hit = sorted(c for c in set(lower.split()) if automaton.chunk_hits(c))
+    if not hit or not any(q in lower for q in QUOTES):
+        return [(k, e, False) for c in hit for k, e in automaton.chunk_hits(c)]
     tokens = list(WORD.finditer(lower))
     found = []
 
