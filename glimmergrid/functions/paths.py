@@ -13,6 +13,12 @@ def is_archive(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/](\.[^./]*)$", 1).isin(*ARCHIVE_ENDINGS)
 
 
+def archive_name(path: str) -> bool:
+    """The same for one path, inside a task."""
+    name = path.rpartition("/")[2]
+    return any(name.endswith(e) and len(name) > len(e) for e in ARCHIVE_ENDINGS)
+
+
 def is_file_entry(name: Column) -> Column:
     """False for the directories of an archive."""
     return ~name.endswith("/")

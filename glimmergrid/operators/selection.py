@@ -28,9 +28,8 @@ def first_frame(frames: DataFrame) -> DataFrame:
 
 def first_image(frames: DataFrame) -> DataFrame:
     """The first decoded frame of each source file, in the order of entries and frames."""
-    good = frames.filter(F.col("error").isNull())
-    keys = good.groupBy("source_path").agg(F.min(F.struct("entry_ordinal", "frame_index")).alias("first"))
-    return good.join(keys, "source_path").filter(F.struct("entry_ordinal", "frame_index") == F.col("first")).drop("first")
+    first = F.min_by(F.struct(*frames.columns), F.struct("entry_ordinal", "frame_index")).alias("first")
+    return frames.filter(F.col("error").isNull()).groupBy("source_path").agg(first).select("first.*")
 
 
 def threshold_filter(matches: DataFrame, t: float = THRESHOLD) -> DataFrame:

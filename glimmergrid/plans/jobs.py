@@ -2,50 +2,126 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmergrid.functions.embedding import embed
-from glimmergrid.functions.pixels import content_md5
+from glimmergrid.functions.embedding import unit_features
+from glimmergrid.functions.paths import archive_name
+from glimmergrid.functions.pixels import resized
 from glimmergrid.operators.duplicates import exact_duplicates
 from glimmergrid.operators.search import batch_similarity_search, near_duplicate_pairs, ranked, similarity_search, top_k
-from glimmergrid.operators.selection import first_image
-from glimmergrid.schemas import THRESHOLD
-from glimmergrid.sources.files import expand_archives, read_files
-from glimmergrid.sources.frames import Decoder, decode_frames, still_decoder
+from glimmergrid.schemas import THRESHOLD, check_frames
+from glimmergrid.sources.files import archive_entries, read_files
+from glimmergrid.sources.frames import SPARK_IMAGES, Decoder, is_spark_image, read_images, still_decoder
 from glimmergrid.sources.store import load_features
+from glimmergrid.workspace import written
 
 MAX_FILE = 1 << 30
+BATCH = 32
+TAGGED = ["path", "source_path", "entry_ordinal", "frame_index", "md5", "vgg16", "stage", "error"]
+SCHEMA = "path string, source_path string, entry_ordinal long, frame_index long, md5 string, vgg16 array<float>, stage string, error string"
+
+
+def _tagged(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=TAGGED).astype({"entry_ordinal": "Int64", "frame_index": "Int64"})
+
+
+def _made(waiting: list[tuple], predict) -> list[tuple]:
+    """Rows of frames that wait as (path, source, ordinal, index, buffer)."""
+    found = unit_features(predict, np.stack([w[4].reshape(-1) for w in waiting]))
+    bad = ("embed", "the feature is zero or not finite")
+    return [(*w[:4], hashlib.md5(w[4].tobytes()).hexdigest(), None if v is None else v.tolist(), *((None, None) if v is not None else bad)) for w, v in zip(waiting, found)]
 
 
 def frame_features(files: DataFrame, make_predict, frames=None, decoder: Decoder = still_decoder) -> DataFrame:
-    """Files to features, in one pass: ``path``, ``source_path``, ``md5``, ``vgg16``, ``stage`` and ``error``.
+    """Files to features in one pass: ``path``, ``source_path``, ``entry_ordinal``, ``frame_index``, ``md5``, ``vgg16``, ``stage`` and ``error``.
 
-    Pixels are made and used within a task and never shuffled. Good rows have no
+    A task opens a file, inflates the entries of an archive one after another,
+    decodes, hashes and embeds; neither bytes nor pixels leave it. Good rows have no
     error; an entry that fails half way has its good frames and an error row.
     """
-    told = decode_frames(expand_archives(files), frames, decoder)
-    good = told.filter("error IS NULL")
-    made = good.select("path", "source_path", "entry_ordinal", "frame_index", content_md5(F.col("pixels")).alias("md5"), embed(F.col("pixels"), make_predict).alias("vgg16"))
-    empty = F.col("vgg16").isNull()
-    made = made.withColumn("stage", F.when(empty, F.lit("embed"))).withColumn("error", F.when(empty, F.lit("the feature is zero or not finite")))
-    bad = told.filter("error IS NOT NULL").select(
-        "path", "source_path", "entry_ordinal", "frame_index", F.lit(None).cast("string").alias("md5"), F.lit(None).cast("array<float>").alias("vgg16"), "stage", "error"
-    )
-    return made.unionByName(bad)
+    wanted = check_frames(frames)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict, waiting = make_predict(), []
+        for b in batches:
+            for source, content in zip(b["path"], b["content"]):
+                entries = archive_entries(source, content) if archive_name(source) else [(None, 0, source, content, None)]
+                for _, nth, path, data, error in entries:
+                    stage = "archive"
+                    if error is None:
+                        stage = "decode"
+                        try:
+                            for index, image in decoder(data, wanted):
+                                if wanted is None or index in wanted:
+                                    waiting.append((path if index == 0 else f"{path}/{index}", source, nth, index, resized(image)))
+                                if len(waiting) == BATCH:
+                                    yield _tagged(_made(waiting, predict))
+                                    waiting = []
+                        except Exception as e:
+                            error = f"{type(e).__name__}: {e}"
+                    if error is not None:
+                        yield _tagged([(path, source, nth, None, None, None, stage, error)])
+        if waiting:
+            yield _tagged(_made(waiting, predict))
+
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def image_features(images: DataFrame, make_predict) -> DataFrame:
+    """As ``frame_features``, for single images that Spark's image source has decoded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = make_predict()
+        for b in batches:
+            for k in range(0, len(b), BATCH):
+                part, waiting, bad = b.iloc[k : k + BATCH], [], []
+                for path, w, h, c, data, error in part[["path", "width", "height", "channels", "pixels", "error"]].itertuples(index=False):
+                    if error is None:
+                        waiting.append((path, path, 0, 0, resized(np.frombuffer(data, np.uint8).reshape(h, w, c))))
+                    else:
+                        bad.append((path, path, 0, None, None, None, "decode", error))
+                yield _tagged((_made(waiting, predict) if waiting else []) + bad)
+
+    return images.mapInPandas(run, SCHEMA)
+
+
+def features_below(spark: SparkSession, root: str | list[str], make_predict, frames=None, decoder: Decoder = still_decoder, max_file: int = MAX_FILE) -> DataFrame:
+    """Features of all files below ``root``, tagged as in ``frame_features``.
+
+    JPEG and GIF files go through Spark's image source, as single images; all
+    others through the decoder. Each file is read once.
+    """
+    wanted = check_frames(frames)
+    files = read_files(spark, root).filter(~is_spark_image(F.col("path")))
+    large = files.filter(F.col("length") > max_file)
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (("frame_index", "long"), ("md5", "string"), ("vgg16", "array<float>"))]
+    large = large.select("path", F.col("path").alias("source_path"), F.lit(0).cast("long").alias("entry_ordinal"), *empty, F.lit("read").alias("stage"), F.lit("larger than the limit").alias("error"))
+    told = frame_features(files.filter(F.col("length") <= max_file), make_predict, frames, decoder).unionByName(large)
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SPARK_IMAGES).load(root).select("path")
+    if (wanted is not None and 0 not in wanted) or named.isEmpty():
+        return told
+    return told.unionByName(image_features(read_images(spark, root, SPARK_IMAGES), make_predict))
 
 
 def build(spark: SparkSession, root: str | list[str], out: str, make_predict, frames=None, decoder: Decoder = still_decoder, max_file: int = MAX_FILE) -> dict[str, int]:
-    """Builds the store ``out`` from all files below ``root``; returns how many features and errors there are.
+    """Builds the store ``out`` from all files below ``root``; returns how many features and errors there are."""
+    return build_store(features_below(spark, root, make_predict, frames, decoder, max_file), out)
+
+
+def build_store(told: DataFrame, out: str) -> dict[str, int]:
+    """Writes a tagged table as the store ``out``; returns how many features and errors there are.
 
     The expensive pass runs once and writes one table, split by whether a row
     failed, below ``out/rows``, and the errors once more in ``out/errors``.
     """
-    files = read_files(spark, root)
-    large = files.filter(F.col("length") > max_file).select("path", F.lit("read").alias("stage"), F.lit("larger than the limit").alias("error"))
-    told = frame_features(files.filter(F.col("length") <= max_file), make_predict, frames, decoder)
     write_tagged(told, f"{out}/rows", f"{out}/errors")
-    large.write.mode("append").parquet(f"{out}/errors")
+    spark = told.sparkSession
     return {"features": features_of(spark, out).count(), "errors": errors_of(spark, out).count()}
 
 
@@ -66,26 +142,30 @@ def errors_of(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema("path string, stage string, error string").parquet(f"{store}/errors")
 
 
-def query_vector(files: DataFrame, make_predict, decoder: Decoder = still_decoder) -> list[float]:
-    """The feature of the first image that the files yield: one row comes to the driver."""
-    images = first_image(decode_frames(expand_archives(files), {0}, decoder)).orderBy("source_path").limit(1)
-    found = images.select(embed(F.col("pixels"), make_predict).alias("v")).first()
-    if found is None or found["v"] is None:
+def first_features(told: DataFrame) -> DataFrame:
+    """``query_path`` and ``vgg16`` of the first good frame of each file. Of an archive, features meet and not pixels."""
+    first = F.min_by("vgg16", F.struct("entry_ordinal", "frame_index")).alias("vgg16")
+    return told.filter("error IS NULL").groupBy(F.col("source_path").alias("query_path")).agg(first)
+
+
+def query_vector(told: DataFrame) -> list[float]:
+    """The feature of the first image that files yield: one row comes to the driver."""
+    found = first_features(told).orderBy("query_path").limit(1).first()
+    if found is None:
         raise ValueError("the query file yields no image with a feature")
-    return list(found["v"])
+    return list(found["vgg16"])
 
 
 def query(spark: SparkSession, features: DataFrame | str, image: str, make_predict, t: float = THRESHOLD, k: int | None = None, decoder: Decoder = still_decoder) -> DataFrame:
     """Stored images most similar to one image file: ``path``, ``md5``, ``score``, best first."""
     store = load_features(spark, features) if isinstance(features, str) else features
-    vector = query_vector(read_files(spark, image), make_predict, decoder)
+    vector = query_vector(features_below(spark, image, make_predict, {0}, decoder))
     return similarity_search(store, vector, t, k).select("path", "md5", "score")
 
 
 def batch_query(spark: SparkSession, features: DataFrame, images: DataFrame, make_predict, t: float = THRESHOLD, k: int | None = None, decoder: Decoder = still_decoder) -> DataFrame:
-    """Matches of every query file: ``query_path``, ``path``, ``score``, ``rank``."""
-    frames = first_image(decode_frames(expand_archives(images), {0}, decoder))
-    asked = frames.select(F.col("source_path").alias("query_path"), embed(F.col("pixels"), make_predict).alias("vgg16"))
+    """Matches of every query file: ``query_path``, ``path``, ``score``, ``rank``. Query images are embedded once and written."""
+    asked = written(first_features(frame_features(images, make_predict, {0}, decoder)), "asked")
     if k is not None:
         return top_k(features, asked, k, t)
     return ranked(batch_similarity_search(features, asked, t))

@@ -32,6 +32,25 @@ def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     return read_files(spark, root).select("path", "length", "modificationTime")
 
 
+def archive_entries(path: str, content: bytes, max_entry: int = MAX_ENTRY) -> Iterator[tuple]:
+    """Name, ordinal, path, bytes and error of each entry of an archive, inflated one at a time."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+        infos = [i for i in archive.infolist() if not i.filename.endswith("/")]
+    except Exception as e:
+        yield None, 0, path, None, f"{type(e).__name__}: {e}"
+        return
+    for nth, info in enumerate(infos):
+        data, error = None, None
+        try:
+            if info.file_size > max_entry:
+                raise ValueError(f"{info.file_size} bytes are over the limit of {max_entry}")
+            data = archive.read(info)
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+        yield info.filename, nth, f"{path}/{info.filename.lstrip('/')}", data, error
+
+
 def expand_archives(files: DataFrame, max_entry: int = MAX_ENTRY, partitions: int | None = None) -> DataFrame:
     """Archives as a row per entry, other files as they are.
 
@@ -45,21 +64,8 @@ def expand_archives(files: DataFrame, max_entry: int = MAX_ENTRY, partitions: in
         columns = ENTRIES.fieldNames()
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    infos = [i for i in archive.infolist() if not i.filename.endswith("/")]
-                except Exception as e:
-                    yield pd.DataFrame([(path, None, 0, path, None, f"{type(e).__name__}: {e}")], columns=columns)
-                    continue
-                for nth, info in enumerate(infos):
-                    data, error = None, None
-                    try:
-                        if info.file_size > max_entry:
-                            raise ValueError(f"{info.file_size} bytes are over the limit of {max_entry}")
-                        data = archive.read(info)
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                    yield pd.DataFrame([(path, info.filename, nth, f"{path}/{info.filename.lstrip('/')}", data, error)], columns=columns)
+                for entry in archive_entries(path, content, max_entry):
+                    yield pd.DataFrame([(path, *entry)], columns=columns)
 
     archives = files.filter(is_archive(F.col("path"))).select("path", "content").mapInPandas(expand, ENTRIES)
     archives = archives.repartition(partitions, "path") if partitions else archives.repartition("path")

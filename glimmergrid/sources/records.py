@@ -26,7 +26,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from glimmergrid.schemas import DIMENSIONS
 
 RECORDS = "path string, md5 string, vgg16 array<float>, error string"
-LIMIT = 1 << 16
 
 
 def read_records(data: BinaryIO, left: int, dimensions: int) -> Iterator[tuple[str, str, np.ndarray]]:
@@ -35,7 +34,7 @@ def read_records(data: BinaryIO, left: int, dimensions: int) -> Iterator[tuple[s
         if left < 8:
             raise ValueError("the last record is cut in its length")
         (n,) = struct.unpack("<Q", data.read(8))
-        if n > LIMIT or 8 + n + 32 + 4 * dimensions > left:
+        if 8 + n + 32 + 4 * dimensions > left:
             raise ValueError(f"a record's path of {n} bytes goes beyond the file")
         body = data.read(n + 32 + 4 * dimensions)
         md5 = body[n : n + 32].decode("ascii")
@@ -95,6 +94,14 @@ def read_feature_records(spark: SparkSession, glob: str, mode: str = "FAILFAST",
     return found if mode == "PERMISSIVE" else found.drop("error")
 
 
+def local_path(path: str) -> str:
+    """The path without its scheme; only file systems that all executors mount can be opened this way."""
+    scheme, colon, rest = path.partition(":")
+    if colon and "/" not in scheme and scheme != "file":
+        raise ValueError(f"record files are written and streamed in a mounted file system, not in {scheme}:")
+    return re.sub("^//(?=/)", "", rest) if colon and scheme == "file" else path
+
+
 class RecordFile(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -112,7 +119,7 @@ class RecordReader(DataSourceReader):
     def read(self, partition: RecordFile) -> Iterator[tuple]:
         import os
 
-        name = partition.path.removeprefix("file://").removeprefix("file:")
+        name = local_path(partition.path)
         with open(name, "rb", buffering=1 << 20) as data:
             try:
                 for path, md5, vector in read_records(data, os.path.getsize(name), self.dimensions):
@@ -133,7 +140,7 @@ class RecordWriter(DataSourceWriter):
     """One file a task, given its final name when it is complete."""
 
     def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.job, self.overwrite = folder.removeprefix("file://").removeprefix("file:"), uuid.uuid4().hex, overwrite
+        self.folder, self.job, self.overwrite = local_path(folder), uuid.uuid4().hex, overwrite
 
     def write(self, rows) -> Written:
         import os
@@ -198,6 +205,7 @@ def to_records(df: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
 
 def write_feature_records(df: DataFrame, folder: str) -> None:
     """Replaces the record files of ``folder``, one a partition."""
+    local_path(folder)
     df.sparkSession.dataSource.register(FeatureRecords)
     rows = df.select(F.col("path"), F.col("md5"), F.col("vgg16").cast("array<float>").alias("vgg16"), F.lit(None).cast("string").alias("error"))
     rows.write.format("feature_records").mode("overwrite").option("path", folder).save()
