@@ -11,28 +11,40 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmergrid.functions.embedding import stub_model
 from glimmergrid.functions.paths import entry_path, frame_path, is_archive, is_file_entry, parse_whitelist
-from glimmergrid.functions.pixels import content_md5
+from glimmergrid.functions.pixels import content_md5, normalize_pixels
 from glimmergrid.functions.vectors import l2_normalize, squared_norm
 from glimmergrid.operators import duplicates, search, selection
 from glimmergrid.plans import jobs
-from glimmergrid.schemas import FILES
+from glimmergrid.schemas import FILES, SIDE
 from glimmergrid.sources import records, store
 from glimmergrid.sources.files import expand_archives as expand
 from glimmergrid.sources.files import failed_files as failures
 from glimmergrid.sources.files import list_files as listing
+from glimmergrid.sources.files import read_files as reading
 from glimmergrid.sources.frames import decode_frames as decode
+from glimmergrid.streaming.ingest import stream_build as streamed_build
 from glimmergrid.streaming.ingest import stream_features
 from glimmergrid.workspace import shared_path
 
 NAMES = {"path_col": "vec_id", "vector_col": "embedding"}
 QUERY_NAMES = NAMES | {"query_col": "query_id", "query_vector_col": "embedding"}
-MODEL = stub_model(64)
+#: Places of a frame's corners in its buffer: stretching keeps corner pixels as they are, so SQL can tell them.
+CORNERS = [0, (SIDE - 1) * 3, SIDE * (SIDE - 1) * 3, (SIDE * SIDE - 1) * 3]
+
+
+def corner_model():
+    """A model whose features are the four corners of a frame."""
+
+    def predict(batch: np.ndarray) -> np.ndarray:
+        return batch[:, CORNERS].astype(np.float64)
+
+    return predict
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +102,7 @@ def similarity_search(spark, sf_dir):
     """All vectors by their likeness to vector 0."""
     vectors = _vectors(spark, sf_dir)
     asked = vectors.filter("vec_id = 0").first()
-    found = search.similarity_search(vectors, asked["embedding"], 0.2, **NAMES)
+    found = search.similarity_search(vectors, asked["embedding"] if asked else [0.0], 0.2, **NAMES)
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
@@ -163,8 +175,18 @@ def archive_routing(spark, sf_dir):
 
 
 def _scalars(features: DataFrame) -> DataFrame:
-    v = F.col("vgg16")
-    return features.select("path", "md5", F.size(v).cast("long").alias("n"), F.round(F.element_at(v, 1).cast("double"), 6).alias("head"), F.round(F.element_at(v, -1).cast("double"), 6).alias("tail"))
+    """Rows of a store with a digest of all components, in millionths."""
+    whole = F.array_join(F.transform("vgg16", lambda x: F.floor(x.cast("double") * 1_000_000).cast("string")), ",")
+    return features.select("path", "md5", F.size("vgg16").cast("long").alias("n"), F.md5(whole).alias("digest"))
+
+
+def _corners(features: DataFrame) -> DataFrame:
+    """Paths and all four components of features by the corner model."""
+    return features.select("path", *[F.round(F.element_at("vgg16", i).cast("double"), 6).alias(f"v{i}") for i in range(1, 5)])
+
+
+def _bytes_at(pixels: Column) -> list[Column]:
+    return [F.conv(F.hex(F.substring(pixels, at + 1, 1)), 16, 10).cast("long").alias(f"p{i}") for i, at in enumerate(CORNERS, 1)]
 
 
 def store_roundtrip(spark, sf_dir):
@@ -176,18 +198,35 @@ def store_roundtrip(spark, sf_dir):
 
 
 def record_roundtrip(spark, sf_dir):
-    """A table as records of bytes, and read again."""
-    made = records.to_records(_features(spark, sf_dir), 64)
-    return _scalars(records.parse_records(made, "FAILFAST", 64))
+    """A table written as record files, and read again."""
+    folder = shared_path(spark, "records")
+    records.write_feature_records(_features(spark, sf_dir), folder)
+    return _scalars(records.read_feature_records(spark, f"{folder}/*.db", dimensions=64))
 
 
 def count_features(spark, sf_dir):
     return _features(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _text_files(spark: SparkSession, sf_dir: str) -> str:
+    """Documents written as text files, a folder for each language."""
+    path = shared_path(spark, "texts")
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND lang IS NOT NULL")
+    docs.select(F.col("text").alias("value"), "lang").write.partitionBy("lang").text(path)
+    return path
+
+
 def list_files(spark, sf_dir):
-    """The files that hold the tables."""
-    return listing(spark, sf_dir).select(F.regexp_extract("path", "[^/]+(/part-[^/]+)?$", 0).alias("name"), "length")
+    """Bytes of the files of each folder."""
+    found = listing(spark, _text_files(spark, sf_dir))
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")).agg(F.sum("length").alias("n_bytes"))
+
+
+def read_files(spark, sf_dir):
+    """Bytes that reading the files of each folder gives."""
+    found = reading(spark, _text_files(spark, sf_dir))
+    told = found.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), F.col("length"), F.octet_length("content").alias("read"))
+    return told.groupBy("lang").agg(F.sum("read").cast("long").alias("n_read"), F.sum("length").alias("n_bytes"))
 
 
 def expand_archives(spark, sf_dir):
@@ -205,47 +244,108 @@ def failed_files(spark, sf_dir):
 
 
 def decode_frames(spark, sf_dir):
-    """Frame buffers of images that stand for vectors."""
+    """Frame buffers of images that stand for vectors: their size and corners."""
     frames = decode(expand(_images(spark, sf_dir)))
-    return frames.select("path", "frame_index", F.length("pixels").alias("n_bytes"), content_md5(F.col("pixels")).alias("md5"))
+    return frames.select("path", "frame_index", F.length("pixels").cast("long").alias("n_bytes"), *_bytes_at(F.col("pixels")))
 
 
-def build_features(spark, sf_dir):
-    """Features of those images, as plain files and once more inside archives."""
+def pixels_normalized(spark, sf_dir):
+    """Pixels of 8 by 8 as frame buffers: their size and corners."""
+    raw = _images(spark, sf_dir).select("path", F.expr("substring(content, 12)").alias("raw"))
+    frames = raw.select("path", normalize_pixels(F.col("raw"), F.lit(8), F.lit(8), F.lit(1)).alias("pixels"))
+    return frames.select("path", F.length("pixels").cast("long").alias("n_bytes"), *_bytes_at(F.col("pixels")))
+
+
+def _packed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images as plain files, and once more inside archives."""
     images = _images(spark, sf_dir)
     number = F.regexp_extract("path", "[0-9]+", 0).cast("long")
     packed = images.select(F.concat(F.lit("zip/"), F.floor(number / 20).cast("string"), F.lit(".zip")).alias("archive"), F.concat(number.cast("string"), F.lit(".pgm")).alias("name"), "content")
-    told = jobs.frame_features(images.unionByName(_archives(packed)), MODEL)
-    return _scalars(told.filter("error IS NULL"))
+    return images.unionByName(_archives(packed))
+
+
+def build_features(spark, sf_dir):
+    """Features of those images."""
+    told = jobs.frame_features(_packed_images(spark, sf_dir), corner_model)
+    return _corners(told.filter("error IS NULL"))
+
+
+def build_store(spark, sf_dir):
+    """A store built of them and of texts that are no images: its features and its errors."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    text = F.col("text").cast("binary")
+    texts = docs.select(F.concat(F.lit("t/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"), F.current_timestamp().alias("modificationTime"), F.length(text).cast("long").alias("length"), text.alias("content"))
+    out = shared_path(spark, "built")
+    jobs.build_store(jobs.frame_features(_packed_images(spark, sf_dir).unionByName(texts), corner_model), out)
+    return jobs.features_of(spark, out).select("path", F.lit("").alias("stage")).unionByName(jobs.errors_of(spark, out).select("path", "stage"))
+
+
+def _stored_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "features")
+    store.save_features(jobs.frame_features(_images(spark, sf_dir), corner_model).filter("error IS NULL"), path)
+    return store.load_features(spark, path)
 
 
 def query_image(spark, sf_dir):
     """The images most like the first one, by their features."""
-    images = _images(spark, sf_dir)
-    path = shared_path(spark, "features")
-    store.save_features(jobs.frame_features(images, MODEL).filter("error IS NULL"), path)
-    vector = jobs.query_vector(images.filter("path = 'img/0.pgm'"), MODEL)
-    found = search.similarity_search(store.load_features(spark, path), vector, 0.8)
-    return found.select("path", "md5", F.round("score", 6).alias("score"))
+    asked = jobs.frame_features(_images(spark, sf_dir).filter("path = 'img/0.pgm'"), corner_model, {0})
+    found = jobs.first_features(asked).first()
+    stored = _stored_images(spark, sf_dir)
+    found = search.similarity_search(stored, found["vgg16"] if found else [0.0] * 4, 0.95)
+    return found.select("path", F.round("score", 6).alias("score"))
 
 
 def batch_query(spark, sf_dir):
     """The five images most like each of a stated query set."""
-    images = _images(spark, sf_dir)
-    path = shared_path(spark, "features")
-    store.save_features(jobs.frame_features(images, MODEL).filter("error IS NULL"), path)
-    asked = images.filter(F.regexp_extract("path", "[0-9]+", 0).cast("long") % 20 == 0)
-    found = jobs.batch_query(spark, store.load_features(spark, path), asked, MODEL, 0.5, 5)
-    return found.select("query_path", "path", "rank", F.round("score", 6).alias("score"))
+    asked = _images(spark, sf_dir).filter(F.regexp_extract("path", "[0-9]+", 0).cast("long") % 20 == 0)
+    found = jobs.batch_query(spark, _stored_images(spark, sf_dir), asked, corner_model, 0.5, 5)
+    return found.select("query_path", "path", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = shared_path(spark, "arrived")
+    _packed_images(spark, sf_dir).write.parquet(files)
+    return spark.readStream.schema(FILES).option("maxFilesPerTrigger", 4).parquet(files)
 
 
 def stream_ingest(spark, sf_dir):
     """Image files that arrive as a stream, ingested into a table."""
-    files, out, checkpoint = (shared_path(spark, n) for n in ("arrived", "streamed", "progress"))
-    _images(spark, sf_dir).write.parquet(files)
-    arriving = spark.readStream.schema(FILES).option("maxFilesPerTrigger", 4).parquet(files)
-    stream_features(arriving, out, checkpoint, MODEL).awaitTermination()
-    return _scalars(spark.read.schema("path string, md5 string, vgg16 array<float>, stage string, error string").parquet(out).filter("error IS NULL"))
+    out, checkpoint = (shared_path(spark, n) for n in ("streamed", "progress"))
+    stream_features(_arriving(spark, sf_dir), out, checkpoint, corner_model).awaitTermination()
+    return _corners(spark.read.schema("path string, md5 string, vgg16 array<float>, stage string, error string").parquet(out).filter("error IS NULL"))
+
+
+def stream_build(spark, sf_dir):
+    """The same, a batch at a time into a store in the layout of ``build``."""
+    out, checkpoint = (shared_path(spark, n) for n in ("streamed", "progress"))
+    streamed_build(_arriving(spark, sf_dir), out, checkpoint, corner_model).awaitTermination()
+    return _corners(jobs.features_of(spark, out))
+
+
+def threshold_filter(spark, sf_dir):
+    """Scores against vector 1, filtered."""
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.filter("vec_id = 1").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = search.batch_similarity_search(vectors, asked, 0.0, **QUERY_NAMES)
+    return selection.threshold_filter(found, 0.25).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def write_matches(spark, sf_dir):
+    """Ranked matches, written and read."""
+    vectors = _vectors(spark, sf_dir)
+    found = search.ranked(search.batch_similarity_search(vectors, _asked(vectors), 0.3, **QUERY_NAMES), "vec_id", "query_id")
+    path = shared_path(spark, "matches")
+    store.write_matches(found, path)
+    return spark.read.schema("query_id long, vec_id long, score double, rank int").parquet(path).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def dedup_report(spark, sf_dir):
+    """Groups of equal hashes (here of labels) and pairs of similar vectors, as one table."""
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    features = rows.select(F.col("vec_id").alias("path"), F.md5(F.col("label").cast("string")).alias("md5"), F.col("embedding").alias("vgg16"))
+    groups, pairs = jobs.dedup_report(features, 0.35)
+    groups = groups.select("md5", F.col("first_path").alias("a"), F.col("n").alias("b"), F.lit(None).cast("double").alias("score"))
+    return groups.unionByName(pairs.select(F.lit(None).cast("string").alias("md5"), F.col("path_a").alias("a"), F.col("path_b").alias("b"), F.round("score", 6).alias("score")))
 
 
 QUERIES = {
@@ -265,19 +365,34 @@ QUERIES = {
     "record_roundtrip": record_roundtrip,
     "count_features": count_features,
     "list_files": list_files,
+    "read_files": read_files,
     "expand_archives": expand_archives,
     "failed_files": failed_files,
     "decode_frames": decode_frames,
+    "normalize_pixels": pixels_normalized,
     "build_features": build_features,
+    "build_store": build_store,
     "query_image": query_image,
     "batch_query": batch_query,
     "stream_ingest": stream_ingest,
+    "stream_build": stream_build,
+    "threshold_filter": threshold_filter,
+    "write_matches": write_matches,
+    "dedup_report": dedup_report,
 }
 
 _SCORES = """SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
   FROM embeddings a, embeddings b"""
 _STORED = """SELECT 'img/' || vec_id AS path, md5('img/' || vec_id) AS md5, len(embedding)::BIGINT AS n,
-  round(embedding[1]::DOUBLE, 6) AS head, round(embedding[-1]::DOUBLE, 6) AS tail FROM embeddings"""
+  md5(array_to_string(list_transform(embedding::FLOAT[]::DOUBLE[], lambda x: floor(x * 1000000)::BIGINT), ',')) AS digest FROM embeddings"""
+_GREYS = """SELECT vec_id, list_transform([embedding[1], embedding[8], embedding[57], embedding[64]]::DOUBLE[],
+  lambda x: greatest(0, least(255, floor(128 + 400 * x)))::BIGINT) AS g FROM embeddings WHERE len(embedding) = 64"""
+_UNITS = f"""SELECT vec_id, list_transform(g, lambda x: (x / sqrt(list_sum(list_transform(g, lambda y: y * y))))::FLOAT::DOUBLE) AS u FROM ({_GREYS}) WHERE list_sum(g) > 0"""
+_PLACED = f"""SELECT 'img/' || vec_id || '.pgm' AS path, u FROM ({_UNITS}) UNION ALL SELECT 'zip/' || vec_id // 20 || '.zip/d/' || vec_id || '.pgm', u FROM ({_UNITS})"""
+_CORNERS = f"SELECT path, round(u[1], 6) AS v1, round(u[2], 6) AS v2, round(u[3], 6) AS v3, round(u[4], 6) AS v4 FROM ({_PLACED})"
+_ALIKE = f"""SELECT a.vec_id AS a, b.vec_id AS b, 'img/' || a.vec_id || '.pgm' AS query_path, 'img/' || b.vec_id || '.pgm' AS path,
+  a.u[1] * b.u[1] + a.u[2] * b.u[2] + a.u[3] * b.u[3] + a.u[4] * b.u[4] AS s FROM ({_UNITS}) a, ({_UNITS}) b"""
+_FOLDERS = "SELECT lang, sum(strlen(text) + 1)::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang"
 
 ORACLES = {
     "similarity_search": f"SELECT vec_id, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id = 0) WHERE s >= 0.2::DOUBLE",
@@ -303,4 +418,20 @@ ORACLES = {
     "expand_archives": """SELECT 'zip/' || doc_id // 10 || '.zip' AS source_path, 'd/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS entry_name,
       'zip/' || doc_id // 10 || '.zip/d/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS path, md5(coalesce(text, '')) AS md5 FROM documents""",
     "failed_files": "SELECT 't/' || doc_id || CASE doc_id % 2 WHEN 0 THEN '.zip' ELSE '.png' END AS path, CASE doc_id % 2 WHEN 0 THEN 'archive' ELSE 'decode' END AS stage FROM documents",
+    "list_files": _FOLDERS,
+    "read_files": f"SELECT *, n_bytes AS n_read FROM ({_FOLDERS})",
+    "decode_frames": f"SELECT 'img/' || vec_id || '.pgm' AS path, 0::BIGINT AS frame_index, 150528::BIGINT AS n_bytes, g[1] AS p1, g[2] AS p2, g[3] AS p3, g[4] AS p4 FROM ({_GREYS})",
+    "normalize_pixels": f"SELECT 'img/' || vec_id || '.pgm' AS path, 150528::BIGINT AS n_bytes, g[1] AS p1, g[2] AS p2, g[3] AS p3, g[4] AS p4 FROM ({_GREYS})",
+    "build_features": _CORNERS,
+    "build_store": f"SELECT path, '' AS stage FROM ({_PLACED}) UNION ALL SELECT 't/' || doc_id || '.png', 'decode' FROM documents WHERE text IS NOT NULL",
+    "query_image": f"SELECT path, round(s, 6) AS score FROM ({_ALIKE}) WHERE a = 0 AND s >= 0.95::DOUBLE",
+    "batch_query": f"""SELECT query_path, path, rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_path ORDER BY s DESC, path)::INT AS rank
+      FROM ({_ALIKE}) WHERE a % 20 = 0 AND s >= 0.5::DOUBLE) WHERE rank <= 5""",
+    "stream_ingest": _CORNERS,
+    "stream_build": _CORNERS,
+    "threshold_filter": f"SELECT vec_id, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id = 1) WHERE s >= 0.25::DOUBLE",
+    "write_matches": f"""SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank, round(s, 6) AS score
+      FROM ({_SCORES} WHERE a.vec_id % 20 = 0) WHERE s >= 0.3::DOUBLE""",
+    "dedup_report": f"""SELECT md5(label::VARCHAR) AS md5, min(vec_id) AS a, count(*) AS b, NULL::DOUBLE AS score FROM embeddings GROUP BY label HAVING count(*) > 1
+      UNION ALL SELECT NULL, query_id, vec_id, round(s, 6) FROM ({_SCORES} WHERE a.vec_id < b.vec_id) WHERE s >= 0.35::DOUBLE""",
 }

@@ -29,8 +29,8 @@ def stream_features(files: DataFrame, out: str, checkpoint: str, make_predict, f
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_build(spark: SparkSession, root: str, store: str, checkpoint: str, make_predict, frames=None, decoder: Decoder = still_decoder, files_per_batch: int | None = None) -> StreamingQuery:
-    """Adds arriving files to a store in the layout of ``build``, a batch at a time.
+def stream_build(files: DataFrame, store: str, checkpoint: str, make_predict, frames=None, decoder: Decoder = still_decoder) -> StreamingQuery:
+    """Adds a stream of files to a store in the layout of ``build``, a batch at a time.
 
     A batch that is run again after a failure replaces what it had written: each
     batch has a folder of its own. ``features_of`` and ``errors_of`` read the store.
@@ -39,5 +39,4 @@ def stream_build(spark: SparkSession, root: str, store: str, checkpoint: str, ma
     def add(batch: DataFrame, number: int) -> None:
         write_tagged(frame_features(batch, make_predict, frames, decoder), f"{store}/rows/batch={number}", f"{store}/errors/batch={number}")
 
-    files = arriving_files(spark, root, files_per_batch)
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -211,6 +211,36 @@ def test_stream(spark, tree, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert sorted((r["path"].rpartition("/")[2], r["error"] is None) for r in rows) == [("a.png", True), ("b.png", True), ("c.png", True), ("n.txt", False)]
     stored, at = str(tmp_path / "store"), str(tmp_path / "at2")
-    stream_build(spark, str(root), stored, at, MODEL, files_per_batch=2).awaitTermination()
-    stream_build(spark, str(root), stored, at, MODEL).awaitTermination()
+    stream_build(arriving_files(spark, str(root), 2), stored, at, MODEL).awaitTermination()
+    stream_build(arriving_files(spark, str(root)), stored, at, MODEL).awaitTermination()
     assert sorted(r["path"].rpartition("/")[2] for r in jobs.features_of(spark, stored).collect()) == ["a.png", "b.png", "c.png"]
+
+
+def test_jpeg(spark, tmp_path):
+    """Files that only Spark's image source reads: in a folder with others, and as a query."""
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(16, 16, 1)
+    graphics = picture.createGraphics()
+    graphics.setColor(jvm.java.awt.Color(200, 100, 50))
+    graphics.fillRect(0, 0, 16, 16)
+    root = tmp_path / "pictures"
+    root.mkdir()
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(root / "a.JPG")))
+    (root / "bad.jpeg").write_text("x")
+    (root / "b.png").write_bytes(png(COLOUR))
+    out = str(tmp_path / "store")
+    assert jobs.build(spark, str(root), out, MODEL) == {"features": 2, "errors": 1}
+    got = jobs.query(spark, jobs.features_of(spark, out), str(root / "a.JPG"), MODEL, 0.999).collect()
+    assert got[0]["path"].endswith("a.JPG") and got[0]["score"] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_files_are_decoded_once(spark, tree):
+    plan = jobs.frame_features(read_files(spark, tree), MODEL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Exchange" not in plan
+
+
+def test_records_need_a_mounted_file_system(spark):
+    rows = spark.createDataFrame([("a", "0" * 32, [1.0])], "path string, md5 string, vgg16 array<float>")
+    with pytest.raises(ValueError, match="mounted"):
+        records.write_feature_records(rows, "s3a://bucket/records")
+    assert records.local_path("file:///a/b") == records.local_path("file:/a/b") == records.local_path("/a/b") == "/a/b"
