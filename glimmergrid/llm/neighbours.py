@@ -18,7 +18,7 @@ The tree's cuts are fitted on a bounded sample (``sample_rows``); every row is
 indexed. Cells are dealt in blocks of bounded size, so neither a dense cell nor
 one very common vector lands in one task; so are the queries that visit a cell,
 and a task scores a few hundred of them at a time. A task returns at most ``k``
-rows a query.
+rows a query, of those that come up to the k-th best of earlier rounds.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold a null or non-finite component take no part; ties go to the smaller id;
@@ -191,8 +191,12 @@ def best_of_block(block: pd.DataFrame, queries: pd.DataFrame, cells: Cells, k: i
         # Rows are sorted by id, so a stable order settles ties; products differ in their last digits by where a row stands.
         best = np.argsort(-np.round(scores, DIGITS), axis=1, kind="stable")[:, :k]
         q, c = np.repeat(np.arange(len(wanted)), best.shape[1]), best.ravel()
+        # What doesn't come up to the k-th best of earlier rounds isn't returned.
         fine = np.isfinite(scores[q, c])
         q, c = q[fine], c[fine]
+        apart = 2 * cells.longest - 2 * scores[q, c] * math.sqrt(cells.longest) / length[q]
+        near = apart <= some["worst"].to_numpy(float)[q] + 1e-9 * cells.longest
+        q, c = q[near], c[near]
         found.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[c], "score": products(wanted[q], vectors[c])}))
     out = pd.concat(found)
     out.attrs["verified"] = verified
@@ -245,7 +249,7 @@ def boxes(placed: DataFrame, cells: Cells) -> Cells:
 
 def nearest(
     vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
-    dimensions: int = 24, probability: float = 0.85, ratio: float = 1.0, sample_rows: int = 20_000, cell_rows: int = 1_024, query_rows: int = 4_096, max_cells: int = 4_096, leaf: int = 64, seed: int = 3,
+    dimensions: int = 24, probability: float = 0.85, ratio: float = 1.0, sample_rows: int = 20_000, cell_rows: int = 2_048, query_rows: int = 4_096, max_cells: int = 4_096, leaf: int = 256, seed: int = 3,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's ``k`` nearest rows.
 
