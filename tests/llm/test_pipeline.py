@@ -84,3 +84,13 @@ def test_stages_on_odd_rows(spark):
         assert name == "packing" or told.columns == corpus_pipeline.COLUMNS
         assert told.count() > 0
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_with_odd_ids(spark):
+    """No text is lost to a repeated or null id, and one of each class stays."""
+    near = prose(1, 60)
+    rows = [(3, prose(2, 40)), (3, prose(3, 40)), (3, prose(3, 40)), (None, near), (None, near + " end"), (7, prose(4, 50)), (None, prose(4, 50)), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == 6 and {(3, prose(2, 40)), (3, prose(3, 40)), (7, prose(4, 50)), (8, None), (9, "")} <= set(got)
+    assert len({t for i, t in got if i is None}) == 1

@@ -413,3 +413,17 @@ def test_quality_weights_favour(spark):
     docs = frame(spark, texts)
     got = by_id(mixing.mix_sources(docs, share=0.5).collect())
     assert sum(got[i]["taken"] for i in range(200)) > 1.3 * sum(got[i]["taken"] / 2 for i in range(200, 400))
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows with null ids share passages and near copies like others; a repeated id doesn't merge texts."""
+    base = [prose(i, 60) for i in range(3)]
+    near = base[0].replace(base[0].split()[30], "changed", 1)
+    texts = [base[0] + " " + base[1], base[0] + " " + base[2], base[0], near]
+    docs = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit(1)).cast("long"))
+    removed = sorted(sum(s["end"] - s["start"] for s in r["spans"]) for r in suffix_dedup.dedup_substrings(docs, min_length=40, k=8, width=16).collect())
+    assert removed == sorted(n for _, n, _, _ in brute_removed(texts, 40))
+    got = jaccard.jaccard_join(frame(spark, [base[0], near]).withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert [r["n_links"] for r in got] == [1, 1] and len({r["near_class"] for r in got}) == 1
+    same = jaccard.jaccard_join(frame(spark, base).withColumn("doc_id", F.lit(5).cast("long"))).collect()
+    assert len({r["near_class"] for r in same}) == 3
