@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL twins."""
 
-from glimmergrid.llm import fingerprints, jaccard, language, line_dedup, mixing, neighbours, packing, quality, suffix_dedup, toxicity
+from glimmergrid.llm import fingerprints, hard_negatives, jaccard, language, line_dedup, mixing, neighbours, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op10_neighbours": neighbours.op10_neighbours,
@@ -13,10 +13,12 @@ QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
+    "op11_negatives": hard_negatives.op11_negatives,
 }
 
 ORACLES = {
     "op6_jaccard": jaccard.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_negatives": hard_negatives.ORACLE,
 }
