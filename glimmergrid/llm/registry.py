@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL twins."""
 
-from glimmergrid.llm import fingerprints, hard_negatives, jaccard, language, line_dedup, mixing, neighbours, packing, quality, suffix_dedup, toxicity
+from glimmergrid.llm import fingerprints, hard_negatives, jaccard, language, line_dedup, mixing, neighbours, packing, quality, suffix_dedup, tiers, toxicity
 
 QUERIES = {
     "op10_neighbours": neighbours.op10_neighbours,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_mixing": mixing.op9_mixing,
     "op11_negatives": hard_negatives.op11_negatives,
+    "op12_tiers": tiers.op12_tiers,
 }
 
 ORACLES = {
