@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL twins."""
 
-from glimmergrid.llm import fingerprints, hard_negatives, jaccard, language, line_dedup, mixing, neighbours, packing, quality, suffix_dedup, tiers, toxicity
+from glimmergrid.llm import fingerprints, hard_negatives, jaccard, language, line_dedup, mixing, neighbours, packing, prefix_trie, quality, suffix_dedup, tiers, toxicity
 
 QUERIES = {
     "op10_neighbours": neighbours.op10_neighbours,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op11_negatives": hard_negatives.op11_negatives,
     "op12_tiers": tiers.op12_tiers,
+    "op13_trie": prefix_trie.op13_trie,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op11_negatives": hard_negatives.ORACLE,
+    "op13_trie": prefix_trie.ORACLE,
 }
