@@ -13,7 +13,7 @@ No task holds more than a block. Long conversations are cut into segments of
 ``segment`` turns, each sorted among those with the same turns before it, so
 sorting keys are bounded. Prefixes at the edge of a block may go on in another
 one, and those at the end of a segment in the next; they are *open*, and their
-parts meet by hash: per block there are as many as its first and its last row have
+parts meet by hash. Per block there are as many as its first and its last row have
 prefixes, however many members they have. Sums below them are added to their
 ancestors from one row each. Turns are numbered from ranges of bounded size, so a
 conversation that holds a third of all rows isn't sorted by one task.
@@ -42,7 +42,7 @@ BLOCK_TURNS = 200_000
 RANGE_ROWS = 500_000
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 NODE = ["depth", "p1", "p2"]
-PARTS = """kind string, seg long, k1 long, k2 long, depth long, p1 long, p2 long, q1 long, q2 long, parent_conv long, parted boolean, n long, conv long, chars long,
+PARTS = """kind string, seg long, k1 long, k2 long, depth long, p1 long, p2 long, q1 long, q2 long, parent_conv long, parted boolean, edge boolean, n long, conv long, chars long,
   kids long, leaves long, saved long, ends_sha256 string, first_end long, ends binary, line1 array<long>, line2 array<long>"""
 
 
@@ -204,15 +204,18 @@ def block_nodes(block: pa.Table, segment: int) -> pa.Table:
     above[turned[inside]] = first[left] + up[inside] - low[left]
 
     unfinished = np.concatenate(([0], np.cumsum(going)))
-    opened = (begin == 0) | (end == m - 1) | (depth == 0) | ((depth == segment) & (unfinished[end + 1] > unfinished[begin]))
+    edge = (begin == 0) | (end == m - 1) | (depth == 0)
+    opened = edge | ((depth == segment) & (unfinished[end + 1] > unfinished[begin]))
     n = end - begin + 1
     smallest = ids.least(begin, end)
     length = np.zeros(total, np.int64)
     deep = depth > 0
     length[deep] = chars[starts[row[deep]] + depth[deep] - 1]
-    kids = np.bincount(above[~opened & (above >= 0)], minlength=total)[:total]
+    # Open children of open nodes are counted once their parts have met.
+    counted = (above >= 0) & (~opened | ~opened[above])
+    kids = np.bincount(above[counted], minlength=total)[:total]
     leaf = (~opened & (kids == 0)).astype(np.int64)
-    value = np.where(opened, 0, (n - 1) * length)
+    value = np.where(edge, 0, (n - 1) * length)
     after = np.append(first + fresh, 0)[end]
     leaves, saved = (np.concatenate(([0], np.cumsum(x)))[after] - np.concatenate(([0], np.cumsum(x)))[:-1] for x in (leaf, value))
 
@@ -245,7 +248,7 @@ def block_nodes(block: pa.Table, segment: int) -> pa.Table:
     parent_known = above >= 0
     parent_known[parent_known] = ~opened[above[parent_known]]
     parent_conv = pa.array(np.where(parent_known, smallest[above] if total else above, 0), mask=~parent_known)
-    columns = [pa.array(["node"] * total, pa.string()), seg[row], k1[row], k2[row], seg[row] * segment + depth, p1, p2, q1, q2, parent_conv, opened, n, smallest, length, kids, leaves, saved]
+    columns = [pa.array(["node"] * total, pa.string()), seg[row], k1[row], k2[row], seg[row] * segment + depth, p1, p2, q1, q2, parent_conv, opened, edge, n, smallest, length, kids, leaves, saved]
     columns += [pa.array(sha, pa.string()), pa.array(least_end, pa.int64()), pa.array(ended, pa.binary()), pa.array(lines1, pa.list_(pa.int64())), pa.array(lines2, pa.list_(pa.int64()))]
     nodes = pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=ARROW)
     tops = np.flatnonzero(new & (seg > 0))
@@ -334,12 +337,12 @@ def prefix_trie(
     # Parts of open nodes meet; there are few, whatever the number of members.
     summed = [F.sum(c).alias(c) for c in ("n", "kids", "leaves", "saved")]
     same = [F.first(c).alias(c) for c in ("seg", "k1", "k2", "q1", "q2", "chars", "line1", "line2")]
-    merged = materialize(nodes.filter("parted").groupBy(*NODE).agg(*summed, F.min("conv").alias("conv"), *same), "open")
+    merged = materialize(nodes.filter("parted").groupBy(*NODE).agg(*summed, F.min("conv").alias("conv"), F.max("edge").alias("edge"), F.max("parent_conv").alias("parent_conv"), *same), "open")
     parents = [(F.col("depth") - 1).alias("depth"), F.col("q1").alias("p1"), F.col("q2").alias("p2")]
     born = merged.filter("depth > 0").select(*parents).unionByName(closed.filter((F.col("depth") > 1) & ((F.col("depth") - 1) % segment == 0)).select(*parents))
     born = born.groupBy(*NODE).agg(F.count(F.lit(1)).alias("born"))
     merged = merged.join(born, NODE, "left").withColumn("kids", F.col("kids") + F.coalesce("born", F.lit(0)))
-    own = [(F.col("kids") == 0).cast("long").alias("own_leaves"), ((F.col("n") - 1) * F.col("chars")).alias("own_saved")]
+    own = [(F.col("kids") == 0).cast("long").alias("own_leaves"), F.when(F.col("edge"), (F.col("n") - 1) * F.col("chars")).otherwise(0).alias("own_saved")]
     merged = materialize(merged.select("*", *own), "open")
     adding = merged.filter("own_leaves > 0 OR own_saved > 0")
     place = F.posexplode(F.arrays_zip("line1", "line2")).alias("step", "at")
@@ -348,7 +351,7 @@ def prefix_trie(
     hashes = joined_hashes(nodes.filter("ends IS NOT NULL"))
     full = merged.join(up, NODE, "left").join(hashes, NODE, "left")
     full = full.select(
-        *NODE, "q1", "q2", F.lit(None).cast("long").alias("parent_conv"), "n", "conv", "kids", *[(F.col(c) + F.col(f"own_{c}") + F.coalesce(F.col(f"up_{c}"), F.lit(0))).alias(c) for c in ("leaves", "saved")],
+        *NODE, "q1", "q2", "parent_conv", "n", "conv", "kids", *[(F.col(c) + F.col(f"own_{c}") + F.coalesce(F.col(f"up_{c}"), F.lit(0))).alias(c) for c in ("leaves", "saved")],
         F.coalesce("told_sha256", F.lit(NO_ENDS)).alias("ends_sha256"),
     )
     every = closed.select(full.columns).unionByName(full)
