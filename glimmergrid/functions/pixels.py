@@ -39,11 +39,11 @@ def resized(image: np.ndarray, side: int = SIDE) -> np.ndarray:
 @F.pandas_udf(T.BinaryType())
 def _normalized(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for data, width, height, channels in parts:
-        yield pd.Series([resized(np.frombuffer(d, np.uint8).reshape(h, w, c)).tobytes() for d, w, h, c in zip(data, width, height, channels)])
+        yield pd.Series([None if d is None else resized(np.frombuffer(d, np.uint8).reshape(h, w, c)).tobytes() for d, w, h, c in zip(data, width, height, channels)])
 
 
 def normalize_pixels(pixels: Column, width: Column, height: Column, channels: Column) -> Column:
-    """Pixels of any size (blue, green, red; one or four channels too) as a frame buffer."""
+    """Pixels of any size (blue, green, red; one or four channels too) as a frame buffer; null stays null."""
     return _normalized(pixels, width, height, channels)
 
 

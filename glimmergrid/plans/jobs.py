@@ -10,18 +10,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmergrid.functions.embedding import unit_features
+from glimmergrid.functions.embedding import shared_model, unit_features
 from glimmergrid.functions.paths import archive_name
 from glimmergrid.functions.pixels import resized
 from glimmergrid.operators.duplicates import exact_duplicates
 from glimmergrid.operators.search import batch_similarity_search, near_duplicate_pairs, ranked, similarity_search, top_k
 from glimmergrid.schemas import THRESHOLD, check_frames
-from glimmergrid.sources.files import archive_entries, read_files
-from glimmergrid.sources.frames import SPARK_IMAGES, Decoder, is_spark_image, read_images, still_decoder
+from glimmergrid.sources.archives import can_seek, entries_at, entries_in, entry_bytes
+from glimmergrid.sources.files import archive_entries, list_files, read_files
+from glimmergrid.sources.frames import SPARK_IMAGES, Decoder, is_image, is_spark_image, read_images, spilled_images, still_decoder
 from glimmergrid.sources.store import load_features
 from glimmergrid.workspace import written
 
+#: The largest file that Spark is asked to hand over as one value.
 MAX_FILE = 1 << 30
+#: Bytes of the pieces that archives are dealt out in.
+LEAST_PIECE, MOST_PIECE = 1 << 20, 64 << 20
 BATCH = 32
 TAGGED = ["path", "source_path", "entry_ordinal", "frame_index", "md5", "vgg16", "stage", "error"]
 SCHEMA = "path string, source_path string, entry_ordinal long, frame_index long, md5 string, vgg16 array<float>, stage string, error string"
@@ -38,46 +42,66 @@ def _made(waiting: list[tuple], predict) -> list[tuple]:
     return [(*w[:4], hashlib.md5(w[4].tobytes()).hexdigest(), None if v is None else v.tolist(), *((None, None) if v is not None else bad)) for w, v in zip(waiting, found)]
 
 
+def _run(entries: Iterator[tuple], predict, wanted: frozenset[int] | None, decoder: Decoder, images: bool) -> Iterator[pd.DataFrame]:
+    """Features of entries (source, ordinal, path, bytes, error). With ``images``, what Spark's image source reads is passed on as it is, in column ``content``."""
+    waiting: list[tuple] = []
+
+    def told(rows: list[tuple], content: bytes | None = None) -> pd.DataFrame:
+        return _tagged(rows).assign(content=pd.Series([content] * len(rows), dtype=object)) if images else _tagged(rows)
+
+    for source, nth, path, data, error in entries:
+        stage = "archive" if path != source or archive_name(source) else "read"
+        if error is None:
+            stage = "decode"
+            if images and is_image(data):
+                if wanted is None or 0 in wanted:
+                    yield told([(path, source, nth, 0, None, None, None, None)], data)
+                continue
+            try:
+                for index, image in decoder(data, wanted):
+                    if wanted is None or index in wanted:
+                        waiting.append((path if index == 0 else f"{path}/{index}", source, nth, index, resized(image)))
+                    if len(waiting) == BATCH:
+                        yield told(_made(waiting, predict))
+                        waiting = []
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+        if error is not None:
+            yield told([(path, source, nth, None, None, None, stage, error)])
+    if waiting:
+        yield told(_made(waiting, predict))
+
+
 def frame_features(files: DataFrame, make_predict, frames=None, decoder: Decoder = still_decoder) -> DataFrame:
     """Files to features in one pass: ``path``, ``source_path``, ``entry_ordinal``, ``frame_index``, ``md5``, ``vgg16``, ``stage`` and ``error``.
 
-    A task opens a file, inflates the entries of an archive one after another,
-    decodes, hashes and embeds; neither bytes nor pixels leave it. Good rows have no
-    error; an entry that fails half way has its good frames and an error row.
+    Lazy, and for what the decoder reads; ``file_features`` reads the formats of
+    Spark's image source, too. A task opens a file, inflates the entries of an
+    archive one after another, decodes, hashes and embeds; neither bytes nor pixels
+    leave it. Good rows have no error; an entry that fails half way has its good
+    frames and an error row.
     """
-    wanted = check_frames(frames)
+    wanted, load = check_frames(frames), shared_model(make_predict)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict, waiting = make_predict(), []
-        for b in batches:
-            for source, content in zip(b["path"], b["content"]):
-                entries = archive_entries(source, content) if archive_name(source) else [(None, 0, source, content, None)]
-                for _, nth, path, data, error in entries:
-                    stage = "archive"
-                    if error is None:
-                        stage = "decode"
-                        try:
-                            for index, image in decoder(data, wanted):
-                                if wanted is None or index in wanted:
-                                    waiting.append((path if index == 0 else f"{path}/{index}", source, nth, index, resized(image)))
-                                if len(waiting) == BATCH:
-                                    yield _tagged(_made(waiting, predict))
-                                    waiting = []
-                        except Exception as e:
-                            error = f"{type(e).__name__}: {e}"
-                    if error is not None:
-                        yield _tagged([(path, source, nth, None, None, None, stage, error)])
-        if waiting:
-            yield _tagged(_made(waiting, predict))
+        def entries() -> Iterator[tuple]:
+            for b in batches:
+                for source, content in zip(b["path"], b["content"]):
+                    found = archive_entries(source, content) if archive_name(source) else [(None, 0, source, content, None)]
+                    for _, nth, path, data, error in found:
+                        yield source, nth, path, data, error
+
+        yield from _run(entries(), load(), wanted, decoder, False)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
 def image_features(images: DataFrame, make_predict) -> DataFrame:
     """As ``frame_features``, for single images that Spark's image source has decoded."""
+    load = shared_model(make_predict)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = make_predict()
+        predict = load()
         for b in batches:
             for k in range(0, len(b), BATCH):
                 part, waiting, bad = b.iloc[k : k + BATCH], [], []
@@ -91,27 +115,82 @@ def image_features(images: DataFrame, make_predict) -> DataFrame:
     return images.mapInPandas(run, SCHEMA)
 
 
-def features_below(spark: SparkSession, root: str | list[str], make_predict, frames=None, decoder: Decoder = still_decoder, max_file: int = MAX_FILE) -> DataFrame:
-    """Features of all files below ``root``, tagged as in ``frame_features``.
+def _entry_features(rows: DataFrame, make_predict, frames, decoder: Decoder, images: bool) -> DataFrame:
+    """Features of dealt entries, each read, decoded and embedded once and written; then those of the images among them."""
+    wanted, load = check_frames(frames), shared_model(make_predict)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _run(entry_bytes(batches), load(), wanted, decoder, images)
+
+    if not images:
+        return written(rows.mapInPandas(run, SCHEMA), "told")
+    told = written(rows.mapInPandas(run, f"{SCHEMA}, content binary").withColumn("key", F.monotonically_increasing_id()), "told")
+    done, pictures = told.filter("content IS NULL").select(TAGGED), told.filter("content IS NOT NULL")
+    if pictures.isEmpty():
+        return done
+    made = image_features(spilled_images(pictures).withColumn("path", F.col("key").cast("string")).drop("key"), make_predict)
+    made = made.select(F.col("path").cast("long").alias("key"), "frame_index", "md5", "vgg16", "stage", "error")
+    # Features meet, not pixels.
+    found = pictures.select("key", "path", "source_path", "entry_ordinal").join(made, "key").select(TAGGED)
+    return done.unionByName(written(found, "pictures"))
+
+
+def file_features(files: DataFrame, make_predict, frames=None, decoder: Decoder = still_decoder, images: bool = True) -> DataFrame:
+    """As ``frame_features``, for all formats: files (``path``, ``content``) and entries of archives that begin like JPEG, PNG, GIF or BMP go through Spark's image source.
+
+    Entries are dealt out, still packed, to as many tasks as there are cores or
+    more before anything is inflated or decoded. With ``images=False`` the decoder
+    has every format.
+    """
+    spark = files.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _entry_features(entries_in(files, LEAST_PIECE).repartition(tasks), make_predict, frames, decoder, images)
+
+
+def features_at(listed: DataFrame, make_predict, frames=None, decoder: Decoder = still_decoder, images: bool = True) -> DataFrame:
+    """As ``file_features``, for listed files (``path``, ``length``) that tasks open themselves, of any size.
+
+    Only names and places are dealt out, by bytes: an archive is cut into pieces
+    by its directory, and each task seeks to its entries.
+    """
+    tasks = listed.sparkSession.sparkContext.defaultParallelism
+    total = listed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    piece = min(MOST_PIECE, max(LEAST_PIECE, total // (4 * tasks)))
+    dealt = entries_at(listed, piece).repartition(max(4 * tasks, -(-total // piece)), "source_path", "piece")
+    return _entry_features(dealt, make_predict, frames, decoder, images)
+
+
+def features_below(spark: SparkSession, root: str | list[str], make_predict, frames=None, decoder: Decoder = still_decoder, max_file: int | None = None, images: bool = True) -> DataFrame:
+    """Features of all files below ``root``, tagged as in ``frame_features``. Each file is read once.
 
-    JPEG and GIF files go through Spark's image source, as single images; all
-    others through the decoder. Each file is read once.
+    Files with names of JPEG, PNG, GIF and BMP go through Spark's image source, as
+    single images; all others, and the entries of archives, as in ``file_features``
+    (not with ``images=False``: then the decoder has them all). In stores that
+    tasks can open there is no limit to a file's size unless ``max_file`` says so;
+    in others Spark hands a file over as one value, so those over 1 GiB are errors.
     """
     wanted = check_frames(frames)
-    files = read_files(spark, root).filter(~is_spark_image(F.col("path")))
-    large = files.filter(F.col("length") > max_file)
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (("frame_index", "long"), ("md5", "string"), ("vgg16", "array<float>"))]
-    large = large.select("path", F.col("path").alias("source_path"), F.lit(0).cast("long").alias("entry_ordinal"), *empty, F.lit("read").alias("stage"), F.lit("larger than the limit").alias("error"))
-    told = frame_features(files.filter(F.col("length") <= max_file), make_predict, frames, decoder).unionByName(large)
-    named = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SPARK_IMAGES).load(root).select("path")
-    if (wanted is not None and 0 not in wanted) or named.isEmpty():
+    listed = list_files(spark, root)
+    mine = ~is_spark_image(F.col("path")) if images else F.lit(True)
+    seek = can_seek(listed)
+    limit = max_file if max_file is not None or seek else MAX_FILE
+    files = listed if seek else read_files(spark, root)
+    told = files.filter(mine)
+    if limit is not None:
+        told = told.filter(F.col("length") <= limit)
+    told = features_at(told, make_predict, frames, decoder, images) if seek else file_features(told, make_predict, frames, decoder, images)
+    if limit is not None:
+        empty = [F.lit(None).cast(t).alias(n) for n, t in (("frame_index", "long"), ("md5", "string"), ("vgg16", "array<float>"))]
+        large = listed.filter(mine & (F.col("length") > limit))
+        told = told.unionByName(large.select("path", F.col("path").alias("source_path"), F.lit(0).cast("long").alias("entry_ordinal"), *empty, F.lit("read").alias("stage"), F.lit("larger than the limit").alias("error")))
+    if not images or (wanted is not None and 0 not in wanted) or listed.filter(~mine).isEmpty():
         return told
     return told.unionByName(image_features(read_images(spark, root, SPARK_IMAGES), make_predict))
 
 
-def build(spark: SparkSession, root: str | list[str], out: str, make_predict, frames=None, decoder: Decoder = still_decoder, max_file: int = MAX_FILE) -> dict[str, int]:
+def build(spark: SparkSession, root: str | list[str], out: str, make_predict, frames=None, decoder: Decoder = still_decoder, max_file: int | None = None, images: bool = True) -> dict[str, int]:
     """Builds the store ``out`` from all files below ``root``; returns how many features and errors there are."""
-    return build_store(features_below(spark, root, make_predict, frames, decoder, max_file), out)
+    return build_store(features_below(spark, root, make_predict, frames, decoder, max_file, images), out)
 
 
 def build_store(told: DataFrame, out: str) -> dict[str, int]:
@@ -165,7 +244,7 @@ def query(spark: SparkSession, features: DataFrame | str, image: str, make_predi
 
 def batch_query(spark: SparkSession, features: DataFrame, images: DataFrame, make_predict, t: float = THRESHOLD, k: int | None = None, decoder: Decoder = still_decoder) -> DataFrame:
     """Matches of every query file: ``query_path``, ``path``, ``score``, ``rank``. Query images are embedded once and written."""
-    asked = written(first_features(frame_features(images, make_predict, {0}, decoder)), "asked")
+    asked = written(first_features(file_features(images, make_predict, {0}, decoder)), "asked")
     if k is not None:
         return top_k(features, asked, k, t)
     return ranked(batch_similarity_search(features, asked, t))

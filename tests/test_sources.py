@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 
 from glimmergrid.functions.embedding import stub_model
+from glimmergrid.functions.pixels import resized
 from glimmergrid.plans import jobs
 from glimmergrid.sources import records, store
 from glimmergrid.sources.files import expand_archives, failed_files, list_files, read_files
-from glimmergrid.sources.frames import decode_frames, read_images, still_decoder
+from glimmergrid.sources.frames import decode_frames, read_images
 from glimmergrid.streaming.ingest import arriving_files, stream_build, stream_features
 
 MODEL = stub_model()
@@ -121,7 +122,7 @@ def test_many_frames(spark):
     assert sorted(r["path"] for r in decode_frames(entries.filter("path = 'p'"), {0, 2, 5}, six).collect()) == ["p", "p/2", "p/5"]
 
 
-def test_png_filters():
+def test_png_filters(spark):
     rng = np.random.default_rng(1)
     image = rng.integers(0, 256, (5, 4, 3), dtype=np.uint8)
     lines, above = [], np.zeros(12, np.int64)
@@ -136,7 +137,9 @@ def test_png_filters():
     at = data.index(b"IDAT")
     body = zlib.compress(b"".join(lines))
     data = data[: at - 4] + struct.pack(">I", len(body)) + b"IDAT" + body + bytes(4)
-    assert (next(still_decoder(data))[1] == image[:, :, ::-1]).all()
+    entries = spark.createDataFrame([("p", None, 0, "p", bytearray(data), None)], "source_path string, entry_name string, entry_ordinal long, path string, content binary, error string")
+    told = decode_frames(entries).first()
+    assert bytes(told["pixels"]) == resized(image[:, :, ::-1]).tobytes()
 
 
 def test_build_and_query(spark, tree, tmp_path):
