@@ -17,9 +17,10 @@ def resized(image: np.ndarray, side: int = SIDE) -> np.ndarray:
     """An image (height, width, channels) stretched to a square of three channels, bilinear between pixel centres."""
     if image.ndim == 2:
         image = image[:, :, None]
-    image = np.repeat(image[:, :, :1], 3, axis=2) if image.shape[2] < 3 else image[:, :, :3]
+    # One channel is stretched once, and repeated at the end.
+    image = image[:, :, :1] if image.shape[2] < 3 else image[:, :, :3]
     if image.shape[:2] == (side, side):
-        return np.ascontiguousarray(image, np.uint8)
+        return np.ascontiguousarray(np.broadcast_to(image, (side, side, 3)), np.uint8)
 
     def weights(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1)
@@ -33,7 +34,7 @@ def resized(image: np.ndarray, side: int = SIDE) -> np.ndarray:
     lines = image[y0] * (1 - fy) + image[y1] * fy
     left, right = lines[:, x0], lines[:, x1]
     left += (right - left) * fx
-    return np.rint(left).astype(np.uint8)
+    return np.ascontiguousarray(np.broadcast_to(np.rint(left, out=left).astype(np.uint8), (side, side, 3)))
 
 
 @F.pandas_udf(T.BinaryType())

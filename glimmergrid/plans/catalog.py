@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glimmergrid.functions.embedding import embed as embedded
 from glimmergrid.functions.paths import entry_path, frame_path, is_archive, is_file_entry, parse_whitelist
 from glimmergrid.functions.pixels import content_md5, normalize_pixels
 from glimmergrid.functions.vectors import l2_normalize, squared_norm
@@ -27,9 +28,10 @@ from glimmergrid.sources.files import expand_archives as expand
 from glimmergrid.sources.files import failed_files as failures
 from glimmergrid.sources.files import list_files as listing
 from glimmergrid.sources.files import read_files as reading
+from glimmergrid.sources.files import write_files
 from glimmergrid.sources.frames import decode_frames as decode
+from glimmergrid.streaming.ingest import arriving_files, stream_features
 from glimmergrid.streaming.ingest import stream_build as streamed_build
-from glimmergrid.streaming.ingest import stream_features
 from glimmergrid.workspace import shared_path
 
 NAMES = {"path_col": "vec_id", "vector_col": "embedding"}
@@ -37,6 +39,9 @@ QUERY_NAMES = NAMES | {"query_col": "query_id", "query_vector_col": "embedding"}
 #: Places of a frame's corners in its buffer: stretching keeps corner pixels as they are, so SQL can tell them.
 CORNERS = [0, (SIDE - 1) * 3, SIDE * (SIDE - 1) * 3, (SIDE * SIDE - 1) * 3]
 
+# The header of a bitmap of 8 by 8 pixels, 24 bits each.
+BMP_HEADER = "424DF600000000000000360000002800000008000000080000000100180000000000C0000000" + 16 * "00"
+
 
 def corner_model():
     """A model whose features are the four corners of a frame."""
@@ -75,6 +80,14 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("img/"), F.col("vec_id").cast("string"), F.lit(".pgm")).alias("path"), F.current_timestamp().alias("modificationTime"), F.length(content).cast("long").alias("length"), content.alias("content"))
 
 
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images as bitmaps, which Spark's image source reads; the lowest line of a bitmap comes first."""
+    raw = _images(spark, sf_dir).select("path", "modificationTime", F.hex(F.expr("substring(content, 12)")).alias("grey"))
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substring(F.col("grey"), 2 * ((7 - F.floor(i / 8)) * 8 + i % 8) + 1, F.lit(2)))
+    content = F.unhex(F.concat(F.lit(BMP_HEADER), F.array_join(F.transform(pixel, lambda g: F.repeat(g, F.lit(3))), "")))
+    return raw.select(F.regexp_replace("path", "pgm$", "bmp").alias("path"), "modificationTime", F.length(content).cast("long").alias("length"), content.alias("content"))
+
+
 def _archives(rows: DataFrame) -> DataFrame:
     """Rows of (archive, name, content) as zip files, each with a directory entry first."""
 
@@ -256,33 +269,96 @@ def pixels_normalized(spark, sf_dir):
     return frames.select("path", F.length("pixels").cast("long").alias("n_bytes"), *_bytes_at(F.col("pixels")))
 
 
-def _packed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The images as plain files, and once more inside archives."""
-    images = _images(spark, sf_dir)
-    number = F.regexp_extract("path", "[0-9]+", 0).cast("long")
-    packed = images.select(F.concat(F.lit("zip/"), F.floor(number / 20).cast("string"), F.lit(".zip")).alias("archive"), F.concat(number.cast("string"), F.lit(".pgm")).alias("name"), "content")
+def _packed(images: DataFrame) -> DataFrame:
+    """Images as plain files, and once more inside archives."""
+    number = F.regexp_extract("path", "[0-9]+", 0)
+    packed = images.select(F.concat(F.lit("zip/"), F.floor(number.cast("long") / 20).cast("string"), F.lit(".zip")).alias("archive"), F.regexp_extract("path", "[^/]+$", 0).alias("name"), "content")
     return images.unionByName(_archives(packed))
 
 
+def _packed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(_images(spark, sf_dir))
+
+
 def build_features(spark, sf_dir):
     """Features of those images."""
-    told = jobs.frame_features(_packed_images(spark, sf_dir), corner_model)
+    told = jobs.file_features(_packed_images(spark, sf_dir), corner_model)
+    return _corners(told.filter("error IS NULL"))
+
+
+def picture_features(spark, sf_dir):
+    """Features of bitmaps, plain and inside archives: Spark's image source reads them from the shared folder."""
+    told = jobs.file_features(_packed(_pictures(spark, sf_dir)), corner_model)
     return _corners(told.filter("error IS NULL"))
 
 
+def _on_disk(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of image files of both kinds, with archives of both."""
+    folder = shared_path(spark, "tree")
+    write_files(_packed_images(spark, sf_dir).unionByName(_packed(_pictures(spark, sf_dir)).withColumn("path", F.regexp_replace("path", "^zip/", "bmp/"))), folder)
+    return folder
+
+
+def _below(path: Column) -> Column:
+    """A file's path below its folder."""
+    return F.regexp_extract(path, "/tree-[0-9a-f]+/(.*)$", 1)
+
+
+def build(spark, sf_dir):
+    """A store built from those files on disk."""
+    out = shared_path(spark, "built")
+    jobs.build(spark, _on_disk(spark, sf_dir), out, corner_model)
+    return _corners(jobs.features_of(spark, out).withColumn("path", _below(F.col("path"))))
+
+
+def query(spark, sf_dir):
+    """The images in a store most like one image file on disk."""
+    out, tree = shared_path(spark, "built"), _on_disk(spark, sf_dir)
+    jobs.build(spark, f"{tree}/img", out, corner_model)
+    found = jobs.query(spark, jobs.features_of(spark, out), f"{tree}/img/0.bmp", corner_model, 0.95)
+    return found.select(_below(F.col("path")).alias("path"), F.round("score", 6).alias("score"))
+
+
+def picture_queries(spark, sf_dir):
+    """The five images most like each of a stated set of bitmaps."""
+    asked = _pictures(spark, sf_dir).filter(F.regexp_extract("path", "[0-9]+", 0).cast("long") % 20 == 0)
+    found = jobs.batch_query(spark, _stored_images(spark, sf_dir), asked, corner_model, 0.5, 5)
+    return found.select(F.regexp_replace("query_path", "bmp$", "pgm").alias("query_path"), "path", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def picture_stream(spark, sf_dir):
+    """A store built from files on disk as they arrive, of both kinds."""
+    out, checkpoint = (shared_path(spark, n) for n in ("streamed", "progress"))
+    streamed_build(arriving_files(spark, _on_disk(spark, sf_dir), 1_000), out, checkpoint, corner_model).awaitTermination()
+    return _corners(jobs.features_of(spark, out).withColumn("path", _below(F.col("path"))))
+
+
+def embed(spark, sf_dir):
+    """Features of pixel buffers as a column."""
+    raw = _images(spark, sf_dir).select("path", F.expr("substring(content, 12)").alias("raw"))
+    frames = raw.select("path", normalize_pixels(F.col("raw"), F.lit(8), F.lit(8), F.lit(1)).alias("pixels"))
+    return _corners(frames.select("path", embedded(F.col("pixels"), corner_model).alias("vgg16")).filter("vgg16 IS NOT NULL"))
+
+
+def first_image(spark, sf_dir):
+    """The first frame of each archive of bitmaps, and of each plain file: its path and corners."""
+    frames = decode(expand(_packed(_pictures(spark, sf_dir))))
+    return selection.first_image(frames).select("source_path", "path", *_bytes_at(F.col("pixels")))
+
+
 def build_store(spark, sf_dir):
     """A store built of them and of texts that are no images: its features and its errors."""
     docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     text = F.col("text").cast("binary")
     texts = docs.select(F.concat(F.lit("t/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"), F.current_timestamp().alias("modificationTime"), F.length(text).cast("long").alias("length"), text.alias("content"))
     out = shared_path(spark, "built")
-    jobs.build_store(jobs.frame_features(_packed_images(spark, sf_dir).unionByName(texts), corner_model), out)
+    jobs.build_store(jobs.file_features(_packed_images(spark, sf_dir).unionByName(texts), corner_model), out)
     return jobs.features_of(spark, out).select("path", F.lit("").alias("stage")).unionByName(jobs.errors_of(spark, out).select("path", "stage"))
 
 
 def _stored_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "features")
-    store.save_features(jobs.frame_features(_images(spark, sf_dir), corner_model).filter("error IS NULL"), path)
+    store.save_features(jobs.file_features(_images(spark, sf_dir), corner_model).filter("error IS NULL"), path)
     return store.load_features(spark, path)
 
 
@@ -371,6 +447,13 @@ QUERIES = {
     "decode_frames": decode_frames,
     "normalize_pixels": pixels_normalized,
     "build_features": build_features,
+    "picture_features": picture_features,
+    "build": build,
+    "query": query,
+    "picture_queries": picture_queries,
+    "picture_stream": picture_stream,
+    "embed": embed,
+    "first_image": first_image,
     "build_store": build_store,
     "query_image": query_image,
     "batch_query": batch_query,
@@ -390,6 +473,11 @@ _GREYS = """SELECT vec_id, list_transform([embedding[1], embedding[8], embedding
 _UNITS = f"""SELECT vec_id, list_transform(g, lambda x: (x / sqrt(list_sum(list_transform(g, lambda y: y * y))))::FLOAT::DOUBLE) AS u FROM ({_GREYS}) WHERE list_sum(g) > 0"""
 _PLACED = f"""SELECT 'img/' || vec_id || '.pgm' AS path, u FROM ({_UNITS}) UNION ALL SELECT 'zip/' || vec_id // 20 || '.zip/d/' || vec_id || '.pgm', u FROM ({_UNITS})"""
 _CORNERS = f"SELECT path, round(u[1], 6) AS v1, round(u[2], 6) AS v2, round(u[3], 6) AS v3, round(u[4], 6) AS v4 FROM ({_PLACED})"
+_BITMAPS = f"SELECT replace(path, '.pgm', '.bmp') AS path, v1, v2, v3, v4 FROM ({_CORNERS})"
+_TREE = f"{_CORNERS} UNION ALL SELECT regexp_replace(path, '^zip/', 'bmp/'), v1, v2, v3, v4 FROM ({_BITMAPS})"
+_FIRST = f"""SELECT 'img/' || vec_id || '.bmp' AS source_path, 'img/' || vec_id || '.bmp' AS path, g FROM ({_GREYS})
+  UNION ALL SELECT 'zip/' || vec_id // 20 || '.zip', 'zip/' || vec_id // 20 || '.zip/d/' || vec_id || '.bmp', g FROM ({_GREYS})
+  QUALIFY row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id || '.bmp') = 1"""
 _ALIKE = f"""SELECT a.vec_id AS a, b.vec_id AS b, 'img/' || a.vec_id || '.pgm' AS query_path, 'img/' || b.vec_id || '.pgm' AS path,
   a.u[1] * b.u[1] + a.u[2] * b.u[2] + a.u[3] * b.u[3] + a.u[4] * b.u[4] AS s FROM ({_UNITS}) a, ({_UNITS}) b"""
 _FOLDERS = "SELECT lang, sum(strlen(text) + 1)::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang"
@@ -423,10 +511,19 @@ ORACLES = {
     "decode_frames": f"SELECT 'img/' || vec_id || '.pgm' AS path, 0::BIGINT AS frame_index, 150528::BIGINT AS n_bytes, g[1] AS p1, g[2] AS p2, g[3] AS p3, g[4] AS p4 FROM ({_GREYS})",
     "normalize_pixels": f"SELECT 'img/' || vec_id || '.pgm' AS path, 150528::BIGINT AS n_bytes, g[1] AS p1, g[2] AS p2, g[3] AS p3, g[4] AS p4 FROM ({_GREYS})",
     "build_features": _CORNERS,
+    "picture_features": _BITMAPS,
+    "build": _TREE,
+    "picture_stream": _TREE,
+    "query": f"""SELECT path, round(s, 6) AS score FROM ({_ALIKE}) WHERE a = 0 AND s >= 0.95::DOUBLE
+      UNION ALL SELECT replace(path, '.pgm', '.bmp'), round(s, 6) FROM ({_ALIKE}) WHERE a = 0 AND s >= 0.95::DOUBLE""",
+    "embed": f"SELECT * FROM ({_CORNERS}) WHERE path LIKE 'img/%'",
+    "first_image": f"SELECT source_path, path, g[1] AS p1, g[2] AS p2, g[3] AS p3, g[4] AS p4 FROM ({_FIRST})",
     "build_store": f"SELECT path, '' AS stage FROM ({_PLACED}) UNION ALL SELECT 't/' || doc_id || '.png', 'decode' FROM documents WHERE text IS NOT NULL",
     "query_image": f"SELECT path, round(s, 6) AS score FROM ({_ALIKE}) WHERE a = 0 AND s >= 0.95::DOUBLE",
     "batch_query": f"""SELECT query_path, path, rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_path ORDER BY s DESC, path)::INT AS rank
       FROM ({_ALIKE}) WHERE a % 20 = 0 AND s >= 0.5::DOUBLE) WHERE rank <= 5""",
+    "picture_queries": f"""SELECT query_path, path, rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_path ORDER BY s DESC, path)::INT AS rank
+      FROM ({_ALIKE}) WHERE a % 20 = 0 AND s >= 0.5::DOUBLE) WHERE rank <= 5""",
     "stream_ingest": _CORNERS,
     "stream_build": _CORNERS,
     "threshold_filter": f"SELECT vec_id, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id = 1) WHERE s >= 0.25::DOUBLE",

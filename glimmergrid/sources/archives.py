@@ -9,13 +9,16 @@ its entries and inflates them one at a time.
 from __future__ import annotations
 
 import io
+import re
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,9 @@ from glimmergrid.functions.paths import archive_name, is_archive
 #: A plain file, or an entry as it is, packed by DEFLATE, or by another method of the archive's own.
 STORED, DEFLATED, OTHER = 0, 8, -1
 PACKED = "source_path string, entry_name string, entry_ordinal long, path string, content binary, offset long, packed long, method int, size long, crc long, piece long, error string"
-COLUMNS = [part.split()[0] for part in PACKED.split(", ")]
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (part.split() for part in PACKED.split(", "))])
+COLUMNS = ARROW.names
 #: Stores that a task opens itself: mounted folders, and those that Arrow has a client for.
 SCHEMES = ("", "file", "s3", "s3a", "s3n", "gs", "gcs", "hdfs", "abfs", "abfss")
 HEADER = 30
@@ -35,18 +40,33 @@ def scheme_of(path: str) -> str:
     return scheme if colon and "/" not in scheme else ""
 
 
-def open_source(path: str) -> BinaryIO:
-    """The file at ``path``, for reading at any place, from any of ``SCHEMES``."""
-    scheme = scheme_of(path)
-    if scheme in ("", "file"):
-        name = path.removeprefix("file:") if scheme else path
-        return open("/" + name.lstrip("/") if name.startswith("/") else name, "rb")
+def _store(path: str):
+    """Arrow's client for a path's store, and the path there."""
     from pyarrow import fs
 
+    scheme = scheme_of(path)
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), re.sub("^/+", "/", path.removeprefix("file:") if scheme else path)
     rest = path.partition("://")[2]
-    host = rest.partition("/")[0]
-    store, _ = fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }://{host}/")
-    return store.open_input_file("/" + rest.partition("/")[2] if scheme == "hdfs" else rest)
+    store, _ = fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }://{rest.partition('/')[0]}/")
+    return store, "/" + rest.partition("/")[2] if scheme == "hdfs" else rest
+
+
+def open_source(path: str) -> BinaryIO:
+    """The file at ``path``, for reading at any place, from any of ``SCHEMES``."""
+    store, name = _store(path)
+    return store.open_input_file(name)
+
+
+def write_target(path: str, content: bytes) -> None:
+    """A file at ``path`` in any of ``SCHEMES``; it appears under its name when it is complete."""
+    store, name = _store(path)
+    folder, _, last = name.rpartition("/")
+    store.create_dir(folder, recursive=True)
+    waiting = f"{folder}/_{last}-{uuid.uuid4().hex}"
+    with store.open_output_stream(waiting) as out:
+        out.write(content)
+    store.move(waiting, name)
 
 
 def can_seek(listed: DataFrame) -> bool:
@@ -100,26 +120,32 @@ def unpacked(file: BinaryIO, name: str, nth: int, offset: int, packed: int, meth
     return inflated(packed_bytes(file, offset, packed), method, size, crc)
 
 
+def batches_of(rows: Iterator[tuple], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the columns of ``PACKED``, in batches of at most about ``most_bytes`` of content."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[4] or b"")
+        if size >= most_bytes or len(held) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), ARROW.types)], schema=ARROW)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), ARROW.types)], schema=ARROW)
+
+
 def entries_at(listed: DataFrame, piece_bytes: int) -> DataFrame:
     """Entries of listed files (``path``, ``length``), which tasks open themselves. Of archives only the directory is read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def directories(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for path in b["path"]:
-                rows: list[tuple] = []
+            for path in b.column("path").to_pylist():
                 try:
                     with open_source(path) as file:
-                        for row in directory(path, file, piece_bytes):
-                            rows.append(row)
-                            if len(rows) == 10_000:
-                                yield frame(rows)
-                                rows = []
+                        yield from directory(path, file, piece_bytes)
                 except OSError as e:
-                    rows.append((path, None, 0, path, None, None, None, None, None, None, 0, f"{type(e).__name__}: {e}"))
-                if rows:
-                    yield frame(rows)
+                    yield path, None, 0, path, None, None, None, None, None, None, 0, f"{type(e).__name__}: {e}"
 
-    archives = listed.filter(is_archive(F.col("path"))).select("path").mapInPandas(run, PACKED)
+    archives = listed.filter(is_archive(F.col("path"))).select("path").mapInArrow(lambda batches: batches_of(directories(batches), piece_bytes), PACKED)
     null = {c: F.lit(None).cast(kind) for c, kind in (part.split() for part in PACKED.split(", "))}
     zero = F.lit(0).cast("long")
     plain = null | {"source_path": F.col("path"), "path": F.col("path"), "entry_ordinal": zero, "offset": zero, "packed": F.col("length"), "size": F.col("length"), "piece": zero}
@@ -129,38 +155,30 @@ def entries_at(listed: DataFrame, piece_bytes: int) -> DataFrame:
 def entries_in(files: DataFrame, piece_bytes: int) -> DataFrame:
     """Entries of files whose bytes are a column (``path``, ``content``); those of archives stay packed."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_out(file: BinaryIO, row: tuple) -> tuple:
+        """The row of a directory with the entry's bytes."""
+        told = dict(zip(COLUMNS, row))
+        try:
+            if told["method"] == OTHER:
+                data = unpacked(file, told["entry_name"], told["entry_ordinal"], told["offset"], told["packed"], OTHER, told["size"], told["crc"])
+                told |= {"method": STORED, "content": data, "crc": zlib.crc32(data)}
+            else:
+                told["content"] = packed_bytes(file, told["offset"], told["packed"])
+        except Exception as e:
+            told["error"] = f"{type(e).__name__}: {e}"
+        return tuple(told.values())
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                if not archive_name(path):
-                    yield frame([(path, None, 0, path, content, None, None, None, None, None, 0, None)])
-                    continue
-                rows, held, file = [], 0, io.BytesIO(content)
-                for row in directory(path, file, piece_bytes):
-                    told = dict(zip(COLUMNS, row))
-                    if told["error"] is None:
-                        try:
-                            if told["method"] == OTHER:
-                                data = unpacked(file, told["entry_name"], told["entry_ordinal"], told["offset"], told["packed"], OTHER, told["size"], told["crc"])
-                                told |= {"method": STORED, "content": data, "crc": zlib.crc32(data)}
-                            else:
-                                told["content"] = packed_bytes(file, told["offset"], told["packed"])
-                        except Exception as e:
-                            told["error"] = f"{type(e).__name__}: {e}"
-                    rows.append(tuple(told.values()))
-                    held += len(told["content"] or b"")
-                    if held >= piece_bytes or len(rows) == 10_000:
-                        yield frame(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield frame(rows)
-
-    return files.select("path", "content").mapInPandas(run, PACKED)
-
-
-def frame(rows: list[tuple]) -> pd.DataFrame:
-    kinds = {c: "Int64" for c in ("entry_ordinal", "offset", "packed", "method", "size", "crc", "piece")}
-    return pd.DataFrame(rows, columns=COLUMNS).astype(kinds)
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                if archive_name(path):
+                    file = io.BytesIO(content)
+                    for row in directory(path, file, piece_bytes):
+                        yield row if row[-1] else cut_out(file, row)
+                else:
+                    yield path, None, 0, path, content, None, None, None, None, None, 0, None
+
+    return files.select("path", "content").mapInArrow(lambda batches: batches_of(entries(batches), piece_bytes), PACKED)
 
 
 def entry_bytes(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glimmergrid.functions.paths import is_archive
 from glimmergrid.schemas import ENTRIES
+from glimmergrid.sources.archives import write_target
 
 MAX_ENTRY = 1 << 30
 
@@ -32,6 +33,21 @@ def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     return read_files(spark, root).select("path", "length", "modificationTime")
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes rows (``path``, relative, and ``content``) as files below ``folder``, in a store that tasks can open; returns how many.
+
+    A file gets its name when it is complete, so a task may run again.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                write_target(f"{folder}/{path}", content)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return rows.select("path", "content").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def archive_entries(path: str, content: bytes, max_entry: int = MAX_ENTRY) -> Iterator[tuple]:
     """Name, ordinal, path, bytes and error of each entry of an archive, inflated one at a time."""
     try:
