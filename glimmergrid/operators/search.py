@@ -8,18 +8,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmergrid.functions.vectors import dot, reaches
+from glimmergrid.functions.vectors import dot, reaches, squared_norm
 from glimmergrid.schemas import THRESHOLD, check_k, check_threshold
+from glimmergrid.workspace import written
 
 #: Bytes of query vectors up to which they go to every task; larger sets are joined in blocks.
 SENT_BYTES = 64 << 20
 BLOCK_ROWS = 4_096
+#: Angles are compared with this much to spare, for rounding.
+SLACK = 1e-6
 
 
 def similarity_search(features: DataFrame, query: Sequence[float], t: float = THRESHOLD, k: int | None = None, vector_col: str = "vgg16", path_col: str = "path") -> DataFrame:
@@ -134,34 +138,170 @@ def ranked(matches: DataFrame, path_col: str = "path", query_col: str = "query_p
     return matches.withColumn("rank", F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), path_col)))
 
 
-def near_duplicate_pairs(features: DataFrame, t: float = THRESHOLD, *, path_col: str = "path", vector_col: str = "vgg16", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``path_a``, ``path_b`` and ``score`` of all pairs of the table that reach ``t``, with ``path_a < path_b``.
+@dataclass
+class Cells:
+    """Directions that rows are dealt by: each row is at home with the nearest one.
+
+    ``radius`` is the largest angle of a row to its own direction and ``longest``
+    the greatest length of a row there.
+    """
 
-    Exact: rows are dealt to blocks by hash, and every two blocks meet in a task.
-    A row is sent once per block; with ``n`` blocks that is ``n`` times the table,
-    so for very large tables ``near_duplicate_candidates`` comes first.
+    pivots: np.ndarray
+    radius: np.ndarray
+    longest: np.ndarray
+
+    def angles(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Angles of rows to all directions, and the rows' lengths; a zero row has the angle 0 to all."""
+        lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cosines = np.nan_to_num(vectors @ self.pivots.T / lengths[:, None], nan=1.0)
+        return np.arccos(np.clip(cosines, -1, 1)), lengths
+
+    def visits(self, vectors: np.ndarray, home: np.ndarray, t: float) -> np.ndarray:
+        """Whether a row may reach ``t`` with a row of each cell.
+
+        Two rows that reach it are at most ``most`` apart, by the lengths they can
+        have. By the triangle inequality the row is then within that and the cell's
+        radius of the cell's direction; and since the other row is nearer to its own
+        direction than to this row's, within twice that of this row's own angle.
+        """
+        angles, lengths = self.angles(vectors)
+        if t <= 0 or not np.isfinite(self.longest).all():
+            return np.ones(angles.shape, bool)
+        with np.errstate(divide="ignore"):
+            least = t / (lengths[:, None] * self.longest)
+        most = np.arccos(np.clip(least, -1, 1)) + SLACK
+        own = np.take_along_axis(angles, home[:, None], axis=1)
+        return (least <= 1 + SLACK) & (angles <= most + self.radius) & (angles <= own + 2 * most)
+
+
+def _directions(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
+    """``count`` directions: first those of a sample that are farthest from each other, then means of the rows nearest to them."""
+    lengths = np.sqrt((sample * sample).sum(axis=1))
+    fine = np.isfinite(lengths) & (lengths > 0)
+    units = sample[fine] / lengths[fine, None]
+    if not len(units):
+        return np.eye(1, max(1, sample.shape[1]))
+    chosen = [0]
+    near = units @ units[0]
+    while len(chosen) < min(count, len(units)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, units @ units[chosen[-1]])
+    pivots = units[chosen]
+    for _ in range(rounds):
+        home = (units @ pivots.T).argmax(axis=1)
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, home, units)
+        norms = np.sqrt((sums * sums).sum(axis=1))
+        pivots = np.where(norms[:, None] > 0, sums / np.maximum(norms, 1e-300)[:, None], pivots)
+    return pivots
+
+
+@dataclass
+class Dealt:
+    """Rows with their cell, and those of other cells that may reach the threshold there; ``homes`` and ``guests`` are counts per cell."""
+
+    rows: DataFrame
+    homes: dict[int, int]
+    guests: dict[int, int]
+
+    @property
+    def compared(self) -> int:
+        """Pairs of rows that meet."""
+        return sum(n * (n - 1) // 2 + n * self.guests.get(c, 0) for c, n in self.homes.items())
+
+    @property
+    def pairs(self) -> int:
+        n = sum(self.homes.values())
+        return n * (n - 1) // 2
+
+
+def deal_pairs(features: DataFrame, t: float = THRESHOLD, *, path_col: str = "path", vector_col: str = "vgg16", block_rows: int = BLOCK_ROWS, max_cells: int = 1_024, sample_rows: int = 20_000) -> Dealt:
+    """The rows of a table, dealt so that all pairs that reach ``t`` meet.
+
+    Directions come from a bounded sample; every row is at home in one cell, and
+    visits the cells after it that it can't be told apart from by angles. Rows
+    that reach nothing (without a path; NaN components; of length zero, for ``t``
+    over 0) are left out.
     """
     check_threshold(t)
-    rows = features.select(F.col(path_col).alias("path"), F.col(vector_col).alias("vector")).filter("vector IS NOT NULL")
-    parts = max(1, math.ceil(rows.count() / block_rows))
+    rows = features.select(F.col(path_col).alias("path"), F.col(vector_col).alias("vector")).filter("path IS NOT NULL AND vector IS NOT NULL")
+    length = F.sqrt(squared_norm(F.col("vector")))
+    rows = rows.filter(~F.isnan(length) & (length > 0) if t > 0 else ~F.isnan(length))
+    count = rows.count()
+    share = min(1.0, 2 * sample_rows / max(1, count))
+    picked = rows.filter(F.pmod(F.xxhash64("path"), F.lit(1_000_000)) < 1_000_000 * share).select("vector").limit(sample_rows).toPandas()
+    cells = Cells(_directions(_matrix(picked["vector"]) if len(picked) else np.zeros((1, 1)), max(1, min(max_cells, math.ceil(count / block_rows)))), np.zeros(0), np.zeros(0))
     kind = dict(rows.dtypes)["path"]
-    dealt = rows.withColumn("side", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = dealt.select("path", "vector", "side", F.least("side", "with").alias("first"), F.greatest("side", "with").alias("second"))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                angles, lengths = cells.angles(_matrix(b["vector"]))
+                home = angles.argmin(axis=1)
+                yield b.assign(home=home.astype(np.int32), angle=angles[np.arange(len(b)), home], length=lengths)
+
+    vector = dict(rows.dtypes)["vector"]
+    placed = written(rows.mapInPandas(place, f"path {kind}, vector {vector}, home int, angle double, length double"), "placed")
+    cells.radius, cells.longest = np.full(len(cells.pivots), -np.inf), np.zeros(len(cells.pivots))
+    homes = {}
+    # A row per cell.
+    for r in placed.groupBy("home").agg(F.max("angle").alias("angle"), F.max("length").alias("length"), F.count(F.lit(1)).alias("n")).collect():
+        cells.radius[r["home"]], cells.longest[r["home"]], homes[r["home"]] = r["angle"], r["length"], r["n"]
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                home = b["home"].to_numpy()
+                going = cells.visits(_matrix(b["vector"]), home, t) & (np.arange(len(cells.pivots)) > home[:, None]) & np.isfinite(cells.radius)
+                q, c = np.nonzero(going)
+                yield b.iloc[q][["path", "vector"]].assign(cell=c.astype(np.int32), guest=True)
+
+    at_home = placed.select("path", "vector", F.col("home").alias("cell"), F.lit(False).alias("guest"))
+    if len(homes) < 2:
+        return Dealt(at_home, homes, {})
+    guests = written(placed.select("path", "vector", "home").mapInPandas(visit, f"path {kind}, vector {vector}, cell int, guest boolean"), "guests")
+    return Dealt(at_home.unionByName(guests), homes, {r["cell"]: r["n"] for r in guests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()})
+
+
+def near_duplicate_pairs(features: DataFrame, t: float = THRESHOLD, *, path_col: str = "path", vector_col: str = "vgg16", block_rows: int = BLOCK_ROWS, max_cells: int = 1_024) -> DataFrame:
+    """``path_a``, ``path_b`` and ``score`` of all pairs of the table that reach ``t``, with ``path_a < path_b``.
+
+    Exact. Rows are dealt to cells by direction, and meet the rows of other cells
+    only where the triangle inequality doesn't rule a pair out (``deal_pairs``): on
+    clustered vectors a small part of all pairs is multiplied. A cell is cut into
+    parts of about ``block_rows``, and every two parts that have pairs meet in one
+    task, so no cell has to fit into a task. Where directions are independent
+    nothing is ruled out, and each row is sent once per part of the table.
+    """
+    dealt = deal_pairs(features, t, path_col=path_col, vector_col=vector_col, block_rows=block_rows, max_cells=max_cells)
+    kind = dict(dealt.rows.dtypes)["path"]
+    # A row per cell.
+    sizes = features.sparkSession.createDataFrame([(c, -(-n // block_rows), -(-dealt.guests.get(c, 0) // block_rows)) for c, n in dealt.homes.items()], "cell int, home_parts int, guest_parts int")
+    rows = dealt.rows.join(F.broadcast(sizes), "cell")
+    part = F.when(F.col("guest"), F.col("home_parts") + F.pmod(F.xxhash64("path", "vector"), F.greatest("guest_parts", F.lit(1)))).otherwise(F.pmod(F.xxhash64("path", "vector"), F.col("home_parts"))).cast("int")
+    # Guests meet all parts that are at home, those meet all parts.
+    others = F.when(F.col("guest"), F.col("home_parts")).otherwise(F.col("home_parts") + F.col("guest_parts"))
+    rows = rows.withColumn("side", part).withColumn("with", F.explode(F.sequence(F.lit(0), others - 1)))
+    rows = rows.select("cell", "path", "vector", "side", F.least("side", "with").alias("first"), F.greatest("side", "with").alias("second"))
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("path", kind="stable")
-        paths, vectors, side = pdf["path"].to_numpy(), _matrix(pdf["vector"]), pdf["side"].to_numpy()
-        out = []
-        for low in range(0, len(pdf), 1024):
-            q, r, s = _pairs(vectors[low : low + 1024], vectors, t, None)
-            q = q + low
-            keep = paths[q] < paths[r]
-            if pdf["first"].iat[0] != pdf["second"].iat[0]:
-                keep &= side[q] != side[r]
-            out.append(pd.DataFrame({"path_a": paths[q[keep]], "path_b": paths[r[keep]], "score": s[keep]}))
+        first, second = pdf["first"].iat[0], pdf["second"].iat[0]
+        sides = [pdf[pdf["side"] == side] for side in (first, second)]
+        out = [pd.DataFrame({"path_a": np.array([], object), "path_b": np.array([], object), "score": np.zeros(0)})]
+        if not all(map(len, sides)):
+            return out[0]
+        (paths_a, paths_b), (a, b) = (side["path"].to_numpy() for side in sides), (_matrix(side["vector"]) for side in sides)
+        for low in range(0, len(a), 1024):
+            q, r, s = _pairs(a[low : low + 1024], b, t, None)
+            one, two = paths_a[low + q], paths_b[r]
+            keep = one < two if first == second else one != two
+            one, two, s = one[keep], two[keep], s[keep]
+            out.append(pd.DataFrame({"path_a": np.where(one < two, one, two), "path_b": np.where(one < two, two, one), "score": s}))
         return pd.concat(out)
 
-    return dealt.groupBy("first", "second").applyInPandas(pairs, f"path_a {kind}, path_b {kind}, score double")
+    return rows.groupBy("cell", "first", "second").applyInPandas(pairs, f"path_a {kind}, path_b {kind}, score double")
 
 
 def near_duplicate_candidates(features: DataFrame, t: float = THRESHOLD, *, path_col: str = "path", vector_col: str = "vgg16", bucket_length: float = 1.0, tables: int = 8, seed: int = 1) -> DataFrame:

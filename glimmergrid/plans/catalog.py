@@ -136,6 +136,14 @@ def near_duplicate_pairs(spark, sf_dir):
     return found.select(F.col("path_a").alias("vec_a"), F.col("path_b").alias("vec_b"), F.round("score", 6).alias("score"))
 
 
+def clustered_pairs(spark, sf_dir):
+    """Similar vectors among clusters: each vector is drawn towards the axis of its label, then cells rule out most pairs."""
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL")
+    drawn = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("label"), 3.0).otherwise(0.0))
+    found = search.near_duplicate_pairs(rows.select("vec_id", l2_normalize(drawn).alias("embedding")), 0.92, block_rows=256, **NAMES)
+    return found.select(F.col("path_a").alias("vec_a"), F.col("path_b").alias("vec_b"), F.round("score", 6).alias("score"))
+
+
 def l2_normalized(spark, sf_dir):
     """Vectors of many lengths brought back to length one."""
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7 + 1))
@@ -429,6 +437,7 @@ QUERIES = {
     "batch_similarity_search": batch_similarity_search,
     "top_k": top_k,
     "near_duplicate_pairs": near_duplicate_pairs,
+    "clustered_pairs": clustered_pairs,
     "l2_normalize": l2_normalized,
     "content_md5": content_hashes,
     "exact_duplicates": exact_duplicates,
@@ -488,6 +497,9 @@ ORACLES = {
     "top_k": f"""SELECT query_id, vec_id, rank, round(s, 6) AS score FROM (SELECT *,
       row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM ({_SCORES} WHERE a.vec_id % 20 = 0) WHERE s >= 0) WHERE rank <= 10""",
     "near_duplicate_pairs": f"SELECT query_id AS vec_a, vec_id AS vec_b, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id < b.vec_id) WHERE s >= 0.3::DOUBLE",
+    "clustered_pairs": """WITH d AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = label + 1 THEN 3.0 ELSE 0.0 END) AS v FROM embeddings),
+      u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM d)
+      SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_inner_product(a.u, b.u), 6) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_inner_product(a.u, b.u) >= 0.92::DOUBLE""",
     "l2_normalize": """SELECT vec_id, round(u[1], 6) AS v1, round(u[32], 6) AS v32, round(u[64], 6) AS v64, round(list_inner_product(u, u), 6) AS squared_norm
       FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u
         FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 7 + 1)) AS v FROM embeddings))""",
