@@ -19,7 +19,7 @@ from glimmergrid.schemas import THRESHOLD, check_frames
 from glimmergrid.sources.archives import can_seek, entries_at, entries_in, entry_bytes
 from glimmergrid.sources.files import archive_entries, list_files, read_files
 from glimmergrid.sources.frames import SPARK_IMAGES, Decoder, is_image, is_spark_image, read_images, spilled_images, still_decoder
-from glimmergrid.sources.store import load_features
+from glimmergrid.sources.store import LOOKUP, current_version, load_features, replace_version
 from glimmergrid.workspace import written
 
 #: The largest file that Spark is asked to hand over as one value.
@@ -197,28 +197,30 @@ def build_store(told: DataFrame, out: str) -> dict[str, int]:
     """Writes a tagged table as the store ``out``; returns how many features and errors there are.
 
     The expensive pass runs once and writes one table, split by whether a row
-    failed, below ``out/rows``, and the errors once more in ``out/errors``.
+    failed, in ``rows``, and the errors once more in ``errors``, both below the new
+    version's folder. A store that is being read is replaced whole, and may be read
+    to make ``told``.
     """
-    write_tagged(told, f"{out}/rows", f"{out}/errors")
     spark = told.sparkSession
+    replace_version(spark, out, lambda folder: write_tagged(told, f"{folder}/rows", f"{folder}/errors"))
     return {"features": features_of(spark, out).count(), "errors": errors_of(spark, out).count()}
 
 
 def write_tagged(told: DataFrame, rows_path: str, errors_path: str) -> None:
     """Writes the tagged table once, then the small error table from it; features stay where they are."""
     rows = told.select("path", "md5", "vgg16", "stage", "error", F.col("error").isNotNull().alias("failed"))
-    rows.write.mode("overwrite").partitionBy("failed").parquet(rows_path)
+    rows.sortWithinPartitions("failed", "md5").write.mode("overwrite").options(**LOOKUP).partitionBy("failed").parquet(rows_path)
     rows = told.sparkSession.read.schema(rows.schema).parquet(rows_path)
     rows.filter("failed").select("path", "stage", "error").write.mode("overwrite").parquet(errors_path)
 
 
 def features_of(spark: SparkSession, store: str) -> DataFrame:
     """The features of a built store; only that part of the table is read."""
-    return spark.read.schema("path string, md5 string, vgg16 array<float>, failed boolean").parquet(f"{store}/rows").filter("NOT failed").select("path", "md5", "vgg16")
+    return spark.read.schema("path string, md5 string, vgg16 array<float>, failed boolean").parquet(f"{current_version(spark, store)}/rows").filter("NOT failed").select("path", "md5", "vgg16")
 
 
 def errors_of(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema("path string, stage string, error string").parquet(f"{store}/errors")
+    return spark.read.schema("path string, stage string, error string").parquet(f"{current_version(spark, store)}/errors")
 
 
 def first_features(told: DataFrame) -> DataFrame:
