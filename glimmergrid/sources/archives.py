@@ -52,10 +52,42 @@ def _store(path: str):
     return store, "/" + rest.partition("/")[2] if scheme == "hdfs" else rest
 
 
+class StoredFile(io.RawIOBase):
+    """A file of an Arrow client that fails as Python's files do."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        to = at + (0, self.file.tell(), self.file.size())[whence]
+        if to < 0:
+            raise OSError(f"there is no place {to} in a file")
+        return self.file.seek(min(to, self.file.size()))
+
+    def readinto(self, into) -> int:
+        data = self.file.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
 def open_source(path: str) -> BinaryIO:
     """The file at ``path``, for reading at any place, from any of ``SCHEMES``."""
     store, name = _store(path)
-    return store.open_input_file(name)
+    return open(name, "rb") if scheme_of(path) in ("", "file") else stored_file(store, name)
+
+
+def stored_file(store, name: str) -> BinaryIO:
+    return io.BufferedReader(StoredFile(store.open_input_file(name)), 1 << 16)
 
 
 def write_target(path: str, content: bytes) -> None:

@@ -2,8 +2,13 @@
 
 A record is an unsigned 64-bit length, a path of that many bytes, 32 bytes of MD5
 text and ``dimensions`` 32-bit floats, all little-endian. Files have no header
-and no marks between records, so a file is read by one task, as a stream, and
-files can be joined by concatenation.
+and no marks between records, so files can be joined by concatenation.
+
+A large file is still read by many tasks. Each looks for the first place in its
+part from which several records follow each other, and walks from there to the
+first record of the next part. The walks of a file must join: where one ends, the
+next has to begin. One that doesn't join has been misled, and walks again from
+where the last one ended; where a walk meets a broken record, the file ends.
 """
 
 from __future__ import annotations
@@ -24,7 +29,13 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from glimmergrid.schemas import DIMENSIONS
+from glimmergrid.sources.archives import can_seek, open_source
 
+#: Bytes of the parts of large files, and the most that Spark hands over as one value.
+SPLIT_BYTES, MAX_VALUE = 128 << 20, 1 << 30
+#: Records that must follow each other for a place to count as a record's beginning; bytes searched at a time.
+CHAIN, WINDOW = 4, 1 << 20
+WALKS = "path string, length long, start long, end long, known boolean, first long, last long, error string"
 RECORDS = "path string, md5 string, vgg16 array<float>, error string"
 
 
@@ -76,58 +87,149 @@ def parse_records(files: DataFrame, mode: str = "FAILFAST", dimensions: int = DI
     return files.select("path", "content").mapInPandas(parse, RECORDS)
 
 
-def read_feature_records(spark: SparkSession, glob: str, mode: str = "FAILFAST", dimensions: int = DIMENSIONS, large: int = 1 << 30) -> DataFrame:
+def read_feature_records(spark: SparkSession, glob: str, mode: str = "FAILFAST", dimensions: int = DIMENSIONS, large: int = SPLIT_BYTES) -> DataFrame:
     """Features from record files. In PERMISSIVE mode errors are in a column ``error``.
 
-    Files come through Spark's file reader, from any store that Spark reads.
-    That reader holds a file as one value, so files over ``large`` bytes are
-    streamed instead, each by one task that opens it: these must lie in a file
-    system that all executors see.
+    Files of up to ``large`` bytes come through Spark's file reader, from any
+    store that Spark reads. That reader holds a file as one value, so larger ones are
+    opened by the tasks, in parts of ``large`` bytes, from stores that tasks can open;
+    in others the limit is ``MAX_VALUE``.
     """
-    files = spark.read.format("binaryFile").load(glob)
-    found = parse_records(files.filter(F.col("length") <= large), mode, dimensions)
-    # Names of files over the limit only.
-    if names := [r["path"] for r in files.filter(F.col("length") > large).select("path").collect()]:
+    if mode not in ("FAILFAST", "PERMISSIVE"):
+        raise ValueError(f"unknown mode {mode!r}")
+    listed = spark.read.format("binaryFile").load(glob)
+    large = large if can_seek(listed.select("path")) else MAX_VALUE
+    found = parse_records(listed.filter(F.col("length") <= large), mode, dimensions)
+    cut = listed.filter(F.col("length") > large).select("path", "length")
+    if not cut.isEmpty():
         spark.dataSource.register(FeatureRecords)
-        streamed = spark.read.format("feature_records").schema(RECORDS).options(files=json.dumps(names), mode=mode, dimensions=str(dimensions)).load()
+        parts = record_parts(cut, dimensions, max(1, large))
+        streamed = spark.read.format("feature_records").schema(RECORDS).options(parts=json.dumps(parts), mode=mode, dimensions=str(dimensions)).load()
         found = found.unionByName(streamed)
     return found if mode == "PERMISSIVE" else found.drop("error")
 
 
+def record_end(file: BinaryIO, at: int, size: int, dimensions: int) -> int:
+    """Where the record that begins at ``at`` ends; a cut or broken one is an error. Vectors aren't read."""
+    file.seek(at)
+    head = file.read(8)
+    if len(head) < 8:
+        raise ValueError("the last record is cut in its length")
+    (n,) = struct.unpack("<Q", head)
+    end = at + 8 + n + 32 + 4 * dimensions
+    if end > size:
+        raise ValueError(f"a record's path of {n} bytes goes beyond the file")
+    body = file.read(n + 32)
+    if not re.fullmatch(b"[0-9a-f]{32}", body[n:]):
+        raise ValueError("a record's hash isn't 32 hexadecimal digits")
+    body[:n].decode("utf-8")
+    return end
+
+
+def first_record(file: BinaryIO, start: int, end: int, size: int, dimensions: int) -> int | None:
+    """The first place from ``start`` to ``end`` from which ``CHAIN`` records, or all up to the file's end, follow each other."""
+    for base in range(start, end, WINDOW):
+        file.seek(base)
+        data = np.frombuffer(file.read(min(WINDOW, end - base) + 7), np.uint8)
+        places = len(data) - 7
+        if places <= 0:
+            return None
+        # A length of a path is small: its upper six bytes are zero.
+        zero = np.concatenate(([0], np.cumsum(data != 0)))
+        for at in np.flatnonzero(zero[8 : 8 + places] == zero[2 : 2 + places]):
+            place = base + int(at)
+            try:
+                for _ in range(CHAIN):
+                    if place < size:
+                        place = record_end(file, place, size, dimensions)
+            except ValueError:
+                continue
+            return base + int(at)
+    return None
+
+
+def walk(path: str, start: int, end: int, size: int, dimensions: int, known: bool) -> tuple[int | None, int | None, str | None]:
+    """The first record that begins in a part, where the last one that begins there ends, and the error that ended the walk before."""
+    with open_source(path) as file:
+        first = start if known else first_record(file, start, end, size, dimensions)
+        if first is None:
+            return None, None, None
+        at = first
+        try:
+            while at < min(end, size):
+                at = record_end(file, at, size, dimensions)
+        except ValueError as e:
+            return first, at, str(e)
+        return first, at, None
+
+
+def record_parts(files: DataFrame, dimensions: int, part_bytes: int) -> list[tuple[str, int, int, str | None]]:
+    """Parts of files (``path``, ``length``) that begin and end at records: path, start, end, and the error behind the last good record.
+
+    Tasks walk the parts; a row per part comes to the driver, as parts of files do in any scan.
+    """
+    spark = files.sparkSession
+    starts = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(part_bytes).cast("long"))))
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*r, *walk(r[0], r[2], r[3], r[1], dimensions, r[4])) for r in b[["path", "length", "start", "end", "known"]].itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in WALKS.split(", ")]).astype({"first": "Int64", "last": "Int64"})
+
+    def run(asked: DataFrame) -> list:
+        # Every part is a task's work of its own.
+        return asked.repartition(max(spark.sparkContext.defaultParallelism, 1), "path", "start").mapInPandas(walked, WALKS).collect()
+
+    parts = starts.select("path", "length", "start", F.least(F.col("start") + part_bytes, F.col("length")).alias("end"), (F.col("start") == 0).alias("known"))
+    told = {(r["path"], r["end"]): r for r in run(parts)}
+    while True:
+        out, misled, at = [], [], {}
+        for path, end in sorted(told):
+            r, begin = told[path, end], at.get(path, 0)
+            if begin is None or begin >= end:
+                continue
+            if r["first"] != begin:
+                misled.append((path, r["length"], begin, end, True))
+                at[path] = None
+                continue
+            at[path] = r["last"] if r["error"] is None else None
+            out.append((path, begin, r["last"], r["error"]))
+        if not misled:
+            return out
+        told |= {(r["path"], r["end"]): r for r in run(spark.createDataFrame(misled, "path string, length long, start long, end long, known boolean"))}
+
+
 def local_path(path: str) -> str:
     """The path without its scheme; only file systems that all executors mount can be opened this way."""
     scheme, colon, rest = path.partition(":")
     if colon and "/" not in scheme and scheme != "file":
-        raise ValueError(f"record files are written and streamed in a mounted file system, not in {scheme}:")
+        raise ValueError(f"record files are written in a mounted file system, not in {scheme}:")
     return re.sub("^//(?=/)", "", rest) if colon and scheme == "file" else path
 
 
-class RecordFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class RecordPart(InputPartition):
+    def __init__(self, path: str, start: int, end: int, error: str | None):
+        self.path, self.start, self.end, self.error = path, start, end, error
 
 
 class RecordReader(DataSourceReader):
-    """Streams record files, one a task."""
+    """Streams parts of record files, one a task."""
 
-    def __init__(self, files: list[str], mode: str, dimensions: int):
-        self.files, self.mode, self.dimensions = files, mode, dimensions
+    def __init__(self, parts: list[list], mode: str, dimensions: int):
+        self.parts, self.mode, self.dimensions = parts, mode, dimensions
 
     def partitions(self) -> list[InputPartition]:
-        return [RecordFile(f) for f in self.files]
+        return [RecordPart(*p) for p in self.parts]
 
-    def read(self, partition: RecordFile) -> Iterator[tuple]:
-        import os
-
-        name = local_path(partition.path)
-        with open(name, "rb", buffering=1 << 20) as data:
-            try:
-                for path, md5, vector in read_records(data, os.path.getsize(name), self.dimensions):
-                    yield path, md5, vector.tolist(), None
-            except ValueError as e:
-                if self.mode == "FAILFAST":
-                    raise
-                yield partition.path, None, None, str(e)
+    def read(self, partition: RecordPart) -> Iterator[tuple]:
+        with open_source(partition.path) as data:
+            data.seek(partition.start)
+            for path, md5, vector in read_records(data, partition.end - partition.start, self.dimensions):
+                yield path, md5, vector.tolist(), None
+        if partition.error is not None:
+            if self.mode == "FAILFAST":
+                raise ValueError(partition.error)
+            yield partition.path, None, None, partition.error
 
 
 @dataclass
@@ -185,7 +287,7 @@ class FeatureRecords(DataSource):
         return RECORDS
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return RecordReader(json.loads(self.options["files"]), self.options["mode"], int(self.options["dimensions"]))
+        return RecordReader(json.loads(self.options["parts"]), self.options["mode"], int(self.options["dimensions"]))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return RecordWriter(self.options["path"], overwrite)

@@ -226,6 +226,22 @@ def test_onnx_model(tmp_path):
     assert (got == pixels.reshape(2, -1, 3).max(axis=1)).all()
 
 
+def test_files_of_other_stores_behave_like_files(tmp_path):
+    """By Arrow's client of the local store: the way that object stores are read."""
+    from pyarrow import fs
+
+    for name, data in {"none.zip": zipped({}), "two.zip": zipped({"a": GREY, "b": GREY * 999}), "bad.zip": b"\x1f\x8b not a zip"}.items():
+        (tmp_path / name).write_bytes(data)
+        with archives.stored_file(fs.LocalFileSystem(), str(tmp_path / name)) as file:
+            rows = list(archives.directory(name, file, 1 << 20))
+            want = list(archives.directory(name, io.BytesIO(data), 1 << 20))
+            assert rows == want and len(rows) == {"none.zip": 0, "two.zip": 2, "bad.zip": 1}[name]
+            for r in rows:
+                if r[-1] is None:
+                    assert archives.unpacked(file, r[1], r[2], *r[5:10]) == zipfile.ZipFile(io.BytesIO(data)).read(r[1])
+            assert file.seek(0) == 0 and file.read() == data and file.read() == b""
+
+
 def test_write_files(spark, tmp_path):
     files = {"a/b.bin": b"\x00\xff\n", "c": b""}
     assert write_files(contents(spark, files), f"file://{tmp_path}/out") == 2
