@@ -16,7 +16,7 @@ from glimmergrid.functions.pixels import resized
 from glimmergrid.operators.duplicates import exact_duplicates
 from glimmergrid.operators.search import batch_similarity_search, near_duplicate_pairs, ranked, similarity_search, top_k
 from glimmergrid.schemas import THRESHOLD, check_frames
-from glimmergrid.sources.archives import can_seek, entries_at, entries_in, entry_bytes
+from glimmergrid.sources.archives import can_seek, entries_at, entries_in, entry_bytes, frame_ranges
 from glimmergrid.sources.files import archive_entries, list_files, read_files
 from glimmergrid.sources.frames import SPARK_IMAGES, Decoder, is_image, is_spark_image, read_images, spilled_images, still_decoder
 from glimmergrid.sources.store import LOOKUP, current_version, load_features, replace_version
@@ -27,6 +27,8 @@ MAX_FILE = 1 << 30
 #: Bytes of the pieces that archives are dealt out in.
 LEAST_PIECE, MOST_PIECE = 1 << 20, 64 << 20
 BATCH = 32
+#: Frames of a file that are decoded together.
+RANGE_FRAMES = 256
 TAGGED = ["path", "source_path", "entry_ordinal", "frame_index", "md5", "vgg16", "stage", "error"]
 SCHEMA = "path string, source_path string, entry_ordinal long, frame_index long, md5 string, vgg16 array<float>, stage string, error string"
 
@@ -43,13 +45,13 @@ def _made(waiting: list[tuple], predict) -> list[tuple]:
 
 
 def _run(entries: Iterator[tuple], predict, wanted: frozenset[int] | None, decoder: Decoder, images: bool) -> Iterator[pd.DataFrame]:
-    """Features of entries (source, ordinal, path, bytes, error). With ``images``, what Spark's image source reads is passed on as it is, in column ``content``."""
+    """Features of entries (source, ordinal, path, bytes, error, first and last frame or None). With ``images``, what Spark's image source reads is passed on as it is, in column ``content``."""
     waiting: list[tuple] = []
 
     def told(rows: list[tuple], content: bytes | None = None) -> pd.DataFrame:
         return _tagged(rows).assign(content=pd.Series([content] * len(rows), dtype=object)) if images else _tagged(rows)
 
-    for source, nth, path, data, error in entries:
+    for source, nth, path, data, error, first, last in entries:
         stage = "archive" if path != source or archive_name(source) else "read"
         if error is None:
             stage = "decode"
@@ -58,8 +60,9 @@ def _run(entries: Iterator[tuple], predict, wanted: frozenset[int] | None, decod
                     yield told([(path, source, nth, 0, None, None, None, None)], data)
                 continue
             try:
-                for index, image in decoder(data, wanted):
-                    if wanted is None or index in wanted:
+                asked = wanted if first is None else frozenset(i for i in range(first, last) if wanted is None or i in wanted)
+                for index, image in decoder(data, asked):
+                    if asked is None or index in asked:
                         waiting.append((path if index == 0 else f"{path}/{index}", source, nth, index, resized(image)))
                     if len(waiting) == BATCH:
                         yield told(_made(waiting, predict))
@@ -89,7 +92,7 @@ def frame_features(files: DataFrame, make_predict, frames=None, decoder: Decoder
                 for source, content in zip(b["path"], b["content"]):
                     found = archive_entries(source, content) if archive_name(source) else [(None, 0, source, content, None)]
                     for _, nth, path, data, error in found:
-                        yield source, nth, path, data, error
+                        yield source, nth, path, data, error, None, None
 
         yield from _run(entries(), load(), wanted, decoder, False)
 
@@ -120,7 +123,12 @@ def _entry_features(rows: DataFrame, make_predict, frames, decoder: Decoder, ima
     wanted, load = check_frames(frames), shared_model(make_predict)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _run(entry_bytes(batches), load(), wanted, decoder, images)
+        def entries() -> Iterator[tuple]:
+            for row, data, error in entry_bytes(batches):
+                whole = row.first is None or row.first != row.first
+                yield row.source_path, int(row.entry_ordinal), row.path, data, error, *((None, None) if whole else (int(row.first), int(row.last)))
+
+        yield from _run(entries(), load(), wanted, decoder, images)
 
     if not images:
         return written(rows.mapInPandas(run, SCHEMA), "told")
@@ -151,12 +159,18 @@ def features_at(listed: DataFrame, make_predict, frames=None, decoder: Decoder =
     """As ``file_features``, for listed files (``path``, ``length``) that tasks open themselves, of any size.
 
     Only names and places are dealt out, by bytes: an archive is cut into pieces
-    by its directory, and each task seeks to its entries.
+    by its directory, and each task seeks to its entries. A decoder with a function
+    ``count`` (bytes to the number of frames) has files of many frames in ranges of
+    ``RANGE_FRAMES``, each a task's work of its own; a range that fails keeps its frames
+    before the failure and has an error row, the others stay.
     """
     tasks = listed.sparkSession.sparkContext.defaultParallelism
     total = listed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
     piece = min(MOST_PIECE, max(LEAST_PIECE, total // (4 * tasks)))
-    dealt = entries_at(listed, piece).repartition(max(4 * tasks, -(-total // piece)), "source_path", "piece")
+    parts = max(4 * tasks, -(-total // piece))
+    dealt = entries_at(listed, piece).repartition(parts, "source_path", "piece")
+    if count := getattr(decoder, "count", None):
+        dealt = frame_ranges(dealt, count, check_frames(frames), RANGE_FRAMES).repartition(parts, "source_path", "entry_ordinal", "first")
     return _entry_features(dealt, make_predict, frames, decoder, images)
 
 

@@ -14,7 +14,7 @@ import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
@@ -26,7 +26,7 @@ from glimmergrid.functions.paths import archive_name, is_archive
 
 #: A plain file, or an entry as it is, packed by DEFLATE, or by another method of the archive's own.
 STORED, DEFLATED, OTHER = 0, 8, -1
-PACKED = "source_path string, entry_name string, entry_ordinal long, path string, content binary, offset long, packed long, method int, size long, crc long, piece long, error string"
+PACKED = "source_path string, entry_name string, entry_ordinal long, path string, content binary, offset long, packed long, method int, size long, crc long, piece long, error string, first long, last long"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (part.split() for part in PACKED.split(", "))])
 COLUMNS = ARROW.names
@@ -124,12 +124,12 @@ def directory(path: str, file: BinaryIO, piece_bytes: int) -> Iterator[tuple]:
     try:
         infos = [i for i in zipfile.ZipFile(file).infolist() if not i.filename.endswith("/")]
     except Exception as e:
-        yield path, None, 0, path, None, None, None, None, None, None, 0, f"{type(e).__name__}: {e}"
+        yield path, None, 0, path, None, None, None, None, None, None, 0, f"{type(e).__name__}: {e}", None, None
         return
     before = 0
     for nth, i in enumerate(infos):
         plain = i.compress_type in (STORED, DEFLATED) and not i.flag_bits & 1
-        yield path, i.filename, nth, f"{path}/{i.filename.lstrip('/')}", None, i.header_offset, i.compress_size, i.compress_type if plain else OTHER, i.file_size, i.CRC, before // piece_bytes, None
+        yield path, i.filename, nth, f"{path}/{i.filename.lstrip('/')}", None, i.header_offset, i.compress_size, i.compress_type if plain else OTHER, i.file_size, i.CRC, before // piece_bytes, None, None, None
         before += i.compress_size + HEADER
 
 
@@ -175,7 +175,7 @@ def entries_at(listed: DataFrame, piece_bytes: int) -> DataFrame:
                     with open_source(path) as file:
                         yield from directory(path, file, piece_bytes)
                 except OSError as e:
-                    yield path, None, 0, path, None, None, None, None, None, None, 0, f"{type(e).__name__}: {e}"
+                    yield path, None, 0, path, None, None, None, None, None, None, 0, f"{type(e).__name__}: {e}", None, None
 
     archives = listed.filter(is_archive(F.col("path"))).select("path").mapInArrow(lambda batches: batches_of(directories(batches), piece_bytes), PACKED)
     null = {c: F.lit(None).cast(kind) for c, kind in (part.split() for part in PACKED.split(", "))}
@@ -206,39 +206,72 @@ def entries_in(files: DataFrame, piece_bytes: int) -> DataFrame:
                 if archive_name(path):
                     file = io.BytesIO(content)
                     for row in directory(path, file, piece_bytes):
-                        yield row if row[-1] else cut_out(file, row)
+                        yield row if row[11] else cut_out(file, row)
                 else:
-                    yield path, None, 0, path, content, None, None, None, None, None, 0, None
+                    yield path, None, 0, path, content, None, None, None, None, None, 0, None, None, None
 
     return files.select("path", "content").mapInArrow(lambda batches: batches_of(entries(batches), piece_bytes), PACKED)
 
 
 def entry_bytes(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """Source, ordinal, path, bytes and error of the entries of a task, one at a time; a file stays open while its entries follow each other."""
+    """The entries of a task, one at a time, each as its row, its bytes and an error; a file stays open while its entries follow each other."""
     opened, name = None, None
     try:
         for b in rows:
-            for source, entry, nth, path, content, offset, packed, method, size, crc, _, error in b[COLUMNS].itertuples(index=False):
-                data, error = None, error if isinstance(error, str) else None
+            for row in b[COLUMNS].itertuples(index=False):
+                data, error = None, row.error if isinstance(row.error, str) else None
                 if error is None:
                     try:
-                        if content is None and source != name:
+                        if row.content is None and row.source_path != name:
                             if opened:
                                 opened.close()
                             opened, name = None, None
-                            opened, name = open_source(source), source
-                        if entry is None and content is None:
+                            opened, name = open_source(row.source_path), row.source_path
+                        if row.entry_name is None and row.content is None:
                             opened.seek(0)
                             data = opened.read()
-                        elif entry is None:
-                            data = content
-                        elif content is None:
-                            data = unpacked(opened, entry, int(nth), int(offset), int(packed), int(method), int(size), int(crc))
+                        elif row.entry_name is None:
+                            data = row.content
+                        elif row.content is None:
+                            data = unpacked(opened, row.entry_name, *map(int, (row.entry_ordinal, row.offset, row.packed, row.method, row.size, row.crc)))
                         else:
-                            data = inflated(content, int(method), int(size), int(crc))
+                            data = inflated(row.content, int(row.method), int(row.size), int(row.crc))
                     except Exception as e:
                         error = f"{type(e).__name__}: {e}"
-                yield source, int(nth), path, data, error
+                yield row, data, error
     finally:
         if opened:
             opened.close()
+
+
+def frame_ranges(rows: DataFrame, count: Callable[[bytes], int], wanted: frozenset[int] | None, frames: int) -> DataFrame:
+    """Entries of many frames as a row per ``frames`` of them (``first`` to ``last``); ranges without a wanted frame are left out.
+
+    ``count`` tells how many frames a file has; where it fails, the row stays whole.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for row, data, error in entry_bytes(batches):
+            whole = tuple(None if isinstance(x, float) and x != x else x for x in row)
+            try:
+                n = count(data) if error is None else 0
+            except Exception:
+                n = 0
+            starts = sorted({k // frames * frames for k in wanted if k < n}) if wanted is not None else range(0, n, frames)
+            if n <= frames:
+                yield whole
+            for first in starts if n > frames else ():
+                yield (*whole[:-2], first, min(first + frames, n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches_of(map(as_row, cut(batches)), 1 << 20):
+            yield batch.to_pandas()
+
+    return rows.mapInPandas(run, PACKED)
+
+
+def as_row(row: tuple) -> tuple:
+    """A row that came through pandas, with whole numbers again."""
+    return tuple(int(x) if isinstance(x, float) else x for x in row)
+
+

@@ -112,6 +112,65 @@ def test_decoder_that_reads_everything(spark, tree):
     assert len(rows) == 2 * len(WANT) and all(fine for _, fine in rows.values()) and "a.JPG/1" in rows and "x.zip/d/b.jpg/1" in rows
 
 
+def film(log: str, bad: int | None = None):
+    # Local, so that tasks get it by value.
+    class Film:
+        """Frames of one colour, told by their number; ``bad`` fails. Each call notes its process and how many frames it was asked for."""
+
+        def __init__(self, log: str, bad: int | None = None):
+            self.log, self.bad = log, bad
+
+        def count(self, data: bytes) -> int:
+            return int(data)
+
+        def __call__(self, data: bytes, wanted):
+            asked = range(int(data)) if wanted is None else sorted(i for i in wanted if i < int(data))
+            with open(self.log, "a") as f:
+                f.write(f"{os.getpid()} {len(asked)}\n")
+            for i in asked:
+                if i == self.bad:
+                    raise ValueError(f"frame {i}")
+                yield i, np.full((1, 1, 3), i % 200 + 1, np.uint8)
+
+    return Film(log, bad)
+
+
+def small():
+    def make():
+        return lambda batch: batch[:, :3].astype(float)
+
+    return make
+
+
+def test_one_film_is_many_tasks(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.film").write_bytes(b"10000")
+    (root / "b.film").write_bytes(b"3")
+    (root / "x.zip").write_bytes(zipped({"c.film": b"700"}))
+    log = str(tmp_path / "calls")
+    rows = jobs.features_below(spark, str(root), small(), decoder=film(log), images=False)
+    assert rows.filter("error IS NULL").count() == rows.select("path").distinct().count() == 10_703
+    assert rows.filter("path LIKE '%a.film/9999' AND frame_index = 9999").count() == rows.filter("path LIKE '%a.film' AND frame_index = 0").count() == 1
+    calls = [line.split() for line in open(log)]
+    assert len(calls) == 40 + 1 + 3 and max(int(n) for _, n in calls) <= jobs.RANGE_FRAMES and len({p for p, _ in calls}) >= 3
+    # A whitelist leaves out whole ranges.
+    log = str(tmp_path / "fewer")
+    rows = jobs.features_below(spark, str(root), small(), {0, 5, 300, 9999, 20_000}, film(log), images=False)
+    assert sorted(r["path"].rpartition("tree/")[2] for r in rows.collect()) == sorted(["a.film", "a.film/5", "a.film/300", "a.film/9999", "b.film", "x.zip/c.film", "x.zip/c.film/5", "x.zip/c.film/300"])
+    assert sorted(int(line.split()[1]) for line in open(log)) == [1, 1, 1, 1, 2, 2]
+
+
+def test_a_film_that_breaks(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.film").write_bytes(b"600")
+    (root / "n.film").write_bytes(b"no number")
+    rows = jobs.features_below(spark, str(root), small(), decoder=film(str(tmp_path / "log"), 300), images=False)
+    assert rows.filter("error IS NULL").count() == 256 + 44 + 88
+    assert sorted((r["path"].rpartition("/")[2], r["error"]) for r in rows.filter("error IS NOT NULL").collect()) == [("a.film", "ValueError: frame 300"), ("n.film", "ValueError: invalid literal for int() with base 10: b'no number'")]
+
+
 def test_first_image_of_archives(spark, pictures):
     entries = expand_archives(contents(spark, {"x.zip": zipped({"a.txt": b"?", "b.bmp": pictures["bmp"], "c.pgm": GREY}), "p.pgm": GREY}))
     assert {(r["source_path"], r["path"]) for r in first_image(frames.decode_frames(entries)).collect()} == {("x.zip", "x.zip/b.bmp"), ("p.pgm", "p.pgm")}
@@ -135,8 +194,8 @@ def test_one_archive_runs_in_all_tasks(spark, tmp_path, monkeypatch, seek):
     def sums(batches):
         import pandas as pd
 
-        for _, nth, path, data, error in archives.entry_bytes(batches):
-            yield pd.DataFrame({"nth": [nth], "n": [len(data)], "first": [data[11]], "error": [error]})
+        for row, data, error in archives.entry_bytes(batches):
+            yield pd.DataFrame({"nth": [row.entry_ordinal], "n": [len(data)], "first": [data[11]], "error": [error]})
 
     got = archives.entries_at(plain, 1 << 17).mapInPandas(sums, "nth long, n long, first long, error string").agg(F.count("*"), F.sum("n"), F.sum("first"), F.count("error")).first()
     assert list(got) == [10_000, sum(map(len, names.values())), sum(i % 255 + 1 for i in range(10_000)), 0]
@@ -237,7 +296,7 @@ def test_files_of_other_stores_behave_like_files(tmp_path):
             want = list(archives.directory(name, io.BytesIO(data), 1 << 20))
             assert rows == want and len(rows) == {"none.zip": 0, "two.zip": 2, "bad.zip": 1}[name]
             for r in rows:
-                if r[-1] is None:
+                if r[11] is None:
                     assert archives.unpacked(file, r[1], r[2], *r[5:10]) == zipfile.ZipFile(io.BytesIO(data)).read(r[1])
             assert file.seek(0) == 0 and file.read() == data and file.read() == b""
 
