@@ -136,14 +136,32 @@ def near_duplicate_pairs(spark, sf_dir):
     return found.select(F.col("path_a").alias("vec_a"), F.col("path_b").alias("vec_b"), F.round("score", 6).alias("score"))
 
 
-def clustered_pairs(spark, sf_dir):
-    """Similar vectors among clusters: each vector is drawn towards the axis of its label, then cells rule out most pairs."""
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters: each vector is drawn towards the axis of its label."""
     rows = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL")
     drawn = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("label"), 3.0).otherwise(0.0))
-    found = search.near_duplicate_pairs(rows.select("vec_id", l2_normalize(drawn).alias("embedding")), 0.92, block_rows=256, **NAMES)
+    return rows.select("vec_id", l2_normalize(drawn).alias("embedding"))
+
+
+def clustered_pairs(spark, sf_dir):
+    """Similar vectors among clusters, of which cells rule out most pairs."""
+    found = search.near_duplicate_pairs(_drawn(spark, sf_dir), 0.92, block_rows=256, **NAMES)
     return found.select(F.col("path_a").alias("vec_a"), F.col("path_b").alias("vec_b"), F.round("score", 6).alias("score"))
 
 
+def hashed_pairs(spark, sf_dir):
+    """The same pairs by locality-sensitive hashing; with these tables a pair at the threshold is missed once in a million."""
+    found = search.near_duplicate_candidates(_drawn(spark, sf_dir), 0.92, tables=12, **NAMES)
+    return found.select(F.col("path_a").alias("vec_a"), F.col("path_b").alias("vec_b"), F.round("score", 6).alias("score"))
+
+
+def record_parts(spark, sf_dir):
+    """A table written as record files, each of which is read again by several tasks."""
+    folder = shared_path(spark, "records")
+    records.write_feature_records(_features(spark, sf_dir).coalesce(1), folder)
+    return _scalars(records.read_feature_records(spark, f"{folder}/*.db", dimensions=64, large=20_000))
+
+
 def l2_normalized(spark, sf_dir):
     """Vectors of many lengths brought back to length one."""
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7 + 1))
@@ -438,6 +456,7 @@ QUERIES = {
     "top_k": top_k,
     "near_duplicate_pairs": near_duplicate_pairs,
     "clustered_pairs": clustered_pairs,
+    "hashed_pairs": hashed_pairs,
     "l2_normalize": l2_normalized,
     "content_md5": content_hashes,
     "exact_duplicates": exact_duplicates,
@@ -448,6 +467,7 @@ QUERIES = {
     "archive_routing": archive_routing,
     "store_roundtrip": store_roundtrip,
     "record_roundtrip": record_roundtrip,
+    "record_parts": record_parts,
     "count_features": count_features,
     "list_files": list_files,
     "read_files": read_files,
@@ -491,15 +511,18 @@ _ALIKE = f"""SELECT a.vec_id AS a, b.vec_id AS b, 'img/' || a.vec_id || '.pgm' A
   a.u[1] * b.u[1] + a.u[2] * b.u[2] + a.u[3] * b.u[3] + a.u[4] * b.u[4] AS s FROM ({_UNITS}) a, ({_UNITS}) b"""
 _FOLDERS = "SELECT lang, sum(strlen(text) + 1)::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang"
 
+_CLUSTERED = """WITH d AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = label + 1 THEN 3.0 ELSE 0.0 END) AS v FROM embeddings),
+  u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM d)
+  SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_inner_product(a.u, b.u), 6) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_inner_product(a.u, b.u) >= 0.92::DOUBLE"""
+
 ORACLES = {
     "similarity_search": f"SELECT vec_id, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id = 0) WHERE s >= 0.2::DOUBLE",
     "batch_similarity_search": f"SELECT query_id, vec_id, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id % 20 = 0) WHERE s >= 0.3::DOUBLE",
     "top_k": f"""SELECT query_id, vec_id, rank, round(s, 6) AS score FROM (SELECT *,
       row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM ({_SCORES} WHERE a.vec_id % 20 = 0) WHERE s >= 0) WHERE rank <= 10""",
     "near_duplicate_pairs": f"SELECT query_id AS vec_a, vec_id AS vec_b, round(s, 6) AS score FROM ({_SCORES} WHERE a.vec_id < b.vec_id) WHERE s >= 0.3::DOUBLE",
-    "clustered_pairs": """WITH d AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = label + 1 THEN 3.0 ELSE 0.0 END) AS v FROM embeddings),
-      u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM d)
-      SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_inner_product(a.u, b.u), 6) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_inner_product(a.u, b.u) >= 0.92::DOUBLE""",
+    "clustered_pairs": _CLUSTERED,
+    "hashed_pairs": _CLUSTERED,
     "l2_normalize": """SELECT vec_id, round(u[1], 6) AS v1, round(u[32], 6) AS v32, round(u[64], 6) AS v64, round(list_inner_product(u, u), 6) AS squared_norm
       FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u
         FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 7 + 1)) AS v FROM embeddings))""",
@@ -514,6 +537,7 @@ ORACLES = {
       CASE doc_id % 7 WHEN 0 THEN '.zip' WHEN 1 THEN '.ZIP' WHEN 2 THEN '.gz' WHEN 3 THEN '.png' WHEN 4 THEN '.tar.xz' WHEN 5 THEN '' ELSE '/' END AS e FROM documents)""",
     "store_roundtrip": f"{_STORED} UNION ALL {_STORED}",
     "record_roundtrip": _STORED,
+    "record_parts": _STORED,
     "count_features": "SELECT count(*) AS n FROM embeddings",
     "expand_archives": """SELECT 'zip/' || doc_id // 10 || '.zip' AS source_path, 'd/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS entry_name,
       'zip/' || doc_id // 10 || '.zip/d/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS path, md5(coalesce(text, '')) AS md5 FROM documents""",
