@@ -229,9 +229,12 @@ def deal_pairs(features: DataFrame, t: float = THRESHOLD, *, path_col: str = "pa
     length = F.sqrt(squared_norm(F.col("vector")))
     rows = rows.filter(~F.isnan(length) & (length > 0) if t > 0 else ~F.isnan(length))
     count = rows.count()
+    wanted = min(max_cells, math.ceil(count / block_rows))
+    if wanted < 2:
+        return Dealt(rows.select("path", "vector", F.lit(0).alias("cell"), F.lit(False).alias("guest")), {0: count} if count else {}, {})
     share = min(1.0, 2 * sample_rows / max(1, count))
     picked = rows.filter(F.pmod(F.xxhash64("path"), F.lit(1_000_000)) < 1_000_000 * share).select("vector").limit(sample_rows).toPandas()
-    cells = Cells(_directions(_matrix(picked["vector"]) if len(picked) else np.zeros((1, 1)), max(1, min(max_cells, math.ceil(count / block_rows)))), np.zeros(0), np.zeros(0))
+    cells = Cells(_directions(_matrix(picked["vector"]) if len(picked) else np.zeros((1, 1)), wanted), np.zeros(0), np.zeros(0))
     kind = dict(rows.dtypes)["path"]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
