@@ -134,22 +134,29 @@ def best_in_windows(block: pd.DataFrame, asked: pd.DataFrame, k: int, same: bool
     """Each window's best ``k`` rows of one block: rows of the anchor's label (``same``) or of others, never of its id."""
     block = block.sort_values("id", kind="stable")
     ids, labels, vectors = block["id"].to_numpy(), block["label"].to_numpy(), matrix(block["vector"])
-    out = []
+    told: list[tuple[int, int, int]] = []
+    found = [np.zeros(0, np.int64)]
+    points = [np.zeros(0, np.int64)]
     for at in range(0, len(asked), SCORED):
         some = asked.iloc[at : at + SCORED]
         scores = inner_products(matrix(some["vector"]), vectors)
         names, own = some["query_id"].to_numpy(), some["label"].to_numpy()
         fits = ((own[:, None] == labels[None, :]) == same) & (names[:, None] != ids[None, :])
+        fits &= scores >= np.array([min(lows) for lows in some["lows"]])[:, None]
         for n, (windows, lows, highs) in enumerate(zip(some["windows"], some["lows"], some["highs"])):
             rows = np.flatnonzero(fits[n])
             # Rows are sorted by id, so a stable order settles ties.
             rows = rows[np.argsort(-scores[n, rows], kind="stable")]
             falling = -scores[n, rows]
-            for window, low, high in zip(windows, lows, highs):
-                first, last = np.searchsorted(falling, -high, "left"), np.searchsorted(falling, -low, "right")
-                chosen = rows[first : min(last, first + k)]
-                out.append(pd.DataFrame({"query_id": names[n], "window": window, "id": ids[chosen], "score": scores[n, chosen]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "window": [], "id": [], "score": []})
+            firsts, lasts = np.searchsorted(falling, -np.asarray(highs), "left"), np.searchsorted(falling, -np.asarray(lows), "right")
+            for window, first, last in zip(windows, firsts, np.minimum(lasts, firsts + k)):
+                if first < last:
+                    told.append((names[n], window, last - first))
+                    found.append(rows[first:last])
+                    points.append(falling[first:last])
+    queries, windows, counts = np.array(told, np.int64).reshape(-1, 3).T
+    chosen = np.concatenate(found)
+    return pd.DataFrame({"query_id": np.repeat(queries, counts), "window": np.repeat(windows, counts), "id": ids[chosen], "score": -np.concatenate(points)})
 
 
 @dataclass
