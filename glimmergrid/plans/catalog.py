@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
