@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from glimmergrid.schemas import THRESHOLD, check_frames
 from glimmergrid.sources.archives import can_seek, entries_at, entries_in, entry_bytes, frame_ranges
 from glimmergrid.sources.files import archive_entries, list_files, read_files
 from glimmergrid.sources.frames import SPARK_IMAGES, Decoder, is_image, is_spark_image, read_images, spilled_images, still_decoder
-from glimmergrid.sources.store import LOOKUP, current_version, load_features, replace_version
+from glimmergrid.sources.store import LOOKUP, load_features, replace_version, store_parts
 from glimmergrid.workspace import written
 
 #: The largest file that Spark is asked to hand over as one value.
@@ -229,12 +230,15 @@ def write_tagged(told: DataFrame, rows_path: str, errors_path: str) -> None:
 
 
 def features_of(spark: SparkSession, store: str) -> DataFrame:
-    """The features of a built store; only that part of the table is read."""
-    return spark.read.schema("path string, md5 string, vgg16 array<float>, failed boolean").parquet(f"{current_version(spark, store)}/rows").filter("NOT failed").select("path", "md5", "vgg16")
+    """The features of a store, built or streamed; only that part of the table is read."""
+    schema = "path string, md5 string, vgg16 array<float>, failed boolean"
+    parts = [spark.read.schema(schema).parquet(p).filter("NOT failed").select("path", "md5", "vgg16") for p in store_parts(spark, store, "rows")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def errors_of(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema("path string, stage string, error string").parquet(f"{current_version(spark, store)}/errors")
+    parts = [spark.read.schema("path string, stage string, error string").parquet(p).select("path", "stage", "error") for p in store_parts(spark, store, "errors")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def first_features(told: DataFrame) -> DataFrame:

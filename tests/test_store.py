@@ -9,6 +9,7 @@ from glimmergrid.functions.embedding import stub_model
 from glimmergrid.operators.selection import find_by_md5
 from glimmergrid.plans import jobs
 from glimmergrid.sources import store
+from glimmergrid.streaming.ingest import arriving_files, stream_build
 
 MODEL = stub_model()
 
@@ -82,6 +83,18 @@ def test_a_built_store_is_replaced_whole(spark, tmp_path):
     assert {r["path"] for r in reader.collect()} == {"a.pgm", "b.pgm"} and jobs.features_of(spark, out).first()["path"] == "c.pgm"
 
 
+def test_a_built_store_is_added_to_by_streams(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "store")
+    root.mkdir()
+    (root / "a.pgm").write_bytes(b"P5 1 1 255\n\x05")
+    (root / "bad").write_bytes(b"?")
+    assert jobs.build(spark, str(root), out, MODEL) == {"features": 1, "errors": 1}
+    (root / "b.pgm").write_bytes(b"P5 1 1 255\n\x09")
+    stream_build(arriving_files(spark, str(root)), out, str(tmp_path / "at"), MODEL).awaitTermination()
+    names = sorted(r["path"].rpartition("/")[2] for r in jobs.features_of(spark, out).collect())
+    assert names == ["a.pgm", "a.pgm", "b.pgm"] and jobs.errors_of(spark, out).count() == 2
+
+
 def scanned(df) -> int:
     """Rows that come out of the table's scan."""
     df.collect()
