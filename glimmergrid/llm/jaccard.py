@@ -7,13 +7,16 @@ meet there are verified on their full n-gram sets.
 
 1. Texts with equal sets form a class; from here on a class is one row, however
    many copies it has.
-2. Classes that share a band are linked to the least class of that band. The
-   connected components of these links hold every candidate pair, and are linear
-   in the number of classes, where the pairs of a large band would not be.
-3. Each component is verified exactly, all its members against each other, in
-   blocks: large ones are cut into blocks, by rows and by bytes, that meet
-   pairwise. Blocks hold n-gram sets, not texts. A task returns link counts and a
-   spanning forest of the links, never the pairs.
+2. In a band every class is compared with the band's least class, then those that
+   are unlike it with all of the band, in blocks. Two classes are alike if the
+   sizes of their sets allow the threshold and enough of their MinHash values
+   agree; a pair at the threshold fails that with a tenth of the probability with
+   which it meets in no band. So chance meetings don't chain, and a large band of
+   like texts costs one comparison a member.
+3. Each connected component of like classes is verified exactly, all its members
+   against each other, in blocks: large ones are cut into blocks, by rows and by
+   bytes, that meet pairwise. Blocks hold n-gram sets, not texts. A task returns
+   link counts and a spanning forest of the links, never the pairs.
 4. The forests' components are the near-duplicate classes.
 
 Defined results: null and empty texts, and texts without a word, have no n-grams
@@ -44,6 +47,8 @@ BLOCK = 1024
 COLUMNS = 4096
 #: Bytes of n-gram sets up to which a block is verified in one task (a longer set is a block of its own).
 BLOCK_BYTES = 64 << 20
+#: Rows of small bands that a task compares at a time, more or less.
+GROUP_ROWS = 8192
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 12) -> tuple[int, int]:
@@ -61,6 +66,19 @@ def choose_bands(threshold: float, recall: float, most_rows: int = 12) -> tuple[
     return min(shapes)[1:] if shapes else (math.ceil(math.log(1 - recall) / math.log(1 - threshold)), 1)
 
 
+def least_agreement(threshold: float, hashes: int, miss: float) -> int:
+    """The most of ``hashes`` MinHash values that a pair at the threshold fails to agree in with a probability of at most ``miss``."""
+    if not 0 < threshold < 1:
+        return hashes if threshold >= 1 else 0
+    below = 0.0
+    for c in range(hashes):
+        ways = math.lgamma(hashes + 1) - math.lgamma(c + 1) - math.lgamma(hashes - c + 1)
+        below += math.exp(ways + c * math.log(threshold) + (hashes - c) * math.log(1 - threshold))
+        if below > miss:
+            return c
+    return hashes
+
+
 def ngram_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word n-grams."""
     b = as_bytes((text or "").lower())
@@ -82,7 +100,7 @@ def set_name(grams: np.ndarray) -> str:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) -> DataFrame:
-    """``id``, ``k1``, ``k2``, ``node`` (name of the set; null if it is empty) and the band hashes of every document."""
+    """``id``, ``k1``, ``k2``, ``node`` (name of the set; null if it is empty), its size ``grams``, band hashes and a byte of every MinHash value."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     offsets = rng.integers(1 << 63, size=bands * rows, dtype=np.uint64)
@@ -90,12 +108,14 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) -
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            nodes, keys = [], []
+            nodes, sizes, keys, bytes_ = [], [], [], []
             for text in b["text"]:
                 grams = ngram_set(text, n)
                 nodes.append(set_name(grams) if len(grams) else None)
+                sizes.append(len(grams))
                 if not len(grams):
                     keys.append(None)
+                    bytes_.append(None)
                     continue
                 least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
                 for k in range(0, len(grams), 4096):
@@ -104,10 +124,68 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) -
                 for part in least.reshape(bands, rows).T:
                     band = mixed(band + part)
                 keys.append(band.astype(np.int64))
-            yield pd.DataFrame({"id": b["id"], "k1": b["k1"], "k2": b["k2"], "node": nodes, "bands": keys})
+                bytes_.append((mixed(least) & np.uint64(255)).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"id": b["id"], "k1": b["k1"], "k2": b["k2"], "node": nodes, "grams": sizes, "bands": keys, "agree": bytes_})
 
     kind = dict(docs.dtypes)["id"]
-    return spread(docs).mapInPandas(sign, f"id {kind}, k1 long, k2 long, node string, bands array<long>")
+    return spread(docs).mapInPandas(sign, f"id {kind}, k1 long, k2 long, node string, grams long, bands array<long>, agree binary")
+
+
+def like_classes(classes: DataFrame, hashes: int, least: int, threshold: float, block: int) -> DataFrame:
+    """``a`` and ``b``: links whose components hold every two classes that share a band and are alike.
+
+    ``classes`` has ``short``, ``grams``, ``bands`` and ``agree``, one row per class.
+    """
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), hashes)
+
+    def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(a, b) + 1e-9 >= threshold * np.maximum(a, b)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            same = (matrix(b["agree"]) == matrix(b["head_agree"])).sum(axis=1)
+            b["like"] = (same >= least) & sized(b["grams"].to_numpy(), b["head_grams"].to_numpy())
+            yield b[["band", "head", "node", "grams", "agree", "like"]]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, band in pdf.groupby("band", sort=False):
+            some, rest = band["rest"].to_numpy(), matrix(band["agree"])
+            nodes, sizes = band["node"].to_numpy(), band["grams"].to_numpy()
+            same = np.zeros((some.sum(), (~some).sum()), np.int16)
+            for x, y in zip(rest[some].T, rest[~some].T):
+                same += x[:, None] == y[None, :]
+            like = (same >= least) & sized(sizes[some][:, None], sizes[~some][None, :])
+            # Every class of the rest is also one of all, so more than one like row or column is a link.
+            links = np.zeros((len(band), len(band)), bool)
+            links[np.ix_(some, ~some)] = like
+            links |= links.T
+            out.append(pd.DataFrame({"a": nodes, "b": nodes[forest(links)]}).query("a != b"))
+        return pd.concat(out)
+
+    met = classes.select(F.col("short").alias("node"), F.explode("bands").alias("band"))
+    # Tables of one row per key are written first: both sides of a join are then plain shuffles, and a hot key's rows can be split.
+    heads = materialize(met.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("band", "head"), "heads")
+    known = classes.select(F.col("short").alias("node"), "grams", "agree")
+    pivots = materialize(heads.join(known.toDF("head", "head_grams", "head_agree"), "head"), "pivots")
+    told = materialize(met.join(pivots, "band").join(known, "node").mapInPandas(meet, "band long, head long, node long, grams long, agree binary, like boolean"), "told")
+    starred = told.filter("like AND node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    # A band's unlike classes, the rest, meet all others of the band; bands of two have said everything.
+    unlike = told.groupBy("band").agg(F.count_if(~F.col("like")).alias("n_rest"), F.count(F.lit(1)).alias("n")).filter("n_rest > 0 AND n > 2")
+    parts = [F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("n_rest", "n")]
+    unlike = materialize(unlike.select("band", F.col("n").alias("held"), *parts), "unlike")
+    small = unlike.filter("n = 1").agg(F.sum("held")).first()[0] or 0
+    nth = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    open_ = told.join(unlike, "band")
+    every = open_.select("band", "node", "grams", "agree", F.lit(False).alias("rest"), each("n_rest").alias("i"), nth("n").alias("j"), "n")
+    rest = open_.filter(~F.col("like")).select("band", "node", "grams", "agree", F.lit(True).alias("rest"), nth("n_rest").alias("i"), each("n").alias("j"), "n")
+    # Bands of one block share a group with some others, as most are very small.
+    group = F.when(F.col("n") > 1, F.col("band")).otherwise(F.pmod("band", F.lit(small // GROUP_ROWS + 1)))
+    dealt = every.unionByName(rest).withColumn("group", group)
+    return starred.unionByName(dealt.groupBy("group", "n", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -194,16 +272,13 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     bands, rows = choose_bands(threshold, recall)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col))
     signed = materialize(signatures(texts, n, bands, rows), "signatures")
-    own = F.min(F.struct("k1", "k2")).alias("own")
-    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), own)
+    same = [F.first(c).alias(c) for c in ("grams", "bands", "agree")]
+    classes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("k1", "k2")).alias("own"), *same)
     # Candidates go by 64-bit names: if two texts shared one, their candidates would be verified together.
-    met = signed.filter("node IS NOT NULL").select(F.xxhash64("node").alias("node"), F.explode("bands").alias("band")).distinct()
-    # Tables of one row per key are written first: both sides of a join are then plain shuffles, and a hot key's rows can be split.
-    heads = materialize(met.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "heads")
-    linked = met.join(heads, "band").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    found = materialize(connected_components(linked), "candidates")
-    named = classes.select("node", "own.*", F.xxhash64("node").alias("short"))
-    wanted = materialize(found.withColumnRenamed("node", "short").join(named, "short").select("root", "node", "k1", "k2"), "wanted")
+    classes = materialize(classes.withColumn("short", F.xxhash64("node")), "classes")
+    least = least_agreement(threshold, bands * rows, (1 - recall) / 10)
+    found = materialize(connected_components(like_classes(classes, bands * rows, least, threshold, block)), "candidates")
+    wanted = materialize(found.withColumnRenamed("node", "short").join(classes.select("node", "own.*", "short"), "short").select("root", "node", "k1", "k2"), "wanted")
     # A set is verified once, by one of the rows that hold it; rows that repeat id and text are combined before they move on.
     one_each = texts.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).groupBy("root", "node").agg(F.min("text").alias("text"))
     sets = materialize(gram_sets(one_each, n), "sets")
@@ -211,9 +286,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links = materialize(verify(sets.join(materialize(sizes, "sizes"), "root"), threshold), "links")
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     near = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = classes.drop("own").join(near, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    told = materialize(named.join(least, "root").select("node", "root", "class_id", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    named = classes.select("node", "copy_of", "n_copies").join(near, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    told = materialize(named.join(first, "root").select("node", "root", "class_id", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     return signed.select("id", "k1", "k2", "node").join(told, "node", "left").select(
         F.col("id").alias(id_col), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("copy_of")).alias("copy_of"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -166,6 +167,28 @@ def test_jaccard(spark, block):
         assert got[i]["n_copies"] == (sets.count(s) if s else 1)
 
 
+def test_least_agreement():
+    c = jaccard.least_agreement(0.8, 110, 2e-5)
+    tail = lambda top: sum(math.comb(110, k) * 0.8**k * 0.2 ** (110 - k) for k in range(top))
+    assert tail(c) <= 2e-5 < tail(c + 1)
+    assert jaccard.least_agreement(1.0, 10, 1e-5) == 10 and jaccard.least_agreement(0.5, 4000, 1e-5) < 2000
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_chance_meetings_do_not_chain(spark, block):
+    """Texts that share two thirds of their words meet in bands, but only planted pairs are verified together."""
+    rng = random.Random(3)
+    shared = prose(1, 120)
+    texts = [f"{shared} {prose(100 + i, 60)}" for i in range(60)]
+    pairs = rng.sample(range(60), 10)
+    texts += [texts[i] + " more" for i in pairs]
+    signed = jaccard.signatures(frame(spark, texts).select(F.col("doc_id").alias("id"), "text", F.lit(0).alias("k1"), F.lit(0).alias("k2")), 5, 22, 5)
+    classes = signed.select(F.col("id").alias("short"), "grams", "bands", "agree")
+    least = jaccard.least_agreement(0.8, 110, 2e-5)
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in jaccard.like_classes(classes, 110, least, 0.8, block).collect()}
+    assert links == {(i, 60 + n) for n, i in enumerate(pairs)}
+
+
 def test_odd_jaccard(spark):
     docs = frame(spark, ODD).union(frame(spark, ["other text of this id"], start=3)).union(frame(spark, ["a"], start=4))
     got = jaccard.jaccard_join(docs).collect()
