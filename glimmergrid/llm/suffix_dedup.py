@@ -333,10 +333,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets, equal = split_buckets(materialize(around, "around"), width, bucket_rows)
     shared = repeated_windows(buckets, width)
     shared = materialize(shared if equal is None else shared.unionByName(equal), "windows")
-    at = dealt.select("id", "mark", "text", "nths").mapInPandas(surround(False), f"id {kind}, mark long, at long, h1 long, place long")
+    # Rows of whole copies go as they are; an id and a text that are no copy are one row, whose hits are gathered.
+    lone = dealt.join(copied, (dealt["id"].eqNullSafe(copied["id"])) & (dealt["mark"] == copied["mark"]), "left_anti")
+    at = lone.select("id", "mark", "text", "nths").mapInPandas(surround(False), f"id {kind}, mark long, at long, h1 long, place long")
     hits = at.join(shared, ["h1", "place"]).select("id", "mark", F.struct("at", "shared").alias("hit"))
     hits = hits.groupBy("id", "mark").agg(F.collect_list("hit").alias("hits"))
-    verdict = hits.join(copied, (hits["id"].eqNullSafe(copied["id"])) & (hits["mark"] == copied["mark"]), "left_anti").select("id", "mark", "hits", F.lit(False).alias("all"))
+    verdict = hits.select("id", "mark", "hits", F.lit(False).alias("all"))
     empty = F.array().cast(dict(hits.dtypes)["hits"])
     verdict = verdict.unionByName(copied.select("id", "mark", empty.alias("hits"), F.lit(True).alias("all")))
 
