@@ -40,7 +40,7 @@ def scheme_of(path: str) -> str:
     return scheme if colon and "/" not in scheme else ""
 
 
-def _store(path: str):
+def store_of(path: str):
     """Arrow's client for a path's store, and the path there."""
     from pyarrow import fs
 
@@ -82,7 +82,7 @@ class StoredFile(io.RawIOBase):
 
 def open_source(path: str) -> BinaryIO:
     """The file at ``path``, for reading at any place, from any of ``SCHEMES``."""
-    store, name = _store(path)
+    store, name = store_of(path)
     return open(name, "rb") if scheme_of(path) in ("", "file") else stored_file(store, name)
 
 
@@ -92,7 +92,7 @@ def stored_file(store, name: str) -> BinaryIO:
 
 def write_target(path: str, content: bytes) -> None:
     """A file at ``path`` in any of ``SCHEMES``; it appears under its name when it is complete."""
-    store, name = _store(path)
+    store, name = store_of(path)
     folder, _, last = name.rpartition("/")
     store.create_dir(folder, recursive=True)
     waiting = f"{folder}/_{last}-{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from glimmergrid.schemas import DIMENSIONS
-from glimmergrid.sources.archives import can_seek, open_source
+from glimmergrid.sources.archives import SCHEMES, can_seek, open_source, scheme_of, store_of
 
 #: Bytes of the parts of large files, and the most that Spark hands over as one value.
 SPLIT_BYTES, MAX_VALUE = 128 << 20, 1 << 30
@@ -199,14 +199,6 @@ def record_parts(files: DataFrame, dimensions: int, part_bytes: int) -> list[tup
         told |= {(r["path"], r["end"]): r for r in run(spark.createDataFrame(misled, "path string, length long, start long, end long, known boolean"))}
 
 
-def local_path(path: str) -> str:
-    """The path without its scheme; only file systems that all executors mount can be opened this way."""
-    scheme, colon, rest = path.partition(":")
-    if colon and "/" not in scheme and scheme != "file":
-        raise ValueError(f"record files are written in a mounted file system, not in {scheme}:")
-    return re.sub("^//(?=/)", "", rest) if colon and scheme == "file" else path
-
-
 class RecordPart(InputPartition):
     def __init__(self, path: str, start: int, end: int, error: str | None):
         self.path, self.start, self.end, self.error = path, start, end, error
@@ -238,46 +230,105 @@ class Written(WriterCommitMessage):
     records: int
 
 
+class RecordFolder:
+    """A folder of record files in any store that tasks can open, changed in two phases.
+
+    Tasks write below ``_staged``, where no reader looks. A commit first writes its
+    manifest, one file with the names to bring in and those to remove. From then on it holds:
+    whoever finds the manifest does what it says, however often it was begun.
+    Before, it is as if nothing had been written.
+    """
+
+    def __init__(self, path: str, store=None):
+        self.path = path
+        self.store, self.root = (store, path) if store is not None else store_of(path)
+        self.root = self.root.rstrip("/")
+
+    def staged(self, job: str) -> str:
+        return f"{self.root}/_staged/{job}"
+
+    def files(self, below: str = "") -> list[str]:
+        from pyarrow import fs
+
+        found = self.store.get_file_info(fs.FileSelector(self.root + below, allow_not_found=True))
+        return sorted(f.base_name for f in found if f.type == fs.FileType.File)
+
+    def exists(self, at: str) -> bool:
+        from pyarrow import fs
+
+        return self.store.get_file_info(at).type == fs.FileType.File
+
+    def publish(self, job: str, names: list[str], overwrite: bool) -> None:
+        """Makes the staged files ``names`` the folder's, beside its own or in their place."""
+        self.recover()
+        old = [n for n in self.files() if n.endswith(".db")] if overwrite else []
+        told = json.dumps({"job": job, "bring": names, "remove": old}).encode()
+        self.store.create_dir(f"{self.root}/_manifests", recursive=True)
+        # Stores differ in whether a half-written file can be seen, so it says itself whether it is whole.
+        with self.store.open_output_stream(f"{self.root}/_manifests/{job}") as out:
+            out.write(told + b"\n")
+        self.apply(job)
+
+    def apply(self, job: str) -> None:
+        """Does what a manifest says. What was done already is passed over."""
+        manifest = f"{self.root}/_manifests/{job}"
+        with self.store.open_input_file(manifest) as file:
+            told = file.read()
+        if told.endswith(b"\n"):
+            change = json.loads(told)
+            for name in change["bring"]:
+                if self.exists(at := f"{self.staged(job)}/{name}"):
+                    self.store.move(at, f"{self.root}/{name}")
+                elif not self.exists(f"{self.root}/{name}"):
+                    raise FileNotFoundError(f"{at} was written, but is gone")
+            for name in change["remove"]:
+                if self.exists(at := f"{self.root}/{name}"):
+                    self.store.delete_file(at)
+        self.discard(job)
+        self.store.delete_file(manifest)
+
+    def recover(self) -> int:
+        """Finishes commits that were cut off; returns how many there were."""
+        jobs = self.files("/_manifests")
+        for job in jobs:
+            self.apply(job)
+        return len(jobs)
+
+    def discard(self, job: str) -> None:
+        """Removes what a job has staged, attempts that were lost included."""
+        from pyarrow import fs
+
+        if self.store.get_file_info(at := self.staged(job)).type == fs.FileType.Directory:
+            self.store.delete_dir(at)
+
+
 class RecordWriter(DataSourceWriter):
-    """One file a task, given its final name when it is complete."""
+    """One file a task; the driver publishes those of the attempts that count."""
 
-    def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.job, self.overwrite = local_path(folder), uuid.uuid4().hex, overwrite
+    def __init__(self, folder: str, overwrite: bool, store=None):
+        self.folder, self.job, self.overwrite, self.store = folder, uuid.uuid4().hex, overwrite, store
 
-    def write(self, rows) -> Written:
-        import os
+    def _folder(self) -> RecordFolder:
+        return RecordFolder(self.folder, self.store)
 
-        os.makedirs(self.folder, exist_ok=True)
-        name, n = f"part-{uuid.uuid4().hex}.{self.job}", 0
-        with open(os.path.join(self.folder, f"_{name}"), "wb") as out:
+    def write(self, rows) -> Written:
+        at, name, n = self._folder(), f"part-{uuid.uuid4().hex}.db", 0
+        at.store.create_dir(at.staged(self.job), recursive=True)
+        with at.store.open_output_stream(f"{at.staged(self.job)}/{name}", buffer_size=1 << 20) as out:
             for r in rows:
                 out.write(record_bytes(r["path"], r["md5"], r["vgg16"]))
                 n += 1
         return Written(name, n)
 
     def commit(self, messages) -> None:
-        import os
-
-        old = [p for p in os.listdir(self.folder) if p.endswith(".db")] if self.overwrite else []
-        for m in filter(None, messages):
-            at = os.path.join(self.folder, f"_{m.name}")
-            if m.records:
-                os.replace(at, os.path.join(self.folder, m.name.removesuffix(f".{self.job}") + ".db"))
-            else:
-                os.remove(at)
-        for p in old:
-            os.remove(os.path.join(self.folder, p))
+        self._folder().publish(self.job, [m.name for m in messages if m and m.records], self.overwrite)
 
     def abort(self, messages) -> None:
-        import os
-
-        for m in filter(None, messages):
-            if os.path.exists(at := os.path.join(self.folder, f"_{m.name}")):
-                os.remove(at)
+        self._folder().discard(self.job)
 
 
 class FeatureRecords(DataSource):
-    """Spark's format ``feature_records``: streams large files, and writes a folder. Both must be where all executors see them."""
+    """Spark's format ``feature_records``: streams large files, and writes a folder, in stores that tasks can open."""
 
     @classmethod
     def name(cls) -> str:
@@ -305,9 +356,24 @@ def to_records(df: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return df.select("path", "md5", "vgg16").mapInPandas(encode, "path string, content binary")
 
 
-def write_feature_records(df: DataFrame, folder: str) -> None:
-    """Replaces the record files of ``folder``, one a partition."""
-    local_path(folder)
+def recover_records(folder: str) -> int:
+    """Finishes writes into ``folder`` whose driver was lost while it published them; returns how many there were.
+
+    The next write does so by itself. No write into the folder may be running.
+    """
+    return RecordFolder(folder).recover()
+
+
+def write_feature_records(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """Writes the record files of ``folder``, one a partition, in their place (``overwrite``) or beside them (``append``).
+
+    The folder is in any store that tasks can open. Partitions without rows make
+    no file. One write into a folder may run at a time.
+    """
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if scheme_of(folder) not in SCHEMES:
+        raise ValueError(f"record files are written in a mounted file system or a store that tasks can open, not in {scheme_of(folder)}:")
     df.sparkSession.dataSource.register(FeatureRecords)
     rows = df.select(F.col("path"), F.col("md5"), F.col("vgg16").cast("array<float>").alias("vgg16"), F.lit(None).cast("string").alias("error"))
-    rows.write.format("feature_records").mode("overwrite").option("path", folder).save()
+    rows.write.format("feature_records").mode(mode).option("path", folder).save()

@@ -242,8 +242,11 @@ def test_files_are_decoded_once(spark, tree):
     assert plan.count("MapInPandas") == 1 and "Exchange" not in plan
 
 
-def test_records_need_a_mounted_file_system(spark):
+def test_records_need_a_store_that_tasks_can_open(spark, tmp_path):
     rows = spark.createDataFrame([("a", "0" * 32, [1.0])], "path string, md5 string, vgg16 array<float>")
     with pytest.raises(ValueError, match="mounted"):
-        records.write_feature_records(rows, "s3a://bucket/records")
-    assert records.local_path("file:///a/b") == records.local_path("file:/a/b") == records.local_path("/a/b") == "/a/b"
+        records.write_feature_records(rows, "wasb://bucket/records")
+    with pytest.raises(ValueError, match="mode"):
+        records.write_feature_records(rows, str(tmp_path), "ignore")
+    for path in ("file:///a/b", "file:/a/b", "/a/b", "/a/b/"):
+        assert records.RecordFolder(path).root == "/a/b"
