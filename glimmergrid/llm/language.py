@@ -11,12 +11,12 @@ others. A text's language is the one with the lowest cross-entropy per letter.
 Rejection is calibrated: a text is accepted if its cross-entropy is within
 ``deviations`` standard deviations of what the language's own texts have, and the
 temperature that turns cross-entropies into a probability is the one that makes
-a bounded sample of labelled texts likeliest.
+the labelled texts likeliest. Both are measured on all texts that were learned from.
 
 No trigram is left out, however rare. The model grows with the number of different
 (language, trigram) pairs, and the driver and each Python worker hold it whole: 8
-bytes a different trigram and 12 a pair, and less for the lower orders. Scoring is
-one pass over whole texts.
+bytes a different trigram and 12 a pair, and less for the lower orders. Calibration
+is one pass over the whole texts that were learned from, scoring one over all.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score
 0; if nothing can be learned all texts are ``und``; null languages are not
@@ -43,6 +43,8 @@ SPACE = np.uint64(32)
 WIDTH = np.uint64(21)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 20
+#: Temperatures that calibration tries.
+TEMPERATURES = [float(2**k) for k in np.arange(0, 9, 0.5)]
 
 _letters: list[np.ndarray] = []
 
@@ -263,8 +265,8 @@ def kneser_ney(by_language: dict[str, tuple[np.ndarray, np.ndarray]]) -> Languag
     return LanguageModel(languages, unseen=np.array(unseens, np.float32), **{k: gathered(v) for k, v in parts.items()})
 
 
-def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold_out=held_out, sample_rows: int = 8_000, deviations: float = 4.0) -> LanguageModel:
-    """Learns from all rows that ``hold_out`` leaves, and calibrates on about ``sample_rows`` of them."""
+def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hold_out=held_out, deviations: float = 4.0) -> LanguageModel:
+    """Learns from all rows that ``hold_out`` leaves, and calibrates on all of them."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~hold_out(F.col("id")) & F.col("lang").isNotNull())
     counts = materialize(count_trigrams(rows), "trigrams")
@@ -281,28 +283,33 @@ def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         by_language[languages[k - 1]] = codes[order], n[order]
     del got
     model = kneser_ney(by_language)
-    total = rows.count()
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(1_000_000)) < 1_000_000 * sample_rows / max(1, total))
-    sent = spark.sparkContext.broadcast(model)
+    calibrate(model, rows, deviations)
+    return model
+
+
+def calibrate(model: LanguageModel, rows: DataFrame, deviations: float) -> None:
+    """Sets temperature and limits from all texts of ``rows`` (``lang``, ``text``); a row a language reaches the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {g: k for k, g in enumerate(sent.value.languages)}
         for b in batches:
             h = sent.value.cross_entropies(list(b["text"]))
-            yield pd.DataFrame({"lang": b["lang"], "h": list(h)})
-
-    sample = chosen.filter(F.col("lang").isin(model.languages)).select("lang", "text").mapInPandas(measure, "lang string, h array<double>").toPandas()
-    h = np.array(list(sample["h"]), float).reshape(-1, len(model.languages))
-    own = np.array([model.languages.index(g) for g in sample["lang"]], int)
-    good = ~np.isnan(h).any(axis=1)
-    h, own = h[good], own[good]
-    if len(h):
-        def fit(t: float) -> float:
-            return float(np.log(np.maximum(softmax(-h * t)[np.arange(len(h)), own], 1e-6)).sum())
-
-        model.temperature = max((float(2**k) for k in np.arange(0, 9, 0.5)), key=fit)
-    at_own = [h[own == k, k] for k in range(len(model.languages))]
-    model.limits = np.array([x.mean() + deviations * max(x.std(), 0.05) if len(x) else np.inf for x in at_own])
-    return model
+            good = ~np.isnan(h).any(axis=1)
+            h, lang = h[good], b["lang"][good]
+            own = np.array([number[g] for g in lang], int)
+            at = np.arange(len(h))
+            fits = np.stack([np.log(np.maximum(softmax(-h * t)[at, own], 1e-6)) for t in TEMPERATURES], axis=1)
+            yield pd.DataFrame({"lang": lang.to_numpy(), "own": h[at, own], "fits": list(fits)})
+
+    texts = rows.filter(F.col("lang").isin(model.languages)).select("lang", "text")
+    measured = spread(texts).mapInPandas(measure, "lang string, own double, fits array<double>")
+    fits = F.array(*(F.sum(F.col("fits")[i]) for i in range(len(TEMPERATURES))))
+    told = {r["lang"]: r for r in measured.groupBy("lang").agg(F.avg("own").alias("mean"), F.stddev_pop("own").alias("std"), fits.alias("fits")).collect()}
+    if told:
+        total = np.sum([told[g]["fits"] for g in sorted(told)], axis=0)
+        model.temperature = TEMPERATURES[int(np.argmax(total))]
+    model.limits = np.array([told[g]["mean"] + deviations * max(told[g]["std"], 0.05) if g in told else np.inf for g in model.languages])
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

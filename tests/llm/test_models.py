@@ -214,6 +214,27 @@ def test_no_trigram_is_cut(spark):
     assert np.allclose(model.cross_entropies(hot[:5] + rare), want.cross_entropies(hot[:5] + rare))
 
 
+def test_calibration_on_all_rows(spark):
+    """More rows than the old sample of 8,000, and ids that its hash put in or out together; a rare language is calibrated, too."""
+    names = ["z" if i % 5_000 == 7 else "xy"[i % 2] for i in range(20_000)]
+    texts = [None if i == 3 else "12" if i == 4 else " ".join(alphabet(n, i).split()[: 1 + i % 3]) for i, n in enumerate(names)]
+    rows = [(None if i % 3 == 0 else i // 2, t, n) for i, (t, n) in enumerate(zip(texts, names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs, hold_out=lambda i: F.lit(False))
+    h = model.cross_entropies(texts)
+    own = np.array([model.languages.index(n) for n in names])
+    good = ~np.isnan(h).any(axis=1)
+    assert good.sum() == 19_998 and model.languages == ["x", "y", "z"]
+    h, own = h[good], own[good]
+    want = [h[own == k, k].mean() + 4 * max(h[own == k, k].std(), 0.05) for k in range(3)]
+    assert np.allclose(model.limits, want, rtol=1e-9, atol=0)
+
+    def fit(t):
+        return sum(max(math.log(p), math.log(1e-6)) for p in language.softmax(-h * t)[np.arange(len(h)), own])
+
+    assert model.temperature == max((2 ** (k / 2) for k in range(18)), key=fit)
+
+
 def test_languages_without_texts(spark):
     docs = frame(spark, [alphabet("x", 0), alphabet("x", 1), None]).withColumn("lang", F.when(F.col("doc_id") == 2, "q").otherwise("x"))
     assert language.fit_languages(docs, hold_out=lambda i: F.lit(False)).languages == ["x"]
