@@ -117,6 +117,26 @@ def test_odd_substrings(spark):
     assert suffix_dedup.dedup_substrings(frame(spark, [])).count() == 0
 
 
+def test_planted_passages(spark, tmp_path):
+    """The registered query, at 400 bytes: repeats show in ``n_removed``; ``n_bytes`` is the length of the input text."""
+    passages = [prose(900 + i, 90) for i in range(6)]
+    short = " ".join(["word"] * 20 + prose(950, 31).split())
+    assert all(len(p.encode()) >= 400 for p in passages) and len(short.split()) == 51 and len(short.encode()) < 400
+    clean = [prose(i, 20 + 15 * i) for i in range(20)] + ["é" * 200, None, ""]
+    planted = [f"{prose(100 + i, 5 * i)} {passages[i // 2]} {prose(200 + i, 40)}" for i in range(12)] + [passages[0] + passages[0]]
+    under = [f"{prose(300 + i, 30)} {short} {prose(400 + i, 30)}" for i in range(2)]
+    texts = clean + planted + under
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    told = suffix_dedup.op3_suffix_dedup(spark, str(tmp_path))
+    assert told.dtypes[:5] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    got = by_id(told.collect())
+    assert len(got) == len(texts)
+    for i, (size, removed, spans, kept) in enumerate(brute_removed(texts, 400)):
+        assert tuple(got[i])[1:5] == (size, removed, spans, hashlib.sha256(kept).hexdigest()), i
+        assert size == len((texts[i] or "").encode()) and got[i]["repeated"] == (removed > 0)
+        assert (removed > 0) == (len(clean) <= i < len(clean) + len(planted)), i
+
+
 def test_segments_do_not_matter(monkeypatch):
     text = np.frombuffer((prose(3, 3000)).encode(), np.uint8)
     whole = suffix_dedup.slices(text, 400, 32, 200)
