@@ -276,6 +276,16 @@ def test_queries_of_a_cell_are_cut(spark):
     assert len(pairs) == 50 * 1000 and all(r["count"] == 1 for r in pairs)
 
 
+def test_visits_are_not_broadcast(spark, tmp_path):
+    """A table of 200,000 visits has few bytes, but it goes through the driver if it is broadcast."""
+    spark.range(200_000).selectExpr("id DIV 100 AS query_id", "CAST(id % 100 AS int) AS cell", "1.0D AS worst").write.parquet(str(tmp_path / "visits"))
+    spark.range(2_000).selectExpr("id AS query_id", "array(1.0D, CAST(id AS double)) AS vector").write.parquet(str(tmp_path / "asked"))
+    visits, asked = (spark.read.parquet(str(tmp_path / n)) for n in ("visits", "asked"))
+    met = neighbours.with_vectors(visits, asked)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 200_000 and met.filter("vector[1] <> query_id").isEmpty()
+
+
 def test_few_neighbours(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(vectors, lambda i: i == 0, k=20).orderBy("rank").collect()]
