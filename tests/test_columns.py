@@ -4,11 +4,12 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from glimmergrid.functions.paths import entry_path, frame_path, is_archive, is_file_entry, parse_whitelist, whitelist
-from glimmergrid.functions.pixels import content_md5, normalize_pixels, resized
+from glimmergrid.functions.pixels import HANDED, buffers, content_md5, normalize_pixels, resized
 from glimmergrid.functions.vectors import dot, l2_normalize, reaches
 from glimmergrid.schemas import check_frames, check_threshold
 
@@ -74,3 +75,24 @@ def test_pixels(spark):
     assert [set(r["x"]) for r in got] == [{7}, {9}] and all(len(r["x"]) == 150_528 for r in got)
     ramp = np.repeat(np.arange(224, dtype=np.uint8)[None, :, None], 224, axis=0)
     assert (resized(ramp)[:, :, 0] == ramp[:, :, 0]).all()
+
+
+def test_buffers_are_handed_over_in_small_batches(spark):
+    """A batch of 10,000 small images would be 1.5 GB of buffers."""
+    n = 3 * HANDED + 5
+    part = [pd.Series([bytes([i % 256]) if i % 7 else None for i in range(n)], dtype=object), *(pd.Series([1] * n) for _ in range(3))]
+    handed = list(buffers(iter([tuple(part), tuple(c.iloc[:0] for c in part)])))
+    assert max(map(len, handed)) <= HANDED and sum(map(len, handed)) == n
+    rows = spark.range(n).selectExpr("id", "IF(id % 7 = 0, NULL, unhex(lpad(hex(id % 256), 2, '0'))) AS p").coalesce(1)
+    got = rows.select("id", normalize_pixels(F.col("p"), F.lit(1), F.lit(1), F.lit(1)).alias("x")).selectExpr("id", "length(x) AS n", "hex(substring(x, 150528, 1)) AS last").collect()
+    assert len(got) == n and all((r["n"], r["last"]) == ((150_528, f"{r['id'] % 256:02X}") if r["id"] % 7 else (None, None)) for r in got)
+
+
+def test_equal_channels_are_stretched_once_with_the_same_result():
+    rng = np.random.default_rng(2)
+    for h, w in ((8, 8), (1, 5), (30, 22)):
+        grey = rng.integers(0, 256, (h, w, 1), dtype=np.uint8)
+        image = np.repeat(grey, 3, axis=2)
+        image[-1, -1, 2] ^= 255
+        assert (resized(np.repeat(grey, 3, axis=2)) == resized(grey)).all()
+        assert (resized(image)[:, :, :2] == resized(grey)[:, :, :2]).all() and resized(image)[-1, -1, 2] == image[-1, -1, 2] != grey[-1, -1, 0]
