@@ -264,6 +264,11 @@ def test_embed_column(spark):
     assert got[0] is None and got[3] is None and all(abs(sum(x * x for x in got[i]) - 1) < 1e-5 for i in (1, 2))
 
 
+def test_a_filter_does_not_embed_twice(spark):
+    rows = spark.range(3).selectExpr("id", "CAST(NULL AS binary) AS pixels").select("id", embed(F.col("pixels"), MODEL).alias("v")).filter("v IS NOT NULL")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and rows.count() == 0
+
+
 def test_onnx_model(tmp_path):
     """A network of one max pool, written by hand: its features are the channels' maxima."""
 
