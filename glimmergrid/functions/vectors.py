@@ -16,11 +16,19 @@ def squared_norm(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once; inside a function over an array it would be evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def l2_normalize(v: Column) -> Column:
     """``v`` divided by its length; null where the length is zero or not finite."""
-    norm = F.sqrt(squared_norm(v))
-    fine = (norm > 0) & ~F.isnan(norm) & (norm < float("inf"))
-    return F.when(fine, F.transform(v, lambda x: x.cast("double") / norm))
+
+    def divided(v: Column, norm: Column) -> Column:
+        fine = (norm > 0) & ~F.isnan(norm) & (norm < float("inf"))
+        return F.when(fine, F.transform(v, lambda x: x.cast("double") / norm))
+
+    return _bound(v, lambda v: _bound(F.sqrt(squared_norm(v)), lambda norm: divided(v, norm)))
 
 
 def reaches(score: Column, t: float) -> Column:
