@@ -13,12 +13,13 @@ from pyspark.sql.streaming import StreamingQuery
 from glimmergrid.plans.jobs import features_at, file_features, write_tagged
 from glimmergrid.schemas import FILES
 from glimmergrid.sources.archives import SCHEMES, scheme_of
+from glimmergrid.sources.files import small_files
 from glimmergrid.sources.frames import Decoder, still_decoder
 
 
 def arriving_files(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of the files below ``root``: names and lengths, where tasks can open them, so a file may have any size; else with their bytes."""
-    reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
+    reader = small_files(spark).readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     files = reader.load(root)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glimmergrid.functions.embedding import stub_model
 from glimmergrid.functions.pixels import resized
@@ -250,3 +251,18 @@ def test_records_need_a_store_that_tasks_can_open(spark, tmp_path):
         records.write_feature_records(rows, str(tmp_path), "ignore")
     for path in ("file:///a/b", "file:/a/b", "/a/b", "/a/b/"):
         assert records.RecordFolder(path).root == "/a/b"
+
+
+def test_small_files_are_few_tasks(spark, tmp_path):
+    """300 files of a byte are a few tasks, also inside a plan of the first session, whose settings stay."""
+    from glimmergrid.sources.files import small_files
+
+    for i in range(300):
+        (tmp_path / f"f{i}").write_bytes(b"x")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    listed = list_files(spark, str(tmp_path))
+    assert listed.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    ids = spark.range(1).join(listed, F.lit(True)).count()
+    assert ids == 300 and spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert small_files(spark).conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert int(small_files(spark).conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 2 * spark.sparkContext.defaultParallelism
