@@ -266,3 +266,11 @@ def test_small_files_are_few_tasks(spark, tmp_path):
     assert ids == 300 and spark.conf.get("spark.sql.files.openCostInBytes") == before
     assert small_files(spark).conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
     assert int(small_files(spark).conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_images_are_passed_on_together():
+    from glimmergrid.plans import jobs
+
+    entries = (("s", i, f"s/{i}", b"BM" + bytes(50), None, None, None) for i in range(600))
+    told = list(jobs._run(entries, None, None, None, True))
+    assert len(told) == 3 and sum(map(len, told)) == 600 and all(len(c) == 52 for t in told for c in t["content"])
