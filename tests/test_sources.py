@@ -268,6 +268,25 @@ def test_small_files_are_few_tasks(spark, tmp_path):
     assert int(small_files(spark).conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_small_frames_become_the_same_buffers(spark, tree):
+    """Frames that move as they are, and the first of each source, are those of whole frames; large ones move as buffers."""
+    from glimmergrid.operators.selection import first_image
+    from glimmergrid.sources.frames import small_pixels, whole_frames
+
+    large = np.random.default_rng(1).integers(0, 256, (300, 400, 3), dtype=np.uint8)
+    assert small_pixels(large)[:3] == (224, 224, 3) and len(small_pixels(large)[3]) == 150_528 and small_pixels(large[:8, :8, 0])[:3] == (8, 8, 1)
+    entries = expand_archives(read_files(spark, tree))
+    whole, small = decode_frames(entries), decode_frames(entries, whole=False)
+
+    def rows(df):
+        return sorted((r["path"], r["frame_index"] or 0, bytes(r["pixels"] or b""), r["stage"] or "") for r in df.collect())
+
+    assert rows(whole_frames(small)) == rows(whole) and "pixels" in whole.columns
+    assert rows(whole_frames(first_image(small))) == rows(first_image(whole))
+    plan = first_image(small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_normalized" not in plan
+
+
 def test_images_are_passed_on_together():
     from glimmergrid.plans import jobs
 
